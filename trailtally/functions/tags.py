@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from trailtally import schema
 from trailtally.functions.text import strip_fence
 
+# Names of the JSON number types.
+WHOLE_TYPES = ("BIGINT", "BOOLEAN")
+FRACTION_TYPES = ("DOUBLE", "FLOAT")
+
 
 def json_field(text: Column, name: str, strict: bool = False) -> Column:
     """Text of one JSON field. Malformed JSON gives NULL, or an error when ``strict``."""
@@ -54,19 +58,22 @@ def answer_counts(answer: Column) -> Column:
     ``true`` counts as one.
     """
     fields = F.map_entries(F.try_variant_get(safe_analysis(answer), "$", "map<string,variant>"))
-    kind = F.schema_of_variant
 
-    def entry(field: Column) -> Column:
-        numeric = kind(field["value"]).rlike("^(BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL)")
+    def typed(field: Column) -> Column:
         return F.struct(
             field["key"].alias("animal"),
-            F.when(numeric, F.try_variant_get(field["value"], "$", "double")).alias("n"),
-            kind(field["value"]).isin("BIGINT", "BOOLEAN").alias("whole"),
+            F.schema_of_variant(field["value"]).alias("type"),
+            F.try_variant_get(field["value"], "$", "double").alias("n"),
         )
 
-    return F.filter(
-        F.transform(fields, entry), lambda e: (F.lower(e["animal"]) != "total") & (e["n"] > 0)
-    )
+    def counts(field: Column) -> Column:
+        number = field["type"].isin(*WHOLE_TYPES, *FRACTION_TYPES) | field["type"].startswith("DECIMAL")
+        return (field["n"] > 0) & number & (F.lower(field["animal"]) != "total")
+
+    def entry(field: Column) -> Column:
+        return F.struct(field["animal"], field["n"], field["type"].isin(*WHOLE_TYPES).alias("whole"))
+
+    return F.transform(F.filter(F.transform(fields, typed), counts), entry)
 
 
 def count_text(n: Column, whole: Column) -> Column:

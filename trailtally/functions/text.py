@@ -15,15 +15,21 @@ MIME_TYPES = {
 }
 DEFAULT_MIME_TYPE = "application/octet-stream"
 
+# The characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def strip_ws(text: Column) -> Column:
     """Drop white space, line breaks included, at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def squash_ws(text: Column) -> Column:
     """Turn each run of white space into one blank and trim."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"[{WHITE_SPACE}]+", " "))
 
 
 def parse_temperature(text: Column) -> Column:

@@ -15,8 +15,6 @@ MONTHS = [
     "July", "August", "September", "October", "November", "December",
 ]
 
-_FIELD_MARK = "\u0001"
-
 
 def moment(value: datetime | str | Column) -> Column:
     """A zone-free timestamp from a Python value or column; bad text is an error."""
@@ -80,25 +78,14 @@ def capture_label_year(time: Column) -> Column:
     return F.concat(_month_day(time), F.lit(", "), year, F.lit(" "), _clock(time))
 
 
-def _date_fields(text: Column, pattern: str, count: int) -> list[Column]:
-    """Capture groups of ``pattern``, all NULL when the text does not match."""
-    marked = F.regexp_replace(text, pattern, _FIELD_MARK.join(f"${i + 1}" for i in range(count)))
-    fields = F.split(marked, _FIELD_MARK)
-    return [F.when(F.size(fields) == count, F.get(fields, F.lit(i))) for i in range(count)]
-
-
-def _make_time(year: Column, month: Column, day: Column, hour: Column, minute: Column, half: Column) -> Column:
-    names = F.array(*[F.lit(m.lower()) for m in MONTHS])
-    hour12 = hour.try_cast("int")
-    hour24 = F.when(hour12.between(1, 12), hour12 % 12 + F.when(F.lower(half) == "pm", 12).otherwise(0))
-    return F.try_make_timestamp_ntz(
-        year,
-        F.array_position(names, F.lower(month)).cast("int"),
-        day.try_cast("int"),
-        hour24,
-        minute.try_cast("int"),
-        F.lit(0).cast("decimal(16,6)"),
-    )
+def _read_time(text: Column, pattern: str) -> Column:
+    """Zone-free time of a text, NULL when it does not fit the pattern.
+
+    The text is read as UTC and counted from the epoch, so no session time zone takes part.
+    """
+    instant = F.try_to_timestamp(F.concat(text, F.lit(" Z")), F.lit(f"{pattern} X"))
+    seconds = F.unix_seconds(instant).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 def infer_capture_time(text: Column, now: datetime | str | Column) -> Column:
@@ -108,17 +95,16 @@ def infer_capture_time(text: Column, now: datetime | str | Column) -> Column:
     Unreadable text gives ``now``. February 29 is accepted when the inferred year has one.
     """
     present = moment(now)
-    fields = _date_fields(
-        squash_ws(text), r"(?i)^([a-z]+) (\d{1,2}), (\d{1,2}):(\d{1,2}) ([ap]m)$", 5
-    )
-    this_year = _make_time(F.year(present), *fields)
-    last_year = _make_time(F.year(present) - 1, *fields)
+    words = squash_ws(text)
+
+    def in_year(year: Column) -> Column:
+        return _read_time(F.concat_ws(" ", year, words), "yyyy MMMM d, h:mm a")
+
+    this_year = in_year(F.year(present))
+    last_year = in_year(F.year(present) - 1)
     return F.coalesce(F.when(this_year > present, last_year).otherwise(this_year), present)
 
 
 def parse_capture_time(text: Column, now: datetime | str | Column) -> Column:
     """Time of a text with a year, such as ``January 03, 2024 02:05 PM``; else ``now``."""
-    month, day, year, hour, minute, half = _date_fields(
-        text, r"(?i)^([a-z]+)\s+(\d{1,2}),\s+(\d{4})\s+(\d{1,2}):(\d{1,2})\s+([ap]m)$", 6
-    )
-    return F.coalesce(_make_time(year.try_cast("int"), month, day, hour, minute, half), moment(now))
+    return F.coalesce(_read_time(squash_ws(text), "MMMM d, yyyy h:mm a"), moment(now))

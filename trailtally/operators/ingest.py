@@ -30,7 +30,7 @@ DEFAULTS = {
     "wind_unit": "mph",
 }
 
-CAPTURE_KEYS = ("file_hash", "source_id")
+READING_KINDS = ("temperature", "wind", "pressure", "sun", "moon")
 
 
 def pivot_readings(readings: DataFrame) -> DataFrame:
@@ -39,20 +39,27 @@ def pivot_readings(readings: DataFrame) -> DataFrame:
     Each text is parsed on its own, and the last readable one of a kind counts. Missing
     readings are NULL.
     """
-    kind, value = F.col("kind"), F.col("value")
-    parsed = {
-        "t": F.when(kind == "temperature", parse_temperature(value)),
-        "w": F.when(kind == "wind", parse_wind(value)),
-        "pressure": F.when(kind == "pressure", parse_pressure(value)),
-        "sun_status": F.when(kind == "sun", value),
-        "moon_phase": F.when(kind == "moon", moon_text(value)),
-    }
-    rows = readings.select("source_id", "pos", reading_kind(F.col("label")).alias("kind"), "value")
-    rows = rows.select("source_id", "pos", *[c.alias(name) for name, c in parsed.items()])
-    last = rows.groupBy("source_id").agg(*[
-        F.max_by(name, F.when(F.col(name).isNotNull(), F.col("pos"))).alias(name) for name in parsed
+    value = F.col("value")
+    kind = reading_kind(F.col("label"))
+    readable = (
+        F.when(kind == "temperature", parse_temperature(value).isNotNull())
+        .when(kind == "wind", parse_wind(value).isNotNull())
+        .when(kind == "pressure", parse_pressure(value).isNotNull())
+        .otherwise(value.isNotNull())
+    )
+    rows = readings.select("source_id", "pos", F.when(readable, kind).alias("kind"), "value")
+    last = rows.filter(F.col("kind").isNotNull()).groupBy("source_id").agg(*[
+        F.max_by("value", F.when(F.col("kind") == name, F.col("pos"))).alias(name) for name in READING_KINDS
     ])
-    return last.select(
+    parsed = last.select(
+        "source_id",
+        parse_temperature(F.col("temperature")).alias("t"),
+        parse_wind(F.col("wind")).alias("w"),
+        parse_pressure(F.col("pressure")).alias("pressure"),
+        F.col("sun").alias("sun_status"),
+        moon_text(F.col("moon")).alias("moon_phase"),
+    )
+    return parsed.select(
         "source_id",
         F.col("t.value").alias("temperature"),
         F.col("t.unit").alias("temperature_unit"),
@@ -127,18 +134,29 @@ def dedupe_run(seq: DataFrame) -> DataFrame:
     return first_by(seq, "source_id")
 
 
-def _known(images: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    """Keys of candidates that images have. Images are only shuffled if the keys are many."""
-    wanted = candidates.select(key).distinct()
-    return images.select(key).join(wanted, key, "left_semi").distinct()
+def _keys(df: DataFrame, *columns: str) -> DataFrame:
+    """Two rows (kind, key) per row: what identifies a capture."""
+    both = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("key")) for kind in ("file_hash", "source_id")
+    ])
+    return df.select(*columns, F.inline(both))
+
+
+def stored_positions(seq: DataFrame, images: DataFrame) -> DataFrame:
+    """``pos`` of the rows stored under their hash or source id, which may come up twice.
+
+    The wanted keys go to the images, so images are only shuffled if the keys are many.
+    """
+    wanted = _keys(seq).distinct()
+    stored = _keys(images).join(wanted, ["kind", "key"], "left_semi").distinct()
+    return _keys(seq, "pos").join(stored, ["kind", "key"], "left_semi").select("pos")
 
 
 def new_captures(candidates: DataFrame, images: DataFrame) -> DataFrame:
     """Candidates stored neither under their hash nor under their source id."""
-    fresh = candidates
-    for key in CAPTURE_KEYS:
-        fresh = fresh.join(_known(images, candidates, key), key, "left_anti")
-    return fresh.select(candidates.columns)
+    return candidates.join(stored_positions(candidates, images).distinct(), "pos", "left_anti").select(
+        candidates.columns
+    )
 
 
 def accepted(seq: DataFrame, images: DataFrame) -> DataFrame:
@@ -146,23 +164,18 @@ def accepted(seq: DataFrame, images: DataFrame) -> DataFrame:
     return first_by(new_captures(dedupe_run(seq), images), "file_hash")
 
 
-def _first_repeat(seq: DataFrame, key: str) -> DataFrame:
-    """Smallest ``pos`` that is not the first of its key; each task passes on two rows per key."""
-    order = Window.partitionBy(key).orderBy("pos")
-    ranked = seq.select(key, "pos").withColumn("nth", F.row_number().over(order))
-    return ranked.filter(F.col("nth") <= 2).agg(
-        F.min(F.when(F.col("nth") == 2, F.col("pos"))).alias("pos")
-    )
-
-
 def first_duplicate(seq: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """One row with the smallest ``pos`` that repeats an earlier row or a stored image."""
-    found = _first_repeat(seq, "source_id").unionByName(_first_repeat(seq, "file_hash"))
+    """One row with the smallest ``pos`` that repeats an earlier row or a stored image.
+
+    For repeats each task passes on two rows per key.
+    """
+    order = Window.partitionBy("kind", "key").orderBy("pos")
+    ranked = _keys(seq, "pos").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 2)
+    found = ranked.agg(F.min(F.when(F.col("nth") == 2, F.col("pos"))).alias("pos"))
     if images is not None:
-        for key in CAPTURE_KEYS:
-            stored = seq.join(_known(images, seq, key), key, "left_semi")
-            found = found.unionByName(stored.agg(F.min("pos").alias("pos")))
-    return found.agg(F.min("pos").alias("pos"))
+        stored = stored_positions(seq, images).agg(F.min("pos").alias("pos"))
+        found = found.unionByName(stored).agg(F.min("pos").alias("pos"))
+    return found
 
 
 def take_until_duplicate(seq: DataFrame, images: DataFrame | None = None) -> DataFrame:

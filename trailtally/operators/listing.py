@@ -167,8 +167,8 @@ def all_images_by_created(images: DataFrame) -> DataFrame:
 
 def image_labels(images: DataFrame) -> DataFrame:
     """Texts a gallery or detail page shows; values that are missing or zero have no text."""
-    meta = metadata_fields(F.col("raw_metadata"))
-    return images.select(
+    meta = F.col("meta")
+    return images.withColumn("meta", metadata_fields(F.col("raw_metadata"))).select(
         "id",
         capture_label(F.col("capture_time")).alias("time_label"),
         place_label(F.col("primary_location"), F.col("secondary_location")).alias("place_label"),
@@ -182,8 +182,8 @@ def image_labels(images: DataFrame) -> DataFrame:
 
 def image_metadata(images: DataFrame) -> DataFrame:
     """Readings kept only in the raw metadata."""
-    meta = metadata_fields(F.col("raw_metadata"))
-    return images.select(
+    meta = F.col("meta")
+    return images.withColumn("meta", metadata_fields(F.col("raw_metadata"))).select(
         "id",
         meta["pressure"]["value"].alias("pressure"),
         meta["pressure"]["unit"].alias("pressure_unit"),

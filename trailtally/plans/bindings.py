@@ -90,7 +90,7 @@ def ordered_tag_names(spark: SparkSession, folder: str) -> DataFrame:
     """Tag texts wanted by line items: the part's type with the quantity as count."""
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     items = table(spark, folder, "lineitem").select("l_partkey", F.col("l_quantity").cast("bigint").alias("count"))
-    return items.join(parts, "l_partkey").select(
+    return items.join(parts, "l_partkey").select("p_type", "count").distinct().select(
         _part_tag(F.lit("animal"), F.col("p_type"), F.col("count")).alias("name")
     )
 
