@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 # What a caller may ask for.
 SORT_COLUMNS = ("capture_time", "created_at", "temperature", "primary_location")
+PAGE_SORT_COLUMNS = ("capture_time", "temperature", "created_at")
 INTERVALS = ("hour", "day", "week")
 
 

@@ -24,17 +24,31 @@ def where_all(df: DataFrame, predicates: Iterable[Column | None]) -> DataFrame:
     return df.filter(reduce(and_, given)) if given else df
 
 
-def date_range_predicates(
-    start: datetime | str | None, end: datetime | str | None, column: str = "capture_time"
-) -> list[Column]:
-    """Inclusive bounds as plain comparisons with literals, which reach the file scan."""
-    time = F.col(column)
-    bounds = []
+def filter_times(
+    df: DataFrame,
+    start: datetime | str | None = None,
+    end: datetime | str | None = None,
+    before: datetime | str | None = None,
+    column: str = "capture_time",
+) -> DataFrame:
+    """Rows from ``start`` to ``end``, both included, and earlier than ``before``.
+
+    Bounds are plain comparisons with literals, which reach the file scan. Where the files are
+    split by ``capture_date``, its bounds are added, so other dates' files are not listed at all.
+    """
+    dated = column == "capture_time" and "capture_date" in df.columns
+    time, date = F.col(column), F.col("capture_date")
+    predicates = []
     if start:
-        bounds.append(time >= moment(start))
+        predicates.append(time >= moment(start))
+        predicates += [date >= F.to_date(moment(start))] if dated else []
     if end:
-        bounds.append(time <= moment(end))
-    return bounds
+        predicates.append(time <= moment(end))
+        predicates += [date <= F.to_date(moment(end))] if dated else []
+    if before:
+        predicates.append(time < moment(before))
+        predicates += [date <= F.to_date(moment(before))] if dated else []
+    return where_all(df, predicates)
 
 
 def filter_date_range(
@@ -44,7 +58,7 @@ def filter_date_range(
     column: str = "capture_time",
 ) -> DataFrame:
     """Rows within the inclusive range. An end date without a time means its midnight."""
-    return where_all(df, date_range_predicates(start, end, column))
+    return filter_times(df, start, end, column=column)
 
 
 def location_predicate(location: str | None) -> Column | None:

@@ -39,16 +39,16 @@ def pivot_readings(readings: DataFrame) -> DataFrame:
     Each text is parsed on its own, and the last readable one of a kind counts. Missing
     readings are NULL.
     """
-    value = F.col("value")
-    kind = reading_kind(F.col("label"))
+    kind, value = F.col("kind"), F.col("value")
     readable = (
         F.when(kind == "temperature", parse_temperature(value).isNotNull())
         .when(kind == "wind", parse_wind(value).isNotNull())
         .when(kind == "pressure", parse_pressure(value).isNotNull())
         .otherwise(value.isNotNull())
     )
-    rows = readings.select("source_id", "pos", F.when(readable, kind).alias("kind"), "value")
-    last = rows.filter(F.col("kind").isNotNull()).groupBy("source_id").agg(*[
+    labelled = readings.select("source_id", "pos", reading_kind(F.col("label")).alias("kind"), "value")
+    rows = labelled.select("source_id", "pos", F.when(readable, kind).alias("kind"), "value")
+    last = rows.groupBy("source_id").agg(*[
         F.max_by("value", F.when(F.col("kind") == name, F.col("pos"))).alias(name) for name in READING_KINDS
     ])
     parsed = last.select(

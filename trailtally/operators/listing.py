@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailtally.functions.params import SORT_COLUMNS, parse_ids, safe_sort
+from trailtally.functions.params import PAGE_SORT_COLUMNS, SORT_COLUMNS, parse_ids, safe_sort
 from trailtally.functions.present import (
     metadata_fields,
     place_label,
@@ -20,14 +20,16 @@ from trailtally.functions.tags import parse_tags
 from trailtally.functions.times import capture_label, iso_text
 from trailtally.operators.filters import (
     MAX_INLINE_IDS,
-    date_range_predicates,
+    filter_date_range,
     filter_ids,
-    location_predicate,
-    where_all,
+    filter_location,
 )
 from trailtally.operators.tagging import ids_having_all_tags, images_with_tags
+from trailtally.session import pin
 
 DEFAULT_PAGE_SIZE = 20
+# Most rows each task ranks for a page; deeper pages are found by counting.
+MAX_TOP = 100_000
 
 
 def sort_key(sort_by: str | None, sort_order: str | None, allowed: Iterable[str] = SORT_COLUMNS) -> list[Column]:
@@ -47,7 +49,7 @@ def filter_images(
     location: str | None = None,
 ) -> DataFrame:
     """Images within the inclusive range and at the place, for whichever are given."""
-    return where_all(images, [*date_range_predicates(start, end), location_predicate(location)])
+    return filter_location(filter_date_range(images, start, end), location)
 
 
 def list_images(
@@ -84,11 +86,11 @@ def list_tagged_images(
         own_links = filter_ids(links, wanted, "image_id")
         return _in_requested_order(images_with_tags(filter_ids(images, wanted), own_links, tags), wanted)
     shown = filter_images(images, start, end, location)
+    chosen = None
     if tag_names:
-        chosen = ids_having_all_tags(links, tags, tag_names)
-        shown = shown.join(chosen, "id", "left_semi")
-        links = links.join(chosen.withColumnRenamed("id", "image_id"), "image_id", "left_semi")
-    return images_with_tags(shown, links, tags).orderBy(*sort_key(sort_by, sort_order), "part")
+        chosen = ids_having_all_tags(links, tags, tag_names).withColumnRenamed("id", "image_id")
+        shown = shown.join(chosen, F.col("id") == F.col("image_id"), "left_semi")
+    return images_with_tags(shown, links, tags, ids=chosen).orderBy(*sort_key(sort_by, sort_order), "part")
 
 
 def page_images(
@@ -97,11 +99,44 @@ def page_images(
     per_page: int = DEFAULT_PAGE_SIZE,
     sort_by: str | None = "capture_time",
     sort_order: str | None = "desc",
-    allowed: Iterable[str] = SORT_COLUMNS,
+    allowed: Iterable[str] = PAGE_SORT_COLUMNS,
+    max_top: int = MAX_TOP,
 ) -> DataFrame:
-    """One page of the ordered images, planned as a top-k over ``page * per_page`` rows."""
-    ordered = images.orderBy(*sort_key(sort_by, sort_order, allowed))
-    return ordered.offset((page - 1) * per_page).limit(per_page)
+    """One page of the ordered images.
+
+    Each task keeps its best ``page * per_page`` rows, which suits early pages. From ``max_top``
+    rows on the page is found by counting the rows of sorted ranges instead.
+    """
+    order = sort_key(sort_by, sort_order, allowed)
+    skipped = (page - 1) * per_page
+    if skipped + per_page <= max_top:
+        return images.orderBy(*order).offset(skipped).limit(per_page)
+    column, _ = safe_sort(sort_by, sort_order, allowed)
+    wanted = _ids_by_rank(images.select(column, "id"), order, skipped, per_page)
+    return images.join(wanted, "id", "left_semi").select(images.columns).orderBy(*order)
+
+
+def _ids_by_rank(keys: DataFrame, order: list[Column], skipped: int, count: int) -> DataFrame:
+    """``id`` of ``count`` rows after the first ``skipped`` in the order.
+
+    Sorted ranges are pinned with each row's place in its range. The ranges' sizes, one number
+    each, tell which places are wanted. Rows of one key value are split by id.
+    """
+    row_in_range = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = pin(
+        keys.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("id", F.spark_partition_id().alias("range"), row_in_range.alias("place"))
+    )
+    sizes = placed.groupBy("range").count().orderBy("range").collect()
+    chosen, before = F.lit(False), 0
+    for size in sizes:
+        first, last = skipped - before, skipped + count - before
+        if first < size["count"] and last > 0:
+            within = (F.col("place") >= first) & (F.col("place") < last)
+            chosen = chosen | ((F.col("range") == size["range"]) & within)
+        before += size["count"]
+    return placed.filter(chosen).select("id").limit(count)
 
 
 def count_images(images: DataFrame) -> DataFrame:

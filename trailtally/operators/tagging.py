@@ -51,13 +51,17 @@ def _heavy_images(links: DataFrame, max_list: int) -> DataFrame | None:
     return F.broadcast(links.sparkSession.createDataFrame(found, "image_id long, lists long"))
 
 
-def tag_lists(links: DataFrame, tags: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
+def tag_lists(
+    links: DataFrame, tags: DataFrame, max_list: int = MAX_LIST, ids: DataFrame | None = None
+) -> DataFrame:
     """Tag texts of each tagged image as (image_id, part, tags), repeats kept.
 
-    An image has one row, part 0, unless it has more than ``max_list`` links. Such an image
+    With ``ids`` (image_id) only for those images. An image has one row, part 0, unless it has more than ``max_list`` links. Such an image
     is spread over several parts, none of which gathers more than about ``max_list`` texts.
     """
     heavy = _heavy_images(links, max_list)
+    if ids is not None:
+        links = links.join(ids, "image_id", "left_semi")
     plain = links if heavy is None else links.join(heavy, "image_id", "left_anti")
     lists = (
         tag_rows(plain, tags)
@@ -91,14 +95,18 @@ def tag_lists(links: DataFrame, tags: DataFrame, max_list: int = MAX_LIST) -> Da
 
 
 def images_with_tags(
-    images: DataFrame, links: DataFrame, tags: DataFrame, max_list: int = MAX_LIST
+    images: DataFrame,
+    links: DataFrame,
+    tags: DataFrame,
+    max_list: int = MAX_LIST,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """Images with their tag texts; an untagged image has an empty list.
 
     Links are gathered per image before the join, so the wide image columns are never grouped.
     See :func:`tag_lists` for ``part``.
     """
-    lists = tag_lists(links, tags, max_list).withColumnRenamed("image_id", "id")
+    lists = tag_lists(links, tags, max_list, ids).withColumnRenamed("image_id", "id")
     return images.join(lists, "id", "left").withColumns(_filled_lists())
 
 

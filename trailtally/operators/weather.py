@@ -8,7 +8,7 @@ rows per bucket.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trailtally.functions.params import safe_interval
 from trailtally.functions.present import round1_or_null
 from trailtally.functions.times import bucket_time, iso_seconds
-from trailtally.operators.filters import filter_date_range, not_null
+from trailtally.operators.filters import filter_date_range, filter_times, not_null
 
 _MODES = {
     "temp_unit": "temperature_unit",
@@ -176,12 +176,12 @@ def weather_records(df: DataFrame) -> DataFrame:
 def images_on_day(df: DataFrame, day: DataFrame) -> DataFrame:
     """Captures of the one day in ``day``, those without readings included.
 
-    The day enters as two scalar bounds, which reach the file scan and skip other days' files.
+    The day is fetched first and enters as literal bounds, which skip other days' files.
     """
-    time = F.col("capture_time")
-    first = day.select("day").scalar()
-    after = day.select((F.col("day") + F.expr("INTERVAL 1 DAY")).alias("day")).scalar()
-    return df.filter((time >= first) & (time < after))
+    found = day.select("day").first()
+    if found is None:
+        return df.limit(0)
+    return filter_times(df, start=found["day"], before=found["day"] + timedelta(days=1))
 
 
 def image_struct() -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailtally import schema
+from trailtally.operators.filters import filter_date_range
 from trailtally.operators.ingest import accepted, stamp_captures
 
 
@@ -16,9 +17,11 @@ def _scan(spark: SparkSession, path: str, table: T.StructType) -> DataFrame:
     return spark.read.schema(table).parquet(path).select(table.names)
 
 
-def scan_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image table with the listing columns."""
-    return scan_image_rows(spark, path).select(schema.LISTING_COLUMNS)
+def scan_images(
+    spark: SparkSession, path: str, start: datetime | str | None = None, end: datetime | str | None = None
+) -> DataFrame:
+    """Listing columns of the images in the inclusive range; only its dates' files are read."""
+    return filter_date_range(scan_image_rows(spark, path), start, end).select(schema.LISTING_COLUMNS)
 
 
 def scan_image_rows(spark: SparkSession, path: str) -> DataFrame:
