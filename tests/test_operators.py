@@ -414,10 +414,16 @@ CHAINS = [
 
 
 @pytest.mark.parametrize("pairs", CHAINS)
-@pytest.mark.parametrize("force", [True, False])
-def test_batches_match_one_by_one(spark, stored, pairs, force):
-    expected = one_by_one(pairs, {"known"}, {"seen"}, force)
-    assert positions(ingest.incremental_batch(sequence(spark, pairs), stored, force)) == expected
+@pytest.mark.parametrize("few", [True, False])
+def test_batches_match_one_by_one(spark, stored, pairs, few, monkeypatch):
+    monkeypatch.setattr(ingest, "MAX_BROADCAST_KEYS", 1000 if few else 0)
+    seq = sequence(spark, pairs)
+    kept = one_by_one(pairs, {"known"}, {"seen"}, force=True)
+    assert positions(ingest.incremental_batch(seq, stored, force=True)) == kept
+    assert positions(ingest.accepted(seq, stored)) == kept
+    first = one_by_one(pairs, {"known"}, {"seen"}, force=False)
+    assert positions(ingest.incremental_batch(seq, stored)) == first
+    assert positions(ingest.take_until_duplicate(seq, stored)) == first
 
 
 def test_take_until_duplicate(spark):

@@ -66,8 +66,11 @@ def test_shuffled_joins_when_nothing_fits_a_broadcast(spark, data):
         images, links = b.order_images(spark, data), b.image_links(spark, data)
         text = executed(tagging.untagged_images(images, links))
         assert "LeftAnti" in text and "SortMergeJoin" in text
-        chosen = executed(ingest.new_captures(b.document_sequence(spark, data), b.labelled_images(spark, data)))
-        assert "Broadcast" not in chosen and "NestedLoop" not in chosen
+        seq, stored = b.document_sequence(spark, data), b.labelled_images(spark, data)
+        for few in (False, True):
+            text = executed(ingest.new_captures(seq, stored, few=few))
+            assert text.count("LeftAnti") == 2 and "NestedLoop" not in text
+            assert ("Broadcast" in text) == few
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

@@ -7,6 +7,7 @@ A sequence has the columns ``pos`` (0-based, unique, newest first), ``source_id`
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,10 @@ DEFAULTS = {
     "wind_unit": "mph",
 }
 
+# Most rows whose keys are broadcast to the stored images.
+MAX_BROADCAST_KEYS = 100_000
+
+CAPTURE_KEYS = ("file_hash", "source_id")
 READING_KINDS = ("temperature", "wind", "pressure", "sun", "moon")
 
 
@@ -134,59 +139,74 @@ def dedupe_run(seq: DataFrame) -> DataFrame:
     return first_by(seq, "source_id")
 
 
-def _keys(df: DataFrame, *columns: str) -> DataFrame:
-    """Two rows (kind, key) per row: what identifies a capture."""
-    both = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("key")) for kind in ("file_hash", "source_id")
-    ])
-    return df.select(*columns, F.inline(both))
+def _are_few(seq: DataFrame) -> bool:
+    return seq.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
 
 
-def stored_positions(seq: DataFrame, images: DataFrame) -> DataFrame:
-    """``pos`` of the rows stored under their hash or source id, which may come up twice.
+def _stored_keys(seq: DataFrame, images: DataFrame, key: str, few: bool) -> DataFrame:
+    """Distinct keys of stored images, enough of them to test the sequence.
 
-    The wanted keys go to the images, so images are only shuffled if the keys are many.
+    A few rows go to the images, which are then read but not shuffled, and their matches are
+    no more than those rows. Otherwise all stored keys are reduced where they lie and shuffled.
     """
-    wanted = _keys(seq).distinct()
-    stored = _keys(images).join(wanted, ["kind", "key"], "left_semi").distinct()
-    return _keys(seq, "pos").join(stored, ["kind", "key"], "left_semi").select("pos")
+    keys = images.select(key)
+    if few:
+        return F.broadcast(keys.join(F.broadcast(seq.select(key)), key, "left_semi").distinct())
+    return keys.distinct()
 
 
-def new_captures(candidates: DataFrame, images: DataFrame) -> DataFrame:
-    """Candidates stored neither under their hash nor under their source id."""
-    return candidates.join(stored_positions(candidates, images).distinct(), "pos", "left_anti").select(
-        candidates.columns
-    )
+def new_captures(
+    candidates: DataFrame, images: DataFrame, seq: DataFrame | None = None, few: bool | None = None
+) -> DataFrame:
+    """Candidates stored neither under their hash nor under their source id.
+
+    ``seq`` is a cheaper relation with the same keys or more. ``few`` tells that it has at most
+    ``MAX_BROADCAST_KEYS`` rows; if not given, they are counted up to that number.
+    """
+    seq = candidates if seq is None else seq
+    few = _are_few(seq) if few is None else few
+    fresh = candidates
+    for key in CAPTURE_KEYS:
+        fresh = fresh.join(_stored_keys(seq, images, key, few), key, "left_anti")
+    return fresh.select(candidates.columns)
 
 
-def accepted(seq: DataFrame, images: DataFrame) -> DataFrame:
+def accepted(seq: DataFrame, images: DataFrame, few: bool | None = None) -> DataFrame:
     """What storing a sequence one by one would keep: unseen, and no copy of a kept row."""
-    return first_by(new_captures(dedupe_run(seq), images), "file_hash")
+    return first_by(new_captures(dedupe_run(seq), images, seq, few), "file_hash")
 
 
-def first_duplicate(seq: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """One row with the smallest ``pos`` that repeats an earlier row or a stored image.
+def _first_repeat(seq: DataFrame, key: str) -> DataFrame:
+    """Smallest ``pos`` that is not the first of its key; each task passes on two rows per key."""
+    order = Window.partitionBy(key).orderBy("pos")
+    ranked = seq.select(key, "pos").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 2)
+    return ranked.agg(F.min(F.when(F.col("nth") == 2, F.col("pos"))).alias("pos"))
 
-    For repeats each task passes on two rows per key.
-    """
-    order = Window.partitionBy("kind", "key").orderBy("pos")
-    ranked = _keys(seq, "pos").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 2)
-    found = ranked.agg(F.min(F.when(F.col("nth") == 2, F.col("pos"))).alias("pos"))
+
+def first_duplicate(
+    seq: DataFrame, images: DataFrame | None = None, few: bool | None = None
+) -> DataFrame:
+    """One row with the smallest ``pos`` that repeats an earlier row or a stored image."""
+    found = [_first_repeat(seq, key) for key in CAPTURE_KEYS]
     if images is not None:
-        stored = stored_positions(seq, images).agg(F.min("pos").alias("pos"))
-        found = found.unionByName(stored).agg(F.min("pos").alias("pos"))
-    return found
+        few = _are_few(seq) if few is None else few
+        for key in CAPTURE_KEYS:
+            stored = seq.join(_stored_keys(seq, images, key, few), key, "left_semi")
+            found.append(stored.agg(F.min("pos").alias("pos")))
+    return reduce(DataFrame.unionByName, found).agg(F.min("pos").alias("pos"))
 
 
-def take_until_duplicate(seq: DataFrame, images: DataFrame | None = None) -> DataFrame:
+def take_until_duplicate(
+    seq: DataFrame, images: DataFrame | None = None, few: bool | None = None
+) -> DataFrame:
     """Rows before the first duplicate, or all rows if there is none."""
-    stop = first_duplicate(seq, images).scalar()
+    stop = first_duplicate(seq, images, few).scalar()
     return seq.filter(stop.isNull() | (F.col("pos") < stop))
 
 
 def _attempts(seq: DataFrame, first: int, count: int) -> DataFrame:
-    """The rows a run looks at. Positions are unique, so the limit drops nothing; it tells the
-    planner that these rows are few."""
+    """The rows a run looks at. Positions are unique, so the limit drops nothing; it states the
+    bound on these rows."""
     return seq.filter(F.col("pos").between(first, first + count - 1)).orderBy("pos").limit(count)
 
 
@@ -202,7 +222,8 @@ def incremental_batch(
     The run ends at the first duplicate, or with ``force`` skips duplicates instead.
     """
     tried = _attempts(seq, 0, max_attempts + 1)
-    taken = accepted(tried, images) if force else take_until_duplicate(tried, images)
+    few = max_attempts < MAX_BROADCAST_KEYS
+    taken = accepted(tried, images, few) if force else take_until_duplicate(tried, images, few)
     return taken.orderBy("pos").limit(max_records)
 
 
@@ -211,7 +232,7 @@ def backfill_batch(
 ) -> DataFrame:
     """Up to ``limit`` new captures among the ``max_attempts`` rows after skipping ``jump + 1``."""
     tried = _attempts(seq, jump + 1, max_attempts)
-    return accepted(tried, images).orderBy("pos").limit(limit)
+    return accepted(tried, images, max_attempts <= MAX_BROADCAST_KEYS).orderBy("pos").limit(limit)
 
 
 def stamp_captures(rows: DataFrame, images: DataFrame, now: datetime | str) -> DataFrame:

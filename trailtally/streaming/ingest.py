@@ -38,7 +38,11 @@ def ingest_stream(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         images = scan_image_rows(batch.sparkSession, table)
-        append_images(batch, images, table, clock())
+        batch.persist()
+        try:
+            append_images(batch, images, table, clock())
+        finally:
+            batch.unpersist()
 
     return (
         captures.writeStream.foreachBatch(store)
