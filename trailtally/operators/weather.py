@@ -31,8 +31,18 @@ RECORD_COLUMNS = [
 ]
 
 
-def _reduce_readings(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """Sums, counts and extremes per keys and combination of text values."""
+def _reduce_readings(df: DataFrame, start: str, unit: str, **keys: Column) -> DataFrame:
+    """Sums, counts and extremes per bucket, further keys and combination of text values.
+
+    Rows are grouped by date and hour, which are cheap; the bucket's ``start`` is made from the
+    few groups.
+    """
+    time = F.col("capture_time")
+    parts = {"_date": F.to_date(time)}
+    grouped_time = F.col("_date").cast("timestamp_ntz")
+    if unit == "hour":
+        parts["_hour"] = F.hour(time)
+        grouped_time = grouped_time + F.make_dt_interval(hours=F.col("_hour"))
     aggregates = [F.count("*").alias("n")]
     for short, column in _READINGS.items():
         aggregates += [
@@ -41,7 +51,8 @@ def _reduce_readings(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
             F.min(column).alias(f"{short}_min"),
             F.max(column).alias(f"{short}_max"),
         ]
-    return df.groupBy(*[c.alias(k) for k, c in keys.items()], *_MODES.values()).agg(*aggregates)
+    grouped = df.groupBy(*[c.alias(k) for k, c in {**parts, **keys}.items()], *_MODES.values())
+    return grouped.agg(*aggregates).withColumn(start, bucket_time(grouped_time, unit)).drop(*parts)
 
 
 def _summarise(reduced: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,8 +109,8 @@ def weather_by_bucket(
 ) -> DataFrame:
     """:func:`weather_trends` without the order."""
     readings = filter_date_range(not_null(df, "capture_time"), start, end)
-    bucket = bucket_time(F.col("capture_time"), safe_interval(interval))
-    return _summarise(_reduce_readings(readings, {"interval_start": bucket}), ["interval_start"])
+    reduced = _reduce_readings(readings, "interval_start", safe_interval(interval))
+    return _summarise(reduced, ["interval_start"])
 
 
 def weather_trends(
@@ -112,12 +123,8 @@ def weather_trends(
     return weather_by_bucket(df, interval, start, end).orderBy(F.col("interval_start").desc())
 
 
-def _day() -> Column:
-    return bucket_time(F.col("capture_time"), "day")
-
-
 def _daily(df: DataFrame, required: str) -> DataFrame:
-    reduced = _reduce_readings(not_null(df, required), {"day": _day()})
+    reduced = _reduce_readings(not_null(df, required), "day", "day")
     return _summarise(reduced, ["day"]).select(RECORD_COLUMNS)
 
 
@@ -150,7 +157,7 @@ def weather_records(df: DataFrame) -> DataFrame:
     """The three record days in one pass over the captures, one row each with its ``record`` name."""
     has_temp, has_wind = F.col("temperature").isNotNull(), F.col("wind_speed").isNotNull()
     reduced = _reduce_readings(
-        df.filter(has_temp | has_wind), {"day": _day(), "has_temp": has_temp, "has_wind": has_wind}
+        df.filter(has_temp | has_wind), "day", "day", has_temp=has_temp, has_wind=has_wind
     )
     bases = F.array_compact(F.array(
         F.when(F.col("has_temp"), F.lit("temperature")), F.when(F.col("has_wind"), F.lit("wind"))
@@ -199,7 +206,7 @@ def day_images(df: DataFrame, day: DataFrame) -> DataFrame:
     return (
         images_on_day(df, day)
         .orderBy("capture_time", "id")
-        .select(_day().alias("day"), image_struct().alias("image"))
+        .select(bucket_time(F.col("capture_time"), "day").alias("day"), image_struct().alias("image"))
     )
 
 

@@ -51,8 +51,10 @@ def _rebalanced(images: DataFrame) -> DataFrame:
 
 
 def _write_images(images: DataFrame, path: str, mode: str) -> None:
+    """Files split by date and sorted by time, so that a range reads few row groups."""
     dated = images.withColumn("capture_date", F.to_date("capture_time"))
-    dated.write.mode(mode).partitionBy("capture_date").parquet(path)
+    ordered = dated.sortWithinPartitions("capture_date", "capture_time")
+    ordered.write.mode(mode).partitionBy("capture_date").parquet(path)
 
 
 def append_images(captures: DataFrame, images: DataFrame, path: str, now: datetime | str) -> None:
