@@ -4,7 +4,8 @@ import pytest
 
 from trailtally.session import get_session
 
-DATA = os.environ.get("TRAILTALLY_DATA", "/root/testdata/sf0.01")
+DEFAULT_DATA = "/root/testdata/sf0.01"
+DATA = os.environ.get("TRAILTALLY_DATA", DEFAULT_DATA)
 
 
 @pytest.fixture(scope="session")

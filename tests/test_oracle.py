@@ -7,6 +7,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as driver
 from tests import compare
+from tests.conftest import DEFAULT_DATA as DATA
 
 QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
 
@@ -26,8 +27,9 @@ def test_matches_sql(spark, connection, data, name):
     columns, rows = compare.spark_rows(df)
     expected_columns, expected = compare.sql_rows(connection, ORACLES[name])
     assert columns == expected_columns
-    assert len(rows) == len(expected) > 0
+    assert len(rows) == len(expected)
     assert rows == expected
+    assert rows or data != DATA
     assert compare.spark_types(df) == compare.sql_types(connection, ORACLES[name])
 
 

@@ -89,7 +89,6 @@ def list_tagged_images(
     chosen = None
     if tag_names:
         chosen = ids_having_all_tags(links, tags, tag_names).withColumnRenamed("id", "image_id")
-        shown = shown.join(chosen, F.col("id") == F.col("image_id"), "left_semi")
     return images_with_tags(shown, links, tags, ids=chosen).orderBy(*sort_key(sort_by, sort_order), "part")
 
 

@@ -63,8 +63,9 @@ def tag_lists(
     if ids is not None:
         links = links.join(ids, "image_id", "left_semi")
     plain = links if heavy is None else links.join(heavy, "image_id", "left_anti")
+    # Ids move to their image before they are turned into texts, which are longer.
     lists = (
-        tag_rows(plain, tags)
+        tag_rows(plain.repartition("image_id"), tags)
         .groupBy("image_id")
         .agg(F.collect_list("name").alias("tags"))
         .select("image_id", F.lit(0).cast("bigint").alias("part"), "tags")
@@ -103,11 +104,13 @@ def images_with_tags(
 ) -> DataFrame:
     """Images with their tag texts; an untagged image has an empty list.
 
-    Links are gathered per image before the join, so the wide image columns are never grouped.
-    See :func:`tag_lists` for ``part``.
+    With ``ids`` (image_id), which must have tags, only those images. Links are gathered per
+    image before the join, so the wide image columns are never grouped. See :func:`tag_lists`
+    for ``part``.
     """
     lists = tag_lists(links, tags, max_list, ids).withColumnRenamed("image_id", "id")
-    return images.join(lists, "id", "left").withColumns(_filled_lists())
+    joined = images.join(lists, "id", "left" if ids is None else "inner")
+    return joined.withColumns(_filled_lists())
 
 
 def _filled_lists() -> dict[str, Column]:

@@ -100,8 +100,8 @@ _MODES = """mode() WITHIN GROUP (ORDER BY temperature_unit) AS temp_unit,
        mode() WITHIN GROUP (ORDER BY wind_unit) AS wind_unit,
        mode() WITHIN GROUP (ORDER BY wind_direction) AS common_wind_dir"""
 
-_STATISTICS = f"""round(avg(temperature), 6) AS avg_temp, min(temperature) AS min_temp, max(temperature) AS max_temp,
-       round(avg(wind_speed), 6) AS avg_wind, min(wind_speed) AS min_wind, max(wind_speed) AS max_wind,
+_STATISTICS = f"""round(avg(temperature) + 1e-9, 6) AS avg_temp, min(temperature) AS min_temp, max(temperature) AS max_temp,
+       round(avg(wind_speed) + 1e-9, 6) AS avg_wind, min(wind_speed) AS min_wind, max(wind_speed) AS max_wind,
        {_MODES}"""
 
 _RANGE = "capture_time >= TIMESTAMP '2024-01-08' AND capture_time <= TIMESTAMP '2024-01-21 12:00:00'"
