@@ -92,11 +92,31 @@ def test_record_days_count_their_own_readings(spark):
     assert rows(weather.daily_temps(df).orderBy("day"), "avg_wind") == [(1.0,), (None,), (5.0,)]
 
 
+@pytest.mark.parametrize("max_list", [100, 3])
+def test_day_lists_keep_the_order(spark, max_list):
+    df = images(spark, *[
+        {"capture_time": f"2024-01-01 0{(i * 7) % 5}:00:00", "temperature": 1.0, "wind_speed": 1.0} for i in range(20)
+    ])
+    expected = sorted(range(1, 21), key=lambda i: (((i - 1) * 7) % 5, i))
+    lists = weather.day_image_lists(df, datetime(2024, 1, 1), max_list).orderBy("part").collect()
+    assert [image["id"] for r in lists for image in r["images"]] == expected
+    assert max(len(r["images"]) for r in lists) <= max_list
+    assert len(lists) == 1 or max_list == 3
+    found = weather.record_documents(df, max_list).orderBy("record", "part").collect()
+    assert [i["id"] for r in found if r["record"] == "coldest_day" for i in r["images"]] == expected
+    assert {r["record"] for r in found} == {"coldest_day", "hottest_day", "windiest_day"}
+    assert found[0]["images"][0]["capture_time"] == "2024-01-01T00:00:00"
+
+
 def test_no_readings_no_records(spark):
     df = images(spark, {}, {})
     assert weather.weather_records(df).count() == 0
     assert weather.coldest_day(df).count() == 0
     assert weather.day_images(df, weather.coldest_day(df)).count() == 0
+    assert weather.day_image_lists(df, weather.coldest_day(df)).count() == 0
+    some = weather.record_documents(images(spark, {"temperature": 1.0, "wind_speed": 1.0}))
+    assert weather.record_documents(df).schema.names == some.schema.names
+    assert weather.record_documents(df).count() == 0
 
 
 def test_range_ends_at_midnight(spark):

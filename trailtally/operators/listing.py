@@ -24,8 +24,8 @@ from trailtally.operators.filters import (
     filter_ids,
     filter_location,
 )
+from trailtally.operators.ranges import placed_in_ranges
 from trailtally.operators.tagging import ids_having_all_tags, images_with_tags
-from trailtally.session import pin
 
 DEFAULT_PAGE_SIZE = 20
 # Most rows each task ranks for a page; deeper pages are found by counting.
@@ -118,15 +118,10 @@ def page_images(
 def _ids_by_rank(keys: DataFrame, order: list[Column], skipped: int, count: int) -> DataFrame:
     """``id`` of ``count`` rows after the first ``skipped`` in the order.
 
-    Sorted ranges are pinned with each row's place in its range. The ranges' sizes, one number
-    each, tell which places are wanted. Rows of one key value are split by id.
+    The sizes of the sorted ranges, one number each, tell which places are wanted. Rows of one
+    key value are split by id.
     """
-    row_in_range = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    placed = pin(
-        keys.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select("id", F.spark_partition_id().alias("range"), row_in_range.alias("place"))
-    )
+    placed = placed_in_ranges(keys, order).select("id", "range", "place")
     sizes = placed.groupBy("range").count().orderBy("range").collect()
     chosen, before = F.lit(False), 0
     for size in sizes:

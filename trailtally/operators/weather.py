@@ -9,6 +9,7 @@ rows per bucket.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,10 @@ from trailtally.functions.params import safe_interval
 from trailtally.functions.present import round1_or_null
 from trailtally.functions.times import bucket_time, iso_seconds
 from trailtally.operators.filters import filter_date_range, filter_times, not_null
+from trailtally.operators.ranges import placed_in_ranges
+
+# Longest list of a day's captures put into one row.
+MAX_DAY_LIST = 10_000
 
 _MODES = {
     "temp_unit": "temperature_unit",
@@ -180,29 +185,32 @@ def weather_records(df: DataFrame) -> DataFrame:
     return records.select(F.inline(rows)).filter(F.col("day").isNotNull())
 
 
-def images_on_day(df: DataFrame, day: DataFrame) -> DataFrame:
-    """Captures of the one day in ``day``, those without readings included.
+def images_on_day(df: DataFrame, day: DataFrame | datetime) -> DataFrame:
+    """Captures of one day, given as such or as a row of daily statistics.
 
-    The day is fetched first and enters as literal bounds, which skip other days' files.
+    Captures without readings are included. The day enters as literal bounds, which skip other
+    days' files.
     """
-    found = day.select("day").first()
-    if found is None:
-        return df.limit(0)
-    return filter_times(df, start=found["day"], before=found["day"] + timedelta(days=1))
+    if isinstance(day, DataFrame):
+        found = day.select("day").first()
+        if found is None:
+            return df.limit(0)
+        day = found["day"]
+    return filter_times(df, start=day, before=day + timedelta(days=1))
 
 
-def image_struct() -> Column:
+def image_struct(image: Column | None = None) -> Column:
     """The short form of a capture shown with a record day."""
+    field = F.col if image is None else image.getField
     return F.struct(
-        F.col("id"), F.col("cdn_url"), iso_seconds(F.col("capture_time")).alias("capture_time")
+        field("id").alias("id"),
+        field("cdn_url").alias("cdn_url"),
+        iso_seconds(field("capture_time")).alias("capture_time"),
     )
 
 
-def day_images(df: DataFrame, day: DataFrame) -> DataFrame:
-    """Captures of the day in time order, one row (day, image) each.
-
-    Rows rather than one array, since a day may hold more captures than one task can.
-    """
+def day_images(df: DataFrame, day: DataFrame | datetime) -> DataFrame:
+    """Captures of the day in time order, one row (day, image) each."""
     return (
         images_on_day(df, day)
         .orderBy("capture_time", "id")
@@ -210,6 +218,29 @@ def day_images(df: DataFrame, day: DataFrame) -> DataFrame:
     )
 
 
+def day_image_lists(
+    df: DataFrame, day: DataFrame | datetime, max_list: int = MAX_DAY_LIST
+) -> DataFrame:
+    """Captures of the day as ordered lists (day, part, images).
+
+    There is one list, part 0, unless the day has more than ``max_list`` captures. Then lists of
+    at most that length follow one another by ``part``.
+    """
+    images = images_on_day(df, day).select("capture_time", "id", "cdn_url")
+    if images.limit(max_list + 1).count() <= max_list:
+        parts = images.withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        placed = placed_in_ranges(images, [F.col("capture_time"), F.col("id")])
+        part = F.shiftleft(F.col("range").cast("bigint"), 32) + F.floor(F.col("place") / max_list)
+        parts = placed.withColumn("part", part)
+    ordered = F.array_sort(F.collect_list(F.struct("capture_time", "id", "cdn_url")))
+    return (
+        parts.groupBy(bucket_time(F.col("capture_time"), "day").alias("day"), "part")
+        .agg(ordered.alias("images"))
+        .withColumn("images", F.transform("images", image_struct))
+    )
+
+
 def weather_documents(summary: DataFrame, time: str = "interval_start") -> DataFrame:
     """Response form of trends or record rows: rounded readings nested by kind."""
     extra = [c for c in ("record", "reading_count") if c in summary.columns]
@@ -230,3 +261,14 @@ def weather_documents(summary: DataFrame, time: str = "interval_start") -> DataF
         ).alias("wind"),
         *extra,
     )
+
+
+def record_documents(df: DataFrame, max_list: int = MAX_DAY_LIST) -> DataFrame:
+    """Response form of the record days with their captures; see :func:`day_image_lists` for parts."""
+    records = weather_records(df)
+    found = records.collect()
+    documents = weather_documents(df.sparkSession.createDataFrame(found, records.schema), "day")
+    lists = [
+        day_image_lists(df, row["day"], max_list).withColumn("record", F.lit(row["record"])) for row in found
+    ] or [day_image_lists(df, records, max_list).withColumn("record", F.lit(""))]
+    return documents.join(reduce(DataFrame.unionByName, lists).drop("day"), "record")

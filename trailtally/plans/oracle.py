@@ -125,6 +125,16 @@ def _record(column: str, order: str) -> str:
     return f"WITH {_IMAGES}, daily AS ({_daily(column)})\nSELECT * FROM daily ORDER BY {order}, day LIMIT 1"
 
 
+_RECORDS = f"""
+temps AS ({_daily('temperature')}),
+winds AS ({_daily('wind_speed')}),
+records AS (
+  SELECT * FROM (SELECT 'coldest_day' AS record, * FROM temps ORDER BY avg_temp, day LIMIT 1)
+  UNION ALL BY NAME SELECT * FROM (SELECT 'hottest_day' AS record, * FROM temps ORDER BY avg_temp DESC, day LIMIT 1)
+  UNION ALL BY NAME SELECT * FROM (SELECT 'windiest_day' AS record, * FROM winds ORDER BY avg_wind DESC, day LIMIT 1)
+)"""
+
+
 def _bounded(stored: str, first: int, last: int) -> str:
     """The rows that storing positions ``first`` to ``last`` one by one would keep."""
     return f"""
@@ -168,12 +178,15 @@ ORACLE_SQL: dict[str, str] = {
     "windiest_day": _record("wind_speed", "avg_wind DESC"),
     "daily_temps": f"WITH {_IMAGES} {_daily('temperature')}",
     "daily_winds": f"WITH {_IMAGES} {_daily('wind_speed')}",
-    "weather_records": f"""WITH {_IMAGES},
-temps AS ({_daily('temperature')}),
-winds AS ({_daily('wind_speed')})
-SELECT * FROM (SELECT 'coldest_day' AS record, * FROM temps ORDER BY avg_temp, day LIMIT 1)
-UNION ALL BY NAME SELECT * FROM (SELECT 'hottest_day' AS record, * FROM temps ORDER BY avg_temp DESC, day LIMIT 1)
-UNION ALL BY NAME SELECT * FROM (SELECT 'windiest_day' AS record, * FROM winds ORDER BY avg_wind DESC, day LIMIT 1)""",
+    "weather_records": f"WITH {_IMAGES}, {_RECORDS} SELECT * FROM records",
+    "record_documents": f"""WITH {_IMAGES}, {_RECORDS}
+SELECT record, strftime(day, '%Y-%m-%dT%H:%M:%S') AS timestamp,
+       CASE WHEN min_temp <> 0 THEN format('{{:.1f}}', min_temp)::DOUBLE END AS min_temp,
+       CASE WHEN max_wind <> 0 THEN format('{{:.1f}}', max_wind)::DOUBLE END AS max_wind,
+       0::BIGINT AS part,
+       string_agg(id || '@' || strftime(capture_time, '%Y-%m-%dT%H:%M:%S'), '|' ORDER BY capture_time, id) AS images
+FROM records JOIN images ON date_trunc('day', capture_time) = day
+GROUP BY ALL""",
     "coldest_day_images": f"""WITH {_IMAGES}, daily AS ({_daily('temperature')}),
 coldest AS (SELECT day FROM daily ORDER BY avg_temp, day LIMIT 1)
 SELECT c.day, id, cdn_url, strftime(capture_time, '%Y-%m-%dT%H:%M:%S') AS capture_time

@@ -99,6 +99,16 @@ def coldest_day_images(spark, folder):
     return found.select("day", "image.*")
 
 
+@query
+def record_documents(spark, folder):
+    found = weather.record_documents(b.event_images(spark, folder))
+    shown = F.transform("images", lambda image: F.concat_ws("@", image["id"].cast("string"), image["capture_time"]))
+    return found.select(
+        "record", "timestamp", F.col("temperature.min").alias("min_temp"), F.col("wind.max").alias("max_wind"),
+        "part", F.array_join(shown, "|").alias("images"),
+    )
+
+
 @query
 def weather_documents(spark, folder):
     trends = weather.weather_by_bucket(b.event_images(spark, folder), "hour")
