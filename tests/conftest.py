@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 import pytest
 
@@ -16,6 +17,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="trailtally-warehouse-"),
             "spark.sql.maxMetadataStringLength": "2000",
             "spark.driver.memory": "8g",
             "spark.driver.bindAddress": "127.0.0.1",

@@ -1,5 +1,6 @@
 """Operators on hand-made rows."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trailtally import schema
 from trailtally.operators import answers, checks, filters, ingest, listing, mutate, scoring, tagging, weather
+from trailtally.plans import jobs
 from trailtally.sources.seed import seed_images
 from trailtally.sources.snapshots import expired_files, keep_latest
 
@@ -446,6 +448,19 @@ def test_batches_match_one_by_one(spark, stored, pairs, few, monkeypatch):
     assert positions(ingest.take_until_duplicate(seq, stored)) == first
 
 
+def test_random_sequences_match_one_by_one(spark, stored):
+    rng = random.Random(11)
+    for size in (12, 30, 60):
+        pairs = [
+            (rng.choice([f"i{rng.randrange(size)}", "known"] if rng.random() < 0.2 else [f"i{rng.randrange(size)}"]),
+             rng.choice([f"h{rng.randrange(size)}", "seen"] if rng.random() < 0.2 else [f"h{rng.randrange(size)}"]))
+            for _ in range(size)
+        ]
+        seq = sequence(spark, pairs)
+        assert positions(ingest.accepted(seq, stored)) == one_by_one(pairs, {"known"}, {"seen"}, force=True)
+        assert positions(ingest.take_until_duplicate(seq, stored)) == one_by_one(pairs, {"known"}, {"seen"}, False)
+
+
 def test_take_until_duplicate(spark):
     seq = sequence(spark, [("a", "1"), ("b", "2"), ("a", "3"), ("d", "4")])
     assert positions(ingest.take_until_duplicate(seq)) == [0, 1]
@@ -546,6 +561,25 @@ def test_scoring_survives_errors(spark):
     }
 
 
+def test_tagging_run(spark, tags):
+    df = images(spark, *[{"cdn_url": u, "created_at": datetime(2024, 1, i + 1)} for i, u in enumerate("abcd")])
+    links = links_of(spark, [(4, 1)])
+    answer = {"a": '{"Deer": 2}', "b": "{}", "c": "```json\n{\"Foxs\": 1}\n```", "d": '{"Owls": 7}'}.get
+    run = jobs.tag_next_batch(df, links, tags, answer, limit=2)
+    assert sorted(rows(run.tables.links)) == [(3, 3), (4, 1)]
+    assert rows(run.progress) == [(2, 1, 2)]
+    new = spark.createDataFrame([("s1",), ("s4",)], "source_id string")
+    again = jobs.tag_next_batch(df, links, tags, answer, new_ids=new, partitions=2)
+    assert sorted(rows(tagging.tag_rows(again.tables.links, again.tables.tags), "image_id", "name")) == [
+        (1, TAGS[0][1]), (4, tag("owl", 7))
+    ]
+    rebuilt = jobs.retag_images(df, links, tags, answer)
+    assert sorted(rows(tagging.tag_rows(rebuilt.links, rebuilt.tags), "image_id", "name")) == [
+        (1, TAGS[0][1]), (3, TAGS[2][1]), (4, tag("owl", 7))
+    ]
+    assert rebuilt.tags.count() == 3
+
+
 def test_retention(spark):
     files = spark.createDataFrame(
         [(f"/b/db_{k}_{i}.gz", k, datetime(2024, 1, i)) for k in ("schema", "data") for i in range(1, 10)],

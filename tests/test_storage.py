@@ -47,6 +47,15 @@ def test_image_table(spark, tmp_path):
     assert tables.scan_images(spark, path).count() == 1
 
 
+def test_image_table_of_other_writers(spark, tmp_path):
+    path, empty = str(tmp_path / "flat"), str(tmp_path / "empty")
+    seed_images(spark).write.parquet(path)
+    assert [r["id"] for r in tables.scan_images(spark, path, end="2024-01-02").collect()] == [1]
+    tables.recreate_images(seed_images(spark).limit(0), empty)
+    tables.append_images(captures(spark, [("a", "1")]), tables.scan_image_rows(spark, empty), empty, NOW)
+    assert [r["id"] for r in tables.scan_images(spark, empty).collect()] == [1]
+
+
 def test_tag_tables(spark, tmp_path):
     tags = spark.createDataFrame([(1, "{}")], schema.TAGS)
     links = spark.createDataFrame([(1, 1), (1, 1)], schema.IMAGE_TAGS)

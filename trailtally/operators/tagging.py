@@ -56,8 +56,9 @@ def tag_lists(
 ) -> DataFrame:
     """Tag texts of each tagged image as (image_id, part, tags), repeats kept.
 
-    With ``ids`` (image_id) only for those images. An image has one row, part 0, unless it has more than ``max_list`` links. Such an image
-    is spread over several parts, none of which gathers more than about ``max_list`` texts.
+    With ``ids`` (image_id) only for those images. An image has one row, part 0, unless it has
+    more than ``max_list`` links. Such an image is spread over several parts, none of which
+    gathers more than about ``max_list`` texts.
     """
     heavy = _heavy_images(links, max_list)
     if ids is not None:

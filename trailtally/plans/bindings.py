@@ -166,13 +166,14 @@ def event_date_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Date texts over events: (id, with_gaps, with_year)."""
     time, year = F.col("ts"), F.year("ts").cast("string")
     label = capture_label(time)
+    month_day, clock = (F.split_part(label, F.lit(","), F.lit(i)) for i in (1, 2))
     return table(spark, folder, "events").select(
         F.col("event_id").alias("id"),
         F.when(F.col("event_id") % 11 == 0, "junk").otherwise(
             F.concat(F.lit("\n "), F.replace(label, F.lit(" "), F.lit("  ")), F.lit(" "))
         ).alias("with_gaps"),
         F.when(F.col("event_id") % 11 == 0, "junk").otherwise(
-            F.concat(F.split_part(label, F.lit(","), F.lit(1)), F.lit(", "), year, F.split_part(label, F.lit(","), F.lit(2)))
+            F.concat(month_day, F.lit(", "), year, clock)
         ).alias("with_year"),
     )
 

@@ -27,6 +27,9 @@ _LISTING = """id, source_id, cdn_url, capture_time, primary_location, secondary_
 _PART_TAG = """'{"type": "' || %s || '", "name": "' || lower(p_type) || '", "count": ' || %s
          || ', "display": "' || p_type || ' ' || %s || '"}'"""
 
+_DEER_TAG = """'{"type": "animal", "name": "deer", "count": ' || (length(cdn_url) % 3)
+         || ', "display": "Deer ' || (length(cdn_url) % 3) || '"}'"""
+
 _TAGS = f"""
 images AS (
   SELECT o_orderkey AS id, 'order' || o_orderkey AS source_id,
@@ -319,6 +322,13 @@ SELECT image_id, name FROM links JOIN tags USING (tag_id)
 WHERE image_id NOT IN (SELECT image_id FROM answer_tags)
 UNION ALL SELECT image_id, tag_json AS name FROM answer_tags""",
     "retag_all": f"WITH {_ANSWERS} SELECT image_id, tag_json AS name FROM answer_tags",
+    "tag_next_batch": f"""WITH {_TAGS},
+batch AS (SELECT id, cdn_url FROM untagged ORDER BY created_at DESC NULLS FIRST, id LIMIT 20)
+SELECT image_id, name FROM links JOIN tags USING (tag_id)
+UNION ALL
+SELECT id, {_DEER_TAG} FROM batch WHERE length(cdn_url) % 3 > 0""",
+    "retag_images": f"""WITH {_TAGS}
+SELECT id AS image_id, {_DEER_TAG} AS name FROM images WHERE length(cdn_url) % 3 > 0""",
     "update_images": f"""WITH {_IMAGES}
 SELECT id, CASE WHEN temperature = 0 THEN 1.5::DOUBLE ELSE temperature END AS temperature, created_at,
        CASE WHEN temperature = 0 THEN {_NOW} ELSE created_at END AS updated_at

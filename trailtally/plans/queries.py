@@ -12,6 +12,7 @@ from trailtally import schema
 from trailtally.functions import present, tags, text, times
 from trailtally.operators import answers, checks, filters, ingest, listing, mutate, scoring, tagging, weather
 from trailtally.plans import bindings as b
+from trailtally.plans import jobs
 from trailtally.session import configure
 from trailtally.sources import media, snapshots
 
@@ -371,6 +372,26 @@ def retag_all(spark, folder):
     ))
 
 
+def _count_by_address(address: str) -> str:
+    """A stand-in for a model."""
+    return json.dumps({"Deers": len(address) % 3, "total": 9})
+
+
+@query
+def tag_next_batch(spark, folder):
+    run = jobs.tag_next_batch(
+        b.order_images(spark, folder), b.image_links(spark, folder), b.part_tags(spark, folder), _count_by_address
+    )
+    return _named_links(run.tables)
+
+
+@query
+def retag_images(spark, folder):
+    return _named_links(jobs.retag_images(
+        b.order_images(spark, folder), b.image_links(spark, folder), b.part_tags(spark, folder), _count_by_address
+    ))
+
+
 @query
 def update_images(spark, folder):
     images = b.event_images(spark, folder)

@@ -26,8 +26,7 @@ def scan_images(
 
 def scan_image_rows(spark: SparkSession, path: str) -> DataFrame:
     """Image table with all columns, and ``capture_date`` where the files are split by it."""
-    dated = T.StructType([*schema.IMAGES.fields, T.StructField("capture_date", T.DateType())])
-    return spark.read.schema(dated).parquet(path)
+    return spark.read.schema(schema.IMAGES).parquet(path)
 
 
 def scan_tags(spark: SparkSession, path: str) -> DataFrame:
@@ -72,3 +71,15 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     """Store rows at a new path and read them back; an existing path is an error."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Store rows as a catalog table split and sorted by ``key``.
+
+    Tables with equally many buckets of the same key are joined and grouped on it without a
+    shuffle, which pays for images and links that are joined again and again. An existing table
+    is an error.
+    """
+    ready = df.repartition(buckets, key)
+    ready.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
