@@ -1,7 +1,8 @@
 """Incremental ingest: readings to columns, duplicates, and which captures a run takes.
 
-A sequence has the columns ``pos`` (0-based, unique, newest first), ``source_id`` and
-``file_hash``, and whatever else describes a capture.
+A sequence has the columns ``pos`` (unique, in the order of looking at the rows), ``source_id``
+and ``file_hash``, and whatever else describes a capture. Where positions are counted, in
+batches, ``pos`` is a number from 0.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def dedupe_run(seq: DataFrame) -> DataFrame:
 
 
 def _are_few(seq: DataFrame) -> bool:
-    return seq.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    return seq.count() <= MAX_BROADCAST_KEYS
 
 
 def _stored_keys(seq: DataFrame, images: DataFrame, key: str, few: bool) -> DataFrame:
@@ -161,7 +162,7 @@ def new_captures(
     """Candidates stored neither under their hash nor under their source id.
 
     ``seq`` is a cheaper relation with the same keys or more. ``few`` tells that it has at most
-    ``MAX_BROADCAST_KEYS`` rows; if not given, they are counted up to that number.
+    ``MAX_BROADCAST_KEYS`` rows; if not given, they are counted.
     """
     seq = candidates if seq is None else seq
     few = _are_few(seq) if few is None else few
@@ -172,8 +173,17 @@ def new_captures(
 
 
 def accepted(seq: DataFrame, images: DataFrame, few: bool | None = None) -> DataFrame:
-    """What storing a sequence one by one would keep: unseen, and no copy of a kept row."""
-    return first_by(new_captures(dedupe_run(seq), images, seq, few), "file_hash")
+    """What storing a sequence one by one would keep: unseen, and no copy of a kept row.
+
+    The choice is made on the keys alone, so what else a row holds is shuffled once at most.
+    """
+    keys = seq.select("pos", *CAPTURE_KEYS)
+    few = _are_few(keys) if few is None else few
+    kept = first_by(new_captures(dedupe_run(keys), images, keys, few), "file_hash")
+    if set(seq.columns) == set(keys.columns):
+        return kept.select(seq.columns)
+    chosen = F.broadcast(kept.select("pos")) if few else kept.select("pos")
+    return seq.join(chosen, "pos", "left_semi").select(seq.columns)
 
 
 def _first_repeat(seq: DataFrame, key: str) -> DataFrame:

@@ -227,7 +227,7 @@ def day_image_lists(
     at most that length follow one another by ``part``.
     """
     images = images_on_day(df, day).select("capture_time", "id", "cdn_url")
-    if images.limit(max_list + 1).count() <= max_list:
+    if images.count() <= max_list:
         parts = images.withColumn("part", F.lit(0).cast("bigint"))
     else:
         placed = placed_in_ranges(images, [F.col("capture_time"), F.col("id")])

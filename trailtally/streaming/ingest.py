@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,8 +20,12 @@ CAPTURES = T.StructType([
 
 
 def read_inbox(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream of capture files dropped into the folder."""
-    return spark.readStream.schema(CAPTURES).parquet(folder)
+    """Stream of capture files dropped into the folder.
+
+    Positions count from 0 in each file, so the file becomes part of them.
+    """
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "pos")
+    return spark.readStream.schema(CAPTURES).parquet(folder).withColumn("pos", place)
 
 
 def ingest_stream(
