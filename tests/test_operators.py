@@ -258,6 +258,10 @@ def test_images_outside_the_range_lose_their_tags(spark, tags):
     links = links_of(spark, [(1, 1), (2, 1)])
     found = tagging.tags_masked_outside_range(df, links, tags, F.col("capture_time") >= F.lit("2024-01-15").cast("timestamp_ntz"))
     assert {r["id"]: len(r["tags"]) for r in found.collect()} == {1: 0, 2: 1}
+    listed = listing.list_tagged_images(df, links, tags, tag_names="deer", start="2024-01-15", mask_outside_range=True)
+    assert [(r["id"], len(r["tags"])) for r in listed.collect()] == [(2, 1), (1, 0)]
+    assert listing.list_tagged_images(df, links, tags, tag_names="deer", start="2024-01-15").count() == 1
+    assert listing.list_tagged_images(df, links, tags, tag_names=" , ").count() == 0
 
 
 def test_untagged_queue(spark, tags):

@@ -24,6 +24,22 @@ def where_all(df: DataFrame, predicates: Iterable[Column | None]) -> DataFrame:
     return df.filter(reduce(and_, given)) if given else df
 
 
+def time_predicates(
+    start: datetime | str | None = None,
+    end: datetime | str | None = None,
+    before: datetime | str | None = None,
+    column: str = "capture_time",
+) -> list[Column]:
+    """Conditions for a time from ``start`` to ``end``, both included, and earlier than ``before``.
+
+    They are plain comparisons with literals, which reach the file scan.
+    """
+    time = F.col(column)
+    predicates = [time >= moment(start)] if start else []
+    predicates += [time <= moment(end)] if end else []
+    return predicates + ([time < moment(before)] if before else [])
+
+
 def filter_times(
     df: DataFrame,
     start: datetime | str | None = None,
@@ -31,23 +47,16 @@ def filter_times(
     before: datetime | str | None = None,
     column: str = "capture_time",
 ) -> DataFrame:
-    """Rows from ``start`` to ``end``, both included, and earlier than ``before``.
+    """Rows meeting :func:`time_predicates`.
 
-    Bounds are plain comparisons with literals, which reach the file scan. Where the files are
-    split by ``capture_date``, its bounds are added, so other dates' files are not listed at all.
+    Where the files are split by ``capture_date``, its bounds are added, so other dates' files
+    are not listed at all.
     """
-    dated = column == "capture_time" and "capture_date" in df.columns
-    time, date = F.col(column), F.col("capture_date")
-    predicates = []
-    if start:
-        predicates.append(time >= moment(start))
-        predicates += [date >= F.to_date(moment(start))] if dated else []
-    if end:
-        predicates.append(time <= moment(end))
-        predicates += [date <= F.to_date(moment(end))] if dated else []
-    if before:
-        predicates.append(time < moment(before))
-        predicates += [date <= F.to_date(moment(before))] if dated else []
+    predicates = time_predicates(start, end, before, column)
+    if column == "capture_time" and "capture_date" in df.columns:
+        date = F.col("capture_date")
+        predicates += [date >= F.to_date(moment(start))] if start else []
+        predicates += [date <= F.to_date(moment(last)) for last in (end, before) if last]
     return where_all(df, predicates)
 
 

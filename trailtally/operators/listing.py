@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +25,10 @@ from trailtally.operators.filters import (
     filter_date_range,
     filter_ids,
     filter_location,
+    time_predicates,
 )
 from trailtally.operators.ranges import placed_in_ranges
-from trailtally.operators.tagging import ids_having_all_tags, images_with_tags
+from trailtally.operators.tagging import ids_having_all_tags, images_with_tags, tags_masked_outside_range
 
 DEFAULT_PAGE_SIZE = 20
 # Most rows each task ranks for a page; deeper pages are found by counting.
@@ -76,20 +79,27 @@ def list_tagged_images(
     location: str | None = None,
     sort_by: str | None = "capture_time",
     sort_order: str | None = "desc",
+    mask_outside_range: bool = False,
 ) -> DataFrame:
     """Listing with tag lists: the images named by ``ids`` in that order, or a filtered, sorted list.
 
-    Tag lists are gathered only for images the listing can show.
+    Tag lists are gathered only for images the listing can show. With ``mask_outside_range``
+    the dates do not filter a list by tags but empty the tags of images outside of them.
     """
     if ids:
         wanted = parse_ids(ids) if isinstance(ids, str) else list(ids)
         own_links = filter_ids(links, wanted, "image_id")
         return _in_requested_order(images_with_tags(filter_ids(images, wanted), own_links, tags), wanted)
+    order = [*sort_key(sort_by, sort_order), F.col("part")]
+    if not tag_names:
+        return images_with_tags(filter_images(images, start, end, location), links, tags).orderBy(*order)
+    chosen = ids_having_all_tags(links, tags, tag_names).withColumnRenamed("id", "image_id")
+    if mask_outside_range:
+        in_range = reduce(and_, time_predicates(start, end), F.lit(True))
+        placed = filter_location(images, location)
+        return tags_masked_outside_range(placed, links, tags, in_range, ids=chosen).orderBy(*order)
     shown = filter_images(images, start, end, location)
-    chosen = None
-    if tag_names:
-        chosen = ids_having_all_tags(links, tags, tag_names).withColumnRenamed("id", "image_id")
-    return images_with_tags(shown, links, tags, ids=chosen).orderBy(*sort_key(sort_by, sort_order), "part")
+    return images_with_tags(shown, links, tags, ids=chosen).orderBy(*order)
 
 
 def page_images(

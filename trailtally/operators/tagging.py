@@ -122,10 +122,20 @@ def _filled_lists() -> dict[str, Column]:
 
 
 def tags_masked_outside_range(
-    images: DataFrame, links: DataFrame, tags: DataFrame, in_range: Column, max_list: int = MAX_LIST
+    images: DataFrame,
+    links: DataFrame,
+    tags: DataFrame,
+    in_range: Column,
+    max_list: int = MAX_LIST,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
-    """As :func:`images_with_tags`, but images outside the range stay with an empty list."""
-    lists = tag_lists(links, tags, max_list)
+    """As :func:`images_with_tags`, but images outside the range stay with an empty list.
+
+    With ``ids`` (image_id) only for those images.
+    """
+    if ids is not None:
+        images = images.join(ids.withColumnRenamed("image_id", "id"), "id", "left_semi")
+    lists = tag_lists(links, tags, max_list, ids)
     joined = images.join(lists, (F.col("id") == F.col("image_id")) & in_range, "left")
     return joined.drop("image_id").withColumns(_filled_lists())
 

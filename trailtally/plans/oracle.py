@@ -259,6 +259,9 @@ SELECT id, 0::BIGINT AS part, coalesce(tags, '') AS tags FROM images LEFT JOIN t
 SELECT id, source_id, capture_time, coalesce(tags, '') AS tags
 FROM images JOIN having_all USING (id) LEFT JOIN tag_lists ON id = image_id
 WHERE capture_time >= {_LINK_START} ORDER BY created_at, id""",
+    "list_tagged_images_masked": f"""WITH {_TAGS}
+SELECT id, capture_time, coalesce(tags, '') AS tags
+FROM images JOIN having_all USING (id) LEFT JOIN tag_lists ON id = image_id AND capture_time >= {_LINK_START}""",
     "images_having_all_tags": f"WITH {_TAGS} SELECT i.* FROM images i WHERE id IN (SELECT id FROM having_all)",
     "tags_masked_outside_range": f"""WITH {_TAGS}
 SELECT id, coalesce(tags, '') AS tags

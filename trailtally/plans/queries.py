@@ -247,6 +247,16 @@ def tags_masked_outside_range(spark, folder):
     return found.select("id", F.array_join(F.array_sort("tags"), "|").alias("tags"))
 
 
+@query
+def list_tagged_images_masked(spark, folder):
+    images = b.image_columns_filled(b.order_images(spark, folder))
+    found = listing.list_tagged_images(
+        images, b.image_links(spark, folder), b.part_tags(spark, folder),
+        tag_names=TAG_NAMES, start=LINK_RANGE_START, mask_outside_range=True,
+    )
+    return found.select("id", "capture_time", F.array_join(F.array_sort("tags"), "|").alias("tags"))
+
+
 @query
 def tag_rows(spark, folder):
     return tagging.tag_rows(b.image_links(spark, folder), b.part_tags(spark, folder))
