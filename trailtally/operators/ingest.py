@@ -32,6 +32,9 @@ DEFAULTS = {
     "wind_unit": "mph",
 }
 
+# Beyond every position.
+END = (1 << 63) - 1
+
 # Most rows whose keys are broadcast to the stored images.
 MAX_BROADCAST_KEYS = 100_000
 
@@ -209,9 +212,12 @@ def first_duplicate(
 def take_until_duplicate(
     seq: DataFrame, images: DataFrame | None = None, few: bool | None = None
 ) -> DataFrame:
-    """Rows before the first duplicate, or all rows if there is none."""
-    stop = first_duplicate(seq, images, few).scalar()
-    return seq.filter(stop.isNull() | (F.col("pos") < stop))
+    """Rows before the first duplicate, or all rows if there is none.
+
+    The bound is one number that reaches the file scan.
+    """
+    stop = first_duplicate(seq, images, few).select(F.coalesce("pos", F.lit(END)))
+    return seq.filter(F.col("pos") < stop.scalar())
 
 
 def _attempts(seq: DataFrame, first: int, count: int) -> DataFrame:

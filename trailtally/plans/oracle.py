@@ -287,9 +287,9 @@ SELECT id, cdn_url FROM untagged ORDER BY created_at DESC NULLS FIRST, id LIMIT
     "all_untagged_images": f"WITH {_TAGS} SELECT * FROM untagged",
     "count_untagged": f"WITH {_TAGS} SELECT count(*) AS count FROM untagged",
     "tagging_progress": f"""WITH {_TAGS},
-batch AS (SELECT id FROM untagged ORDER BY created_at DESC NULLS FIRST, id LIMIT 20)
-SELECT count(*) AS found, count(*) FILTER (WHERE id % 4 <> 0) AS processed,
-       (SELECT count(*) FROM untagged) - count(*) FILTER (WHERE id % 4 <> 0) AS remaining
+batch AS (SELECT id, cdn_url FROM untagged ORDER BY created_at DESC NULLS FIRST, id LIMIT 20)
+SELECT count(*) AS found, count(*) FILTER (WHERE length(cdn_url) % 3 > 0) AS processed,
+       (SELECT count(*) FROM untagged) - count(*) FILTER (WHERE length(cdn_url) % 3 > 0) AS remaining
 FROM batch""",
     "next_tagging_batch": f"""WITH {_TAGS}
 SELECT id, cdn_url FROM untagged ORDER BY created_at DESC NULLS FIRST, id LIMIT 20""",

@@ -303,13 +303,6 @@ def count_untagged(spark, folder):
     return tagging.count_untagged(b.order_images(spark, folder), b.image_links(spark, folder))
 
 
-@query
-def tagging_progress(spark, folder):
-    images, links = b.order_images(spark, folder), b.image_links(spark, folder)
-    batch = tagging.newest_untagged(images, links).withColumn("ok", F.col("id") % 4 != 0)
-    return tagging.tagging_progress(tagging.count_untagged(images, links), batch)
-
-
 @query
 def next_tagging_batch(spark, folder):
     images, links = b.order_images(spark, folder), b.image_links(spark, folder)
@@ -395,6 +388,14 @@ def tag_next_batch(spark, folder):
     return _named_links(run.tables)
 
 
+@query
+def tagging_progress(spark, folder):
+    run = jobs.tag_next_batch(
+        b.order_images(spark, folder), b.image_links(spark, folder), b.part_tags(spark, folder), _count_by_address
+    )
+    return run.progress
+
+
 @query
 def retag_images(spark, folder):
     return _named_links(jobs.retag_images(
