@@ -72,6 +72,8 @@ def test_shuffled_joins_when_nothing_fits_a_broadcast(spark, data):
             text = executed(ingest.new_captures(seq, stored, few=few))
             assert text.count("LeftAnti") == 2 and "NestedLoop" not in text
             assert ("Broadcast" in text) == few
+        # One shuffle per key for the sequence and one for the stored images.
+        assert executed(ingest.accepted(seq, seq, few=False)).count("Exchange hashpartitioning") == 4
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

@@ -38,7 +38,8 @@ END = (1 << 63) - 1
 # Most rows whose keys are broadcast to the stored images.
 MAX_BROADCAST_KEYS = 100_000
 
-CAPTURE_KEYS = ("file_hash", "source_id")
+# A repeated source id is passed over whether or not its first row was kept, so it comes first.
+CAPTURE_KEYS = ("source_id", "file_hash")
 READING_KINDS = ("temperature", "wind", "pressure", "sun", "moon")
 
 
@@ -159,30 +160,30 @@ def _stored_keys(seq: DataFrame, images: DataFrame, key: str, few: bool) -> Data
     return keys.distinct()
 
 
-def new_captures(
-    candidates: DataFrame, images: DataFrame, seq: DataFrame | None = None, few: bool | None = None
-) -> DataFrame:
+def new_captures(candidates: DataFrame, images: DataFrame, few: bool | None = None) -> DataFrame:
     """Candidates stored neither under their hash nor under their source id.
 
-    ``seq`` is a cheaper relation with the same keys or more. ``few`` tells that it has at most
-    ``MAX_BROADCAST_KEYS`` rows; if not given, they are counted.
+    ``few`` tells that there are at most ``MAX_BROADCAST_KEYS`` candidates; if not given, they
+    are counted.
     """
-    seq = candidates if seq is None else seq
-    few = _are_few(seq) if few is None else few
+    few = _are_few(candidates) if few is None else few
     fresh = candidates
     for key in CAPTURE_KEYS:
-        fresh = fresh.join(_stored_keys(seq, images, key, few), key, "left_anti")
+        fresh = fresh.join(_stored_keys(candidates, images, key, few), key, "left_anti")
     return fresh.select(candidates.columns)
 
 
 def accepted(seq: DataFrame, images: DataFrame, few: bool | None = None) -> DataFrame:
     """What storing a sequence one by one would keep: unseen, and no copy of a kept row.
 
-    The choice is made on the keys alone, so what else a row holds is shuffled once at most.
+    The choice is made on the keys alone, and each key's two steps share one shuffle, before
+    which copies were combined. What else a row holds is shuffled once at most.
     """
     keys = seq.select("pos", *CAPTURE_KEYS)
     few = _are_few(keys) if few is None else few
-    kept = first_by(new_captures(dedupe_run(keys), images, keys, few), "file_hash")
+    kept = keys
+    for key in CAPTURE_KEYS:
+        kept = first_by(kept, key).join(_stored_keys(keys, images, key, few), key, "left_anti")
     if set(seq.columns) == set(keys.columns):
         return kept.select(seq.columns)
     chosen = F.broadcast(kept.select("pos")) if few else kept.select("pos")

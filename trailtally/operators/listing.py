@@ -205,7 +205,7 @@ def all_images_by_created(images: DataFrame) -> DataFrame:
 
 
 def image_labels(images: DataFrame) -> DataFrame:
-    """Texts a gallery or detail page shows; values that are missing or zero have no text."""
+    """Texts a list or detail page shows; values that are missing or zero have no text."""
     meta = F.col("meta")
     return images.withColumn("meta", metadata_fields(F.col("raw_metadata"))).select(
         "id",

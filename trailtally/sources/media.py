@@ -36,7 +36,7 @@ def hashed_media(media: DataFrame) -> DataFrame:
 
 
 def media_manifest(media: DataFrame) -> DataFrame:
-    """Gallery entries, newest first: (name, date_text, path, shown_path).
+    """Entries of a picture list, newest first: (name, date_text, path, shown_path).
 
     Files of one name from different folders share one copy, which is the oldest file's.
     """
