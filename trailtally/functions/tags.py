@@ -26,9 +26,13 @@ def parse_tags(tags: Column) -> Column:
 
 
 def _quote(text: Column) -> Column:
+    """JSON string; only texts that need escapes go through the JSON writer."""
     wrapped = F.to_json(F.struct(text.alias("v")))
-    return F.when(text.isNull(), "null").otherwise(
-        F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
+    escaped = F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return (
+        F.when(text.isNull(), "null")
+        .when(text.rlike(r'["\\\x00-\x1f]'), escaped)
+        .otherwise(F.concat(F.lit('"'), text, F.lit('"')))
     )
 
 
