@@ -110,10 +110,10 @@ def test_stream_ingests_each_capture_once(spark, tmp_path):
         assert query.awaitTermination(120)
         return sorted(r["source_id"] for r in tables.scan_images(spark, table).collect())
 
-    captures(spark, [("n1", "x1"), ("n2", "x1"), ("test1", "x3")]).write.mode("append").parquet(inbox)
+    captures(spark, [("n1", "x1"), ("n2", "x1"), ("test1", "x3")]).coalesce(1).write.mode("append").parquet(inbox)
     assert poll() == ["n1", "test1", "test2", "test3"]
     # Positions start anew in every file, and two files arrive between polls.
-    captures(spark, [("n1", "x9"), ("n4", "x4")], "2024-01-06").write.mode("append").parquet(inbox)
+    captures(spark, [("n1", "x9"), ("n4", "x4")], "2024-01-06").coalesce(1).write.mode("append").parquet(inbox)
     captures(spark, [("n4", "x4"), ("n5", "x5")], "2024-01-06").coalesce(1).write.mode("append").parquet(inbox)
     assert poll() == ["n1", "n4", "n5", "test1", "test2", "test3"]
     assert poll() == ["n1", "n4", "n5", "test1", "test2", "test3"]
