@@ -135,6 +135,14 @@ def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def keep_first_lines(docs: DataFrame) -> DataFrame:
+    """Documents without their repeated lines, with their own columns and a new ``n_chars``."""
+    slim = drop_repeated_lines(docs).drop("n_lines", "n_dropped")
+    if "n_chars" in docs.columns:
+        slim = slim.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return slim.select(docs.columns)
+
+
 LINE_DEDUP_SQL = """
 WITH doc_lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trailtally.llm.classifier import quality_scores
 from trailtally.llm.common import table
 from trailtally.llm.line_dedup import LINE_DEDUP_SQL, line_digests
+from trailtally.llm.near_dedup import near_duplicate_classes
 from trailtally.llm.packing import pack
+from trailtally.llm.quality_rules import quality_verdicts
 from trailtally.llm.url_filter import URL_FILTER_SQL, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(spark, folder)
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_verdicts(spark, folder)
 
@@ -22,11 +29,29 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_verdicts(spark, folder)
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_digests(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_url_filter, op5_packing, op8_line_dedup)}
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_classes(spark, folder)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op3_url_filter,
+        op5_packing,
+        op6_quality_rules,
+        op8_line_dedup,
+        op10_near_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": URL_FILTER_SQL,
