@@ -17,6 +17,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="trailtally-checkpoints-"),
             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="trailtally-warehouse-"),
             "spark.sql.maxMetadataStringLength": "2000",
             "spark.driver.memory": "8g",

@@ -1,5 +1,6 @@
 """Column functions on hand-made rows."""
 
+import json
 import math
 import random
 from datetime import datetime
@@ -112,9 +113,12 @@ def test_paths(spark):
     ]
     address = text.publish_url("https://c", F.lit("id1"), F.lit("h"), x())
     assert values(spark, address, ["down/a.JPG"], "string") == ["https://c/images/id1_h.JPG"]
-    assert values(spark, text.file_kind(x()), [
-        "/b/db_schema_20240101.sql.gz", "/b/db_data_20240101.sql.gz", "/l/cam_sync_1.log", "x"
-    ], "string") == ["schema", "data", "log", None]
+    assert values(spark, text.mime_type(x()), ["a.webp", "b.BMP", "c.tiff", "d.unknown"], "string") == [
+        "image/webp", "image/bmp", "image/tiff", text.DEFAULT_MIME_TYPE
+    ]
+    assert values(spark, text.file_kind(x(), "cam_sync_"), [
+        "/b/db_schema_20240101.sql.gz", "/b/db_data_20240101.sql.gz", "/l/cam_sync_1.log", "x", "/l/other_cam_sync_1.log"
+    ], "string") == ["schema", "data", "log", None, None]
     assert values(spark, text.base_name(x()), ["/a/b.c", "b"], "string") == ["b.c", "b"]
 
 
@@ -151,8 +155,8 @@ def test_answer_counts(spark):
         '{"Deer": 2, "Deer": 3}', "[1, 2]", "7", "junk", "{}", None,
     ]
     found = values(spark, tags.answer_counts(x()), rows, "string")
-    assert sorted(tuple(e) for e in found[0]) == [("Deer", 2.0, True), ("b", 1.0, True), ("f", 2.5, False)]
-    assert [tuple(e) for e in found[1]] == [("Deer", 3.0, True)]
+    assert sorted(tuple(e) for e in found[0]) == [("Deer", 2.0, 2), ("b", 1.0, 1), ("f", 2.5, None)]
+    assert [tuple(e) for e in found[1]] == [("Deer", 3.0, 3)]
     assert [f or [] for f in found[2:]] == [[], [], [], [], []]
 
 
@@ -162,6 +166,10 @@ def test_tag_json(spark):
         '{"type": "animal", "name": "a \\"b\\"\\\\\\n", "count": 2, "display": "a \\"b\\"\\\\\\n 2"}',
         '{"type": "animal", "name": "fox", "count": 2, "display": "fox 2"}',
     ]
+    texts = ["renné", "日本", "a😀\"é", "\x7f", None]
+    assert values(spark, tags._quote(x()), texts, "string") == [json.dumps(t) for t in texts]
+    numbers = [2.5, 1e20, 1e16, 1e15, 12345678.5, 1.5e-5, 0.0001, 0.00012345, 123456789012345.6, 1e7, 3.0, 1.25e300]
+    assert values(spark, tags.float_text(x()), numbers, "double") == [repr(n) for n in numbers]
     buck = tags.tag_json(F.lit("animal"), x(), F.lit(None).cast("string"), F.lit("Buck"))
     assert values(spark, buck, ["buck"], "string") == [
         '{"type": "animal", "name": "buck", "count": null, "display": "Buck"}'
@@ -173,8 +181,8 @@ def test_json_fields(spark):
     assert values(spark, tags.json_field(x(), "type"), rows, "string") == ["animal", None, None]
     with pytest.raises(Exception):
         values(spark, tags.json_field(x(), "type", strict=True), rows, "string")
-    parsed = values(spark, tags.parse_tags(F.array(x())), rows[:1], "string")
-    assert tuple(parsed[0][0]) == ("animal", None, 2.0, None)
+    parsed = values(spark, tags.parse_tag(x()), rows[:1], "string")
+    assert tuple(parsed[0]) == ("animal", None, 2.0, None)
 
 
 def test_round1_matches_exact_rounding(spark):
@@ -197,6 +205,12 @@ def test_labels(spark):
     assert values(spark, present.truthy(x()), [1.0, 0.0, None], "double") == [True, False, False]
 
 
+def test_ids_of_a_column(spark):
+    assert values(spark, params.parse_ids_column(x()), ["5, 3,9,3", None, "7"], "string") == [[5, 3, 9, 3], None, [7]]
+    with pytest.raises(Exception, match="Invalid ID format"):
+        values(spark, params.parse_ids_column(x()), ["5,x"], "string")
+
+
 def test_parameters():
     assert params.safe_sort("id", "sideways") == ("capture_time", True)
     assert params.safe_sort("temperature", "ASC") == ("temperature", False)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # What a caller may ask for.
 SORT_COLUMNS = ("capture_time", "created_at", "temperature", "primary_location")
 PAGE_SORT_COLUMNS = ("capture_time", "temperature", "created_at")
@@ -30,6 +33,16 @@ def parse_ids(text: str) -> list[int]:
         raise ValueError("Invalid ID format") from error
 
 
+def parse_ids_column(text: Column) -> Column:
+    """Comma-separated ids of a column as an array; anything else is an error when it is read."""
+
+    def number(part: Column) -> Column:
+        found = F.trim(part).try_cast("bigint")
+        return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("Invalid ID format")).cast("bigint"))
+
+    return F.transform(F.split(text, ","), number)
+
+
 def parse_tag_names(names: str | Iterable[str]) -> list[str]:
     """Trimmed lower-case names in order of appearance, without blanks and repeats."""
     parts = names.split(",") if isinstance(names, str) else names

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
+from mimetypes import MimeTypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Content type by file extension.
-MIME_TYPES = {
-    "jpg": "image/jpeg",
-    "jpeg": "image/jpeg",
-    "jpe": "image/jpeg",
-    "png": "image/png",
-    "gif": "image/gif",
-}
 DEFAULT_MIME_TYPE = "application/octet-stream"
 
 # The characters that count as white space.
@@ -32,10 +26,16 @@ def squash_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{WHITE_SPACE}]+", " "))
 
 
+def plain_number(text: Column) -> Column:
+    """A number in digits, with sign and exponent if any; NULL for everything else."""
+    number = strip_ws(text)
+    return F.when(number.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), number.try_cast("double"))
+
+
 def parse_temperature(text: Column) -> Column:
     """``72°F`` as (value, unit); NULL when the text has no number or no degree sign."""
     parts = F.split(text, "°")
-    value = F.get(parts, F.lit(0)).try_cast("double")
+    value = plain_number(F.get(parts, F.lit(0)))
     unit = F.get(parts, F.lit(1))
     return F.when(
         value.isNotNull() & unit.isNotNull(), F.struct(value.alias("value"), strip_ws(unit).alias("unit"))
@@ -45,7 +45,7 @@ def parse_temperature(text: Column) -> Column:
 def parse_wind(text: Column) -> Column:
     """``NW 5.2 mph`` as (direction, speed, unit); the unit is whatever follows the speed."""
     words = F.split(squash_ws(text), " ")
-    speed = F.get(words, F.lit(1)).try_cast("double")
+    speed = plain_number(F.get(words, F.lit(1)))
     unit = F.array_join(F.slice(words, F.lit(3), F.greatest(F.size(words), F.lit(1))), " ")
     return F.when(
         speed.isNotNull(),
@@ -56,7 +56,7 @@ def parse_wind(text: Column) -> Column:
 def parse_pressure(text: Column) -> Column:
     """``30.1 inHg`` as (value, unit); NULL when either is missing."""
     words = F.split(squash_ws(text), " ")
-    value = F.get(words, F.lit(0)).try_cast("double")
+    value = plain_number(F.get(words, F.lit(0)))
     unit = F.get(words, F.lit(1))
     return F.when(value.isNotNull() & unit.isNotNull(), F.struct(value.alias("value"), unit.alias("unit")))
 
@@ -67,6 +67,7 @@ def moon_text(text: Column) -> Column:
 
 def reading_kind(label: Column) -> Column:
     """Which reading a label announces; the first word found decides."""
+    # The words and their order.
     name = F.upper(label)
     return (
         F.when(name.contains("TEMP"), "temperature")
@@ -92,8 +93,10 @@ def file_extension(path: Column) -> Column:
 
 
 def mime_type(path: Column) -> Column:
-    extension = F.lower(F.substring(file_extension(path), 2, 16))
-    known = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
+    """Content type by extension, from the standard table of types."""
+    extension = F.lower(file_extension(path))
+    types = MimeTypes(filenames=()).types_map[True]
+    known = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
     return F.coalesce(F.try_element_at(known, extension), F.lit(DEFAULT_MIME_TYPE))
 
 
@@ -112,13 +115,19 @@ def publish_url(base: str, source_id: Column, content_hash: Column, path: Column
     )
 
 
-def file_kind(path: Column) -> Column:
-    """``schema`` or ``data`` for a snapshot file, ``log`` for a sync log, else NULL."""
+def is_log(path: Column, prefix: str) -> Column:
+    """Whether a file is a log whose name starts with ``prefix``."""
+    name = base_name(path)
+    return name.startswith(prefix) & name.endswith(".log")
+
+
+def file_kind(path: Column, log_prefix: str) -> Column:
+    """``schema`` or ``data`` for a snapshot file, ``log`` for a log of that prefix, else NULL."""
     name = base_name(path)
     return (
         F.when(name.rlike(r"_schema_.*\.gz$"), "schema")
         .when(name.rlike(r"_data_.*\.gz$"), "data")
-        .when(name.rlike(r"^.*_sync_.*\.log$"), "log")
+        .when(is_log(path, log_prefix), "log")
     )
 
 

@@ -41,7 +41,7 @@ def tag_counts_from_analysis(answers: DataFrame) -> DataFrame:
     entries = F.transform(
         answer_counts(F.col("answer")),
         lambda e: F.struct(
-            _merged_name(e["animal"]).alias("name"), e["n"].alias("n"), e["whole"].alias("whole")
+            _merged_name(e["animal"]).alias("name"), e["n"].alias("n"), e["exact"].alias("exact")
         ),
     )
 
@@ -50,14 +50,17 @@ def tag_counts_from_analysis(answers: DataFrame) -> DataFrame:
         return F.struct(
             name.alias("name"),
             F.aggregate(own, F.lit(0.0), lambda total, e: total + e["n"]).alias("count"),
-            F.forall(own, lambda e: e["whole"]).alias("whole"),
+            # NULL as soon as one of the counts is a fraction.
+            F.aggregate(
+                own, F.lit(0).cast("decimal(38,0)"), lambda total, e: (total + e["exact"]).cast("decimal(38,0)")
+            ).alias("exact"),
         )
 
     names = F.array_distinct(F.transform("entries", lambda e: e["name"]))
     merged = answers.select("image_id", entries.alias("entries")).select(
         "image_id", F.inline(F.transform(names, merge))
     )
-    number = count_text(F.col("count"), F.col("whole"))
+    number = count_text(F.col("count"), F.col("exact"))
     return _as_tags(merged.select(
         "image_id",
         F.lit("animal").alias("type"),
@@ -71,7 +74,7 @@ def tag_counts_from_analysis(answers: DataFrame) -> DataFrame:
 def tags_unmerged(answers: DataFrame) -> DataFrame:
     """Variant rule: one tag per entry, display as answered, and a ``buck`` tag beside each deer."""
     entries = answers.select("image_id", F.inline(answer_counts(F.col("answer"))))
-    number = count_text(F.col("n"), F.col("whole"))
+    number = count_text(F.col("n"), F.col("exact"))
     name = F.lower("animal")
 
     def tag(tag_name: Column, count: Column, text: Column, display: Column) -> Column:

@@ -14,10 +14,6 @@ from trailtally.functions.params import parse_tag_names
 from trailtally.functions.tags import json_field
 from trailtally.functions.times import moment
 
-# Longer id lists are joined instead of being written into the plan.
-MAX_INLINE_IDS = 1000
-
-
 def where_all(df: DataFrame, predicates: Iterable[Column | None]) -> DataFrame:
     """Rows meeting every given predicate; all rows when there is none."""
     given = [p for p in predicates if p is not None]
@@ -85,12 +81,14 @@ def not_null(df: DataFrame, column: str) -> DataFrame:
 
 
 def filter_ids(df: DataFrame, ids: Iterable[int], column: str = "id") -> DataFrame:
-    """Rows whose ``column`` is in the list."""
-    wanted = list(dict.fromkeys(ids))
-    if len(wanted) <= MAX_INLINE_IDS:
-        return df.filter(F.col(column).isin(wanted))
-    listed = df.sparkSession.createDataFrame([(i,) for i in wanted], f"{column} long")
-    return df.join(listed, column, "left_semi")
+    """Rows whose ``column`` is in the list, which is part of the plan."""
+    return df.filter(F.col(column).isin(list(dict.fromkeys(ids))))
+
+
+def filter_id_table(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """Rows whose ``column`` is in the column ``id`` of a table of any size."""
+    wanted = ids.select(F.col("id").alias(column))
+    return df.join(wanted, column, "left_semi").select(df.columns)
 
 
 def filter_tag_type(tags: DataFrame, kind: str = "animal", strict: bool = False) -> DataFrame:
@@ -100,8 +98,3 @@ def filter_tag_type(tags: DataFrame, kind: str = "animal", strict: bool = False)
 def filter_tag_names(tags: DataFrame, names: str | Iterable[str]) -> DataFrame:
     """Tags with one of the names; only the request is trimmed and lowercased."""
     return tags.filter(json_field(F.col("name"), "name").isin(parse_tag_names(names)))
-
-
-def valid_counts(entries: DataFrame) -> DataFrame:
-    """Rows (animal, count) that are counts: not the total, and above zero."""
-    return entries.filter((F.lower("animal") != "total") & (F.col("count") > 0))

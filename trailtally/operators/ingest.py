@@ -10,19 +10,16 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailtally import schema
 from trailtally.functions.text import moon_text, parse_pressure, parse_temperature, parse_wind, reading_kind
 from trailtally.functions.times import capture_label_year, infer_capture_time, moment, parse_capture_time
 from trailtally.operators.filters import filter_ids
+from trailtally.operators.ranges import numbered_rows
 from trailtally.operators.tagging import newest_untagged
 
-# What one run may do.
-MAX_ATTEMPTS = 200
-MAX_RECORDS = 300
-
 # Texts stored for a reading or place that is missing.
 DEFAULTS = {
     "primary_location": "",
@@ -35,41 +32,41 @@ DEFAULTS = {
 # Beyond every position.
 END = (1 << 63) - 1
 
-# Most rows whose keys are broadcast to the stored images.
-MAX_BROADCAST_KEYS = 100_000
-
 # A repeated source id is passed over whether or not its first row was kept, so it comes first.
 CAPTURE_KEYS = ("source_id", "file_hash")
-READING_KINDS = ("temperature", "wind", "pressure", "sun", "moon")
 
 
 def pivot_readings(readings: DataFrame) -> DataFrame:
     """One row per capture from labelled texts (source_id, pos, label, value).
 
-    Each text is parsed on its own, and the last readable one of a kind counts. Missing
-    readings are NULL.
+    Each text is parsed once, on its own, and the last readable one of a kind counts. Missing
+    readings are NULL. The shuffled aggregate holds positions only, so it combines by hash
+    before the shuffle; texts come back by a join on the position that won.
     """
-    kind, value = F.col("kind"), F.col("value")
-    readable = (
-        F.when(kind == "temperature", parse_temperature(value).isNotNull())
-        .when(kind == "wind", parse_wind(value).isNotNull())
-        .when(kind == "pressure", parse_pressure(value).isNotNull())
-        .otherwise(value.isNotNull())
-    )
-    labelled = readings.select("source_id", "pos", reading_kind(F.col("label")).alias("kind"), "value")
-    rows = labelled.select("source_id", "pos", F.when(readable, kind).alias("kind"), "value")
-    last = rows.groupBy("source_id").agg(*[
-        F.max_by("value", F.when(F.col("kind") == name, F.col("pos"))).alias(name) for name in READING_KINDS
-    ])
-    parsed = last.select(
+    kind, value = reading_kind(F.col("label")), F.col("value")
+    parsed = readings.select("source_id", "pos", kind.alias("kind"), "value").filter(F.col("kind").isNotNull())
+    parsed = parsed.select(
         "source_id",
-        parse_temperature(F.col("temperature")).alias("t"),
-        parse_wind(F.col("wind")).alias("w"),
-        parse_pressure(F.col("pressure")).alias("pressure"),
-        F.col("sun").alias("sun_status"),
-        moon_text(F.col("moon")).alias("moon_phase"),
+        "pos",
+        "kind",
+        F.when(F.col("kind") == "temperature", parse_temperature(value)).alias("t"),
+        F.when(F.col("kind") == "wind", parse_wind(value)).alias("w"),
+        F.when(F.col("kind") == "pressure", parse_pressure(value)).alias("p"),
+        F.when(F.col("kind").isin("sun", "moon"), value).alias("text"),
+    ).filter(F.coalesce(F.col("t.unit"), F.col("w.unit"), F.col("p.unit"), F.col("text")).isNotNull())
+    last = parsed.groupBy("source_id", "kind").agg(F.max("pos").alias("pos"))
+    won = parsed.join(last, ["source_id", "kind", "pos"], "left_semi")
+
+    def only(field: str, name: str) -> Column:
+        """The one value of a kind; equal positions of one kind give the smallest."""
+        return F.min(F.when(F.col("kind") == name, F.col(field)))
+
+    found = won.groupBy("source_id").agg(
+        only("t", "temperature").alias("t"), only("w", "wind").alias("w"), only("p", "pressure").alias("pressure"),
+        only("text", "sun").alias("sun_status"), moon_text(only("text", "moon")).alias("moon_phase"),
     )
-    return parsed.select(
+    blank = readings.select("source_id").distinct().join(found.select("source_id"), "source_id", "left_anti")
+    return found.unionByName(blank, allowMissingColumns=True).select(
         "source_id",
         F.col("t.value").alias("temperature"),
         F.col("t.unit").alias("temperature_unit"),
@@ -133,10 +130,13 @@ def captures_from_readings(shots: DataFrame, readings: DataFrame, now: datetime
 
 
 def first_by(seq: DataFrame, key: str) -> DataFrame:
-    """The first row of each key in sequence order; copies combine before the shuffle."""
-    rest = [c for c in seq.columns if c != key]
-    first = seq.groupBy(key).agg(F.min_by(F.struct(*rest), "pos").alias("row"))
-    return first.select(key, "row.*").select(seq.columns)
+    """The first row of each key in sequence order.
+
+    Positions alone are combined by hash before the shuffle; the rows that hold them follow
+    by a semi join, since positions are unique.
+    """
+    first = seq.groupBy(key).agg(F.min("pos").alias("pos"))
+    return seq.join(first, [key, "pos"], "left_semi").select(seq.columns)
 
 
 def dedupe_run(seq: DataFrame) -> DataFrame:
@@ -144,50 +144,32 @@ def dedupe_run(seq: DataFrame) -> DataFrame:
     return first_by(seq, "source_id")
 
 
-def _are_few(seq: DataFrame) -> bool:
-    return seq.count() <= MAX_BROADCAST_KEYS
-
-
-def _stored_keys(seq: DataFrame, images: DataFrame, key: str, few: bool) -> DataFrame:
-    """Distinct keys of stored images, enough of them to test the sequence.
-
-    A few rows go to the images, which are then read but not shuffled, and their matches are
-    no more than those rows. Otherwise all stored keys are reduced where they lie and shuffled.
-    """
-    keys = images.select(key)
-    if few:
-        return F.broadcast(keys.join(F.broadcast(seq.select(key)), key, "left_semi").distinct())
-    return keys.distinct()
-
+def _stored_keys(seq: DataFrame, images: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of stored images that the sequence has, no more than its own keys."""
+    return images.select(key).join(seq.select(key), key, "left_semi").distinct()
 
-def new_captures(candidates: DataFrame, images: DataFrame, few: bool | None = None) -> DataFrame:
-    """Candidates stored neither under their hash nor under their source id.
 
-    ``few`` tells that there are at most ``MAX_BROADCAST_KEYS`` candidates; if not given, they
-    are counted.
-    """
-    few = _are_few(candidates) if few is None else few
+def new_captures(candidates: DataFrame, images: DataFrame) -> DataFrame:
+    """Candidates stored neither under their hash nor under their source id."""
     fresh = candidates
     for key in CAPTURE_KEYS:
-        fresh = fresh.join(_stored_keys(candidates, images, key, few), key, "left_anti")
+        fresh = fresh.join(_stored_keys(candidates, images, key), key, "left_anti")
     return fresh.select(candidates.columns)
 
 
-def accepted(seq: DataFrame, images: DataFrame, few: bool | None = None) -> DataFrame:
+def accepted(seq: DataFrame, images: DataFrame) -> DataFrame:
     """What storing a sequence one by one would keep: unseen, and no copy of a kept row.
 
-    The choice is made on the keys alone, and each key's two steps share one shuffle, before
-    which copies were combined. What else a row holds is shuffled once at most.
+    The choice is made on the keys alone; what else a row holds is shuffled once at most.
     """
     keys = seq.select("pos", *CAPTURE_KEYS)
-    few = _are_few(keys) if few is None else few
     kept = keys
     for key in CAPTURE_KEYS:
-        kept = first_by(kept, key).join(_stored_keys(keys, images, key, few), key, "left_anti")
+        first = kept.groupBy(key).agg(F.min("pos").alias("pos")).select(key, "pos")
+        kept = kept.join(first, [key, "pos"], "left_semi").join(_stored_keys(keys, images, key), key, "left_anti")
     if set(seq.columns) == set(keys.columns):
         return kept.select(seq.columns)
-    chosen = F.broadcast(kept.select("pos")) if few else kept.select("pos")
-    return seq.join(chosen, "pos", "left_semi").select(seq.columns)
+    return seq.join(kept.select("pos"), "pos", "left_semi").select(seq.columns)
 
 
 def _first_repeat(seq: DataFrame, key: str) -> DataFrame:
@@ -197,70 +179,75 @@ def _first_repeat(seq: DataFrame, key: str) -> DataFrame:
     return ranked.agg(F.min(F.when(F.col("nth") == 2, F.col("pos"))).alias("pos"))
 
 
-def first_duplicate(
-    seq: DataFrame, images: DataFrame | None = None, few: bool | None = None
-) -> DataFrame:
+def first_duplicate(seq: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """One row with the smallest ``pos`` that repeats an earlier row or a stored image."""
     found = [_first_repeat(seq, key) for key in CAPTURE_KEYS]
     if images is not None:
-        few = _are_few(seq) if few is None else few
         for key in CAPTURE_KEYS:
-            stored = seq.join(_stored_keys(seq, images, key, few), key, "left_semi")
+            stored = seq.join(_stored_keys(seq, images, key), key, "left_semi")
             found.append(stored.agg(F.min("pos").alias("pos")))
     return reduce(DataFrame.unionByName, found).agg(F.min("pos").alias("pos"))
 
 
-def take_until_duplicate(
-    seq: DataFrame, images: DataFrame | None = None, few: bool | None = None
-) -> DataFrame:
+def take_until_duplicate(seq: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Rows before the first duplicate, or all rows if there is none.
 
     The bound is one number that reaches the file scan.
     """
-    stop = first_duplicate(seq, images, few).select(F.coalesce("pos", F.lit(END)))
+    stop = first_duplicate(seq, images).select(F.coalesce("pos", F.lit(END)))
     return seq.filter(F.col("pos") < stop.scalar())
 
 
-def _attempts(seq: DataFrame, first: int, count: int) -> DataFrame:
-    """The rows a run looks at. Positions are unique, so the limit drops nothing; it states the
-    bound on these rows."""
-    return seq.filter(F.col("pos").between(first, first + count - 1)).orderBy("pos").limit(count)
+def _attempts(seq: DataFrame, first: int, count: int | None) -> DataFrame:
+    """The rows a run looks at: from position ``first`` on, all or ``count`` positions."""
+    if count is None:
+        return seq.filter(F.col("pos") >= first)
+    return seq.filter(F.col("pos").between(first, first + count - 1))
+
+
+def _at_most(rows: DataFrame, count: int | None) -> DataFrame:
+    """All rows, or the first ``count`` in sequence order where the caller sets a bound."""
+    return rows if count is None else rows.orderBy("pos").limit(count)
 
 
 def incremental_batch(
     seq: DataFrame,
     images: DataFrame,
     force: bool = False,
-    max_attempts: int = MAX_ATTEMPTS,
-    max_records: int = MAX_RECORDS,
+    max_attempts: int | None = None,
+    max_records: int | None = None,
 ) -> DataFrame:
-    """Captures one run stores: the first row and up to ``max_attempts`` more.
+    """Captures one run stores.
 
-    The run ends at the first duplicate, or with ``force`` skips duplicates instead.
+    The run ends at the first duplicate, or with ``force`` skips duplicates instead. With
+    ``max_attempts`` it looks at the first row and that many more, and with ``max_records`` it
+    stores no more than so many.
     """
-    tried = _attempts(seq, 0, max_attempts + 1)
-    few = max_attempts < MAX_BROADCAST_KEYS
-    taken = accepted(tried, images, few) if force else take_until_duplicate(tried, images, few)
-    return taken.orderBy("pos").limit(max_records)
+    tried = _attempts(seq, 0, None if max_attempts is None else max_attempts + 1)
+    taken = accepted(tried, images) if force else take_until_duplicate(tried, images)
+    return _at_most(taken, max_records)
 
 
 def backfill_batch(
-    seq: DataFrame, images: DataFrame, jump: int, limit: int, max_attempts: int = MAX_ATTEMPTS
+    seq: DataFrame, images: DataFrame, jump: int, limit: int | None = None, max_attempts: int | None = None
 ) -> DataFrame:
-    """Up to ``limit`` new captures among the ``max_attempts`` rows after skipping ``jump + 1``."""
-    tried = _attempts(seq, jump + 1, max_attempts)
-    return accepted(tried, images, max_attempts <= MAX_BROADCAST_KEYS).orderBy("pos").limit(limit)
+    """New captures after skipping ``jump + 1`` rows, of all or the next ``max_attempts`` rows.
+
+    With ``limit`` no more than so many.
+    """
+    return _at_most(accepted(_attempts(seq, jump + 1, max_attempts), images), limit)
 
 
 def stamp_captures(rows: DataFrame, images: DataFrame, now: datetime | str) -> DataFrame:
     """Rows with the missing columns of the image table: defaults, times, and ids.
 
-    Ids follow the highest stored one, with gaps. They depend on where a row is computed, so
-    write the result once and read it back.
+    Ids follow the highest stored one without gaps and depend on the rows alone, not on where
+    they are computed.
     """
     highest = images.agg(F.coalesce(F.max("id"), F.lit(0)).alias("highest")).scalar()
-    stamped = with_defaults(rows).withColumns({
-        "id": highest + 1 + F.monotonically_increasing_id(),
+    numbered = numbered_rows(with_defaults(rows), ["file_hash", "source_id"], "_number")
+    stamped = numbered.withColumns({
+        "id": highest + F.col("_number"),
         "created_at": moment(now),
         "updated_at": moment(now),
     })
@@ -273,12 +260,20 @@ def ingest_captures(captures: DataFrame, images: DataFrame, now: datetime | str)
 
 
 def next_tagging_batch(
-    new_ids: DataFrame, images: DataFrame, links: DataFrame, limit: int = 20
+    new_ids: DataFrame | None, images: DataFrame, links: DataFrame, limit: int | None = None
 ) -> DataFrame:
-    """(id, cdn_url) to analyse next: the new captures (source_id), else the newest untagged."""
-    if new_ids.isEmpty():
-        return newest_untagged(images, links, limit)
-    return images.join(new_ids.select("source_id").distinct(), "source_id", "left_semi").select("id", "cdn_url")
+    """(id, cdn_url) to analyse next: the new captures (source_id), else all untagged images.
+
+    Which of the two is decided by the plan, not by a job of its own. ``limit`` keeps the
+    newest of the untagged.
+    """
+    waiting = newest_untagged(images, links, limit)
+    if new_ids is None:
+        return waiting
+    ids = new_ids.select("source_id").distinct()
+    chosen = images.join(ids, "source_id", "left_semi").select("id", "cdn_url")
+    none_new = ids.agg(F.count("*").alias("n")).scalar() == 0
+    return chosen.unionByName(waiting.filter(none_new))
 
 
 def specific_images(images: DataFrame, ids: list[int]) -> DataFrame:

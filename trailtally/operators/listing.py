@@ -18,21 +18,15 @@ from trailtally.functions.present import (
     temperature_label,
     wind_label,
 )
-from trailtally.functions.tags import parse_tags
+from trailtally.functions.tags import parse_tag
 from trailtally.functions.times import capture_label, iso_text
-from trailtally.operators.filters import (
-    MAX_INLINE_IDS,
-    filter_date_range,
-    filter_ids,
-    filter_location,
-    time_predicates,
-)
+from trailtally.operators.filters import filter_date_range, filter_ids, filter_location, time_predicates
 from trailtally.operators.ranges import placed_in_ranges
 from trailtally.operators.tagging import ids_having_all_tags, images_with_tags, tags_masked_outside_range
 
 DEFAULT_PAGE_SIZE = 20
-# Most rows each task ranks for a page; deeper pages are found by counting.
-MAX_TOP = 100_000
+# Most (sort column, id) rows each task ranks for a page; deeper pages are found by counting.
+MAX_TOP = 10_000
 
 
 def sort_key(sort_by: str | None, sort_order: str | None, allowed: Iterable[str] = SORT_COLUMNS) -> list[Column]:
@@ -81,16 +75,17 @@ def list_tagged_images(
     sort_order: str | None = "desc",
     mask_outside_range: bool = False,
 ) -> DataFrame:
-    """Listing with tag lists: the images named by ``ids`` in that order, or a filtered, sorted list.
+    """Listing with tags: the images named by ``ids`` in that order, or a filtered, sorted list.
 
-    Tag lists are gathered only for images the listing can show. With ``mask_outside_range``
-    the dates do not filter a list by tags but empty the tags of images outside of them.
+    One row per image and tag text, as :func:`images_with_tags`, with the tags of an image in
+    order. Tags are counted only for images the listing can show. With ``mask_outside_range``
+    the dates do not filter a list by tags but take the tags off images outside of them.
     """
     if ids:
         wanted = parse_ids(ids) if isinstance(ids, str) else list(ids)
         own_links = filter_ids(links, wanted, "image_id")
-        return _in_requested_order(images_with_tags(filter_ids(images, wanted), own_links, tags), wanted)
-    order = [*sort_key(sort_by, sort_order), F.col("part")]
+        return _in_requested_order(images_with_tags(filter_ids(images, wanted), own_links, tags), wanted, "tag")
+    order = [*sort_key(sort_by, sort_order), F.col("tag")]
     if not tag_names:
         return images_with_tags(filter_images(images, start, end, location), links, tags).orderBy(*order)
     chosen = ids_having_all_tags(links, tags, tag_names).withColumnRenamed("id", "image_id")
@@ -113,15 +108,18 @@ def page_images(
 ) -> DataFrame:
     """One page of the ordered images.
 
-    Each task keeps its best ``page * per_page`` rows, which suits early pages. From ``max_top``
-    rows on the page is found by counting the rows of sorted ranges instead.
+    The page's ids are found on the sort column and id alone, and its rows follow by a semi
+    join. Each task keeps its best ``page * per_page`` of those narrow rows; from ``max_top`` of
+    them on, the places are found by counting the rows of sorted ranges instead.
     """
     order = sort_key(sort_by, sort_order, allowed)
     skipped = (page - 1) * per_page
-    if skipped + per_page <= max_top:
-        return images.orderBy(*order).offset(skipped).limit(per_page)
     column, _ = safe_sort(sort_by, sort_order, allowed)
-    wanted = _ids_by_rank(images.select(column, "id"), order, skipped, per_page)
+    keys = images.select(column, "id")
+    if skipped + per_page <= max_top:
+        wanted = keys.orderBy(*order).offset(skipped).limit(per_page).select("id")
+    else:
+        wanted = _ids_by_rank(keys, order, skipped, per_page)
     return images.join(wanted, "id", "left_semi").select(images.columns).orderBy(*order)
 
 
@@ -140,7 +138,7 @@ def _ids_by_rank(keys: DataFrame, order: list[Column], skipped: int, count: int)
             within = (F.col("place") >= first) & (F.col("place") < last)
             chosen = chosen | ((F.col("range") == size["range"]) & within)
         before += size["count"]
-    return placed.filter(chosen).select("id").limit(count)
+    return placed.filter(chosen).select("id")
 
 
 def count_images(images: DataFrame) -> DataFrame:
@@ -157,6 +155,21 @@ def page_info(images: DataFrame, page: int = 1, per_page: int = DEFAULT_PAGE_SIZ
     )
 
 
+def listing_info(
+    images: DataFrame,
+    start: datetime | str | None = None,
+    end: datetime | str | None = None,
+    location: str | None = None,
+    sort_by: str | None = "capture_time",
+    sort_order: str | None = "desc",
+) -> DataFrame:
+    """One row (total_records, sort_by, sort_order) that goes with a listing."""
+    column, descending = safe_sort(sort_by, sort_order)
+    return filter_images(images, start, end, location).agg(F.count("*").alias("total_records")).select(
+        "total_records", F.lit(column).alias("sort_by"), F.lit("desc" if descending else "asc").alias("sort_order")
+    )
+
+
 def image_by_id(images: DataFrame, image_id: int) -> DataFrame:
     """The image with the id, or no row."""
     return images.filter(F.col("id") == image_id)
@@ -168,14 +181,8 @@ def id_position(ids: Iterable[int], column: str = "id") -> Column:
     return F.nullif(F.array_position(listed, F.col(column)), F.lit(0))
 
 
-def _in_requested_order(images: DataFrame, ids: list[int]) -> DataFrame:
-    if len(ids) <= MAX_INLINE_IDS:
-        placed = images.withColumn("position", id_position(ids))
-    else:
-        places = {image_id: place for place, image_id in reversed(list(enumerate(ids, start=1)))}
-        listed = images.sparkSession.createDataFrame(list(places.items()), "id long, position long")
-        placed = images.join(listed, "id")
-    return placed.orderBy("position")
+def _in_requested_order(images: DataFrame, ids: list[int], *then: str) -> DataFrame:
+    return images.withColumn("position", id_position(ids)).orderBy("position", *then)
 
 
 def images_by_ids(images: DataFrame, ids: str | Iterable[int]) -> DataFrame:
@@ -232,12 +239,12 @@ def image_metadata(images: DataFrame) -> DataFrame:
 
 
 def image_documents(images: DataFrame) -> DataFrame:
-    """Response form of a listing: times as text, and tag texts as objects."""
+    """Response form of a listing: times as text, and a tag text as an object."""
     columns = {
         "capture_time_formatted": capture_label(F.col("capture_time")),
         "capture_time": iso_text(F.col("capture_time")),
         "created_at": iso_text(F.col("created_at")),
     }
-    if "tags" in images.columns:
-        columns["tags"] = parse_tags(F.col("tags"))
+    if "tag" in images.columns:
+        columns["tag"] = parse_tag(F.col("tag"))
     return images.withColumns(columns)

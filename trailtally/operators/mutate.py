@@ -5,14 +5,14 @@ from __future__ import annotations
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailtally.functions.tags import json_field
 from trailtally.functions.times import moment
 from trailtally.operators.answers import tag_counts_from_analysis
+from trailtally.operators.ranges import numbered_rows
 from trailtally.operators.tagging import tag_rows
-from trailtally.session import pin
 
 
 class TagRemoval(NamedTuple):
@@ -31,7 +31,7 @@ def remove_tag(links: DataFrame, tags: DataFrame, image_id: int, name: str) -> T
     own = links.filter(F.col("image_id") == image_id)
     left = own.join(named, "tag_id", "left_anti").select("image_id", "tag_id")
     removed = own.join(named, "tag_id", "left_semi").select("image_id", "tag_id")
-    others = links.filter(F.col("image_id") != image_id).select("image_id", "tag_id")
+    others = links.filter(~F.col("image_id").eqNullSafe(image_id)).select("image_id", "tag_id")
     return TagRemoval(others.unionByName(left), removed, tag_rows(left, tags).select("tag_id", "name"))
 
 
@@ -47,17 +47,16 @@ def missing_tags(names: DataFrame, tags: DataFrame) -> DataFrame:
     return names.select("name").distinct().join(known, "name", "left_anti")
 
 
-def upsert_tags(names: DataFrame, tags: DataFrame) -> DataFrame:
-    """Tags with those of ``names`` added that were missing.
-
-    New ids follow the highest old one, with gaps. They depend on where a row is computed, so
-    write or pin the result before using it more than once.
-    """
+def _added_tags(names: DataFrame, tags: DataFrame) -> DataFrame:
+    """The missing tags with ids that follow the highest old one; they depend on the texts alone."""
     highest = tags.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("highest")).scalar()
-    added = missing_tags(names, tags).select(
-        (highest + 1 + F.monotonically_increasing_id()).alias("tag_id"), "name"
-    )
-    return tags.select("tag_id", "name").unionByName(added)
+    numbered = numbered_rows(missing_tags(names, tags), ["name"], "_number")
+    return numbered.select((highest + F.col("_number")).alias("tag_id"), "name")
+
+
+def upsert_tags(names: DataFrame, tags: DataFrame) -> DataFrame:
+    """Tags with those of ``names`` added that were missing. New ids have no gaps."""
+    return tags.select("tag_id", "name").unionByName(_added_tags(names, tags))
 
 
 class Tagging(NamedTuple):
@@ -68,14 +67,17 @@ class Tagging(NamedTuple):
 def tag_answers(answers: DataFrame, links: DataFrame, tags: DataFrame) -> Tagging:
     """Tables after the answers' tags replaced the old tags of their images.
 
-    Images whose answer gives no tags keep what they have. The tag table is pinned first,
-    so links always refer to the ids that are stored.
+    Images whose answer gives no tags keep what they have. New ids depend on the texts alone, so
+    links always refer to the ids that are stored, and nothing has to be stored first. Old
+    tags are looked up for the answers' texts only.
     """
-    found = pin(tag_counts_from_analysis(answers).select("image_id", F.col("tag_json").alias("name")))
-    new_tags = pin(upsert_tags(found, tags))
-    ids = new_tags.groupBy("name").agg(F.min("tag_id").alias("tag_id"))
+    found = tag_counts_from_analysis(answers).select("image_id", F.col("tag_json").alias("name"))
+    names = found.select("name").distinct()
+    added = _added_tags(names, tags)
+    known = tags.join(names, "name", "left_semi").groupBy("name").agg(F.min("tag_id").alias("tag_id"))
+    ids = known.select("tag_id", "name").unionByName(added)
     new_links = found.join(ids, "name").select("image_id", "tag_id")
-    return Tagging(new_tags, replace_tags(links, new_links))
+    return Tagging(tags.select("tag_id", "name").unionByName(added), replace_tags(links, new_links))
 
 
 def clear_tags(links: DataFrame, tags: DataFrame) -> Tagging:
@@ -89,9 +91,29 @@ def retag_all(answers: DataFrame, links: DataFrame, tags: DataFrame) -> Tagging:
     return tag_answers(answers, empty.links, empty.tags)
 
 
-def update_images(images: DataFrame, changes: DataFrame, now: datetime | str) -> DataFrame:
-    """Images with the rows of ``changes`` put in by id; only those get a new ``updated_at``."""
-    ids = images.select("id")
-    changed = changes.join(ids, "id", "left_semi").withColumn("updated_at", moment(now))
-    unchanged = images.join(changes.select("id").distinct(), "id", "left_anti")
-    return unchanged.unionByName(changed.select(images.columns))
+def update_images(
+    images: DataFrame, changes: DataFrame, now: datetime | str, order: str | None = None
+) -> DataFrame:
+    """Images with the rows of ``changes`` put in by id; only those get a new ``updated_at``.
+
+    Of several changes of one id the one with the highest ``order`` counts; without an order
+    they are an error. Images are read and shuffled once.
+    """
+    fields = F.struct(*[c for c in images.columns if c != "id"]).alias("_new")
+    per_id = Window.partitionBy("id")
+    if order is None:
+        several = F.raise_error(F.lit("several changes of one image and no order")).cast("boolean")
+        one = F.when(F.count("*").over(per_id) == 1, F.lit(True)).otherwise(several)
+    else:
+        one = F.row_number().over(per_id.orderBy(F.col(order).desc_nulls_last())) == 1
+    latest = changes.withColumn("_one", one).filter("_one").select("id", fields)
+    joined = images.join(latest, "id", "left")
+    changed = F.col("_new").isNotNull()
+
+    def value(name: str) -> Column:
+        if name == "id":
+            return F.col("id")
+        new = moment(now) if name == "updated_at" else F.col("_new")[name]
+        return F.when(changed, new).otherwise(F.col(name)).alias(name)
+
+    return joined.select(*[value(name) for name in images.columns])

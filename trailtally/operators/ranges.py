@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailtally.session import pin
 
+# Parts that rows are numbered in; each part is sorted by itself.
+NUMBER_PARTS = 4096
+
+
+def numbered_rows(df: DataFrame, keys: list[str], name: str, parts: int = NUMBER_PARTS) -> DataFrame:
+    """``df`` with the numbers 1, 2, ... without gaps as column ``name``.
+
+    Rows are divided by the hash of ``keys``, which should be unique, and each part counts its
+    own rows. The numbers depend on the keys alone, not on where a row is computed. What is
+    added up over the parts is one row for each of them.
+    """
+    parted = df.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)))
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return (
+        parted.withColumn("_own", own)
+        .join(F.broadcast(starts), "_part")
+        .select(*df.columns, (F.col("_start") + F.col("_own")).cast("bigint").alias(name))
+    )
+
 
 def placed_in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` with ``range``, ascending in the order, and the 0-based ``place`` in its range.

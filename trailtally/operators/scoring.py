@@ -14,18 +14,21 @@ FAILED_ANSWER = "{}"
 
 def score_images(
     df: DataFrame,
-    predict: Callable[[object], str],
+    predict: Callable[[object], str] | None = None,
     load: Callable[[object], object] | None = None,
     id_column: str = "id",
     input_column: str = "cdn_url",
     tries: int = MAX_TRIES,
     partitions: int | None = None,
+    predict_batch: Callable[[list], list[str]] | None = None,
 ) -> DataFrame:
     """Model answers (image_id, answer, ok, error), one row per image.
 
     ``load`` turns the input into what the model takes and is tried ``tries`` times; an image
     that cannot be loaded has no answer. An error of the model gives the answer ``{}``. Either
-    way the batch goes on. ``partitions`` spreads a small batch over that many tasks. Models
+    way the batch goes on. ``predict_batch`` takes the loaded inputs of a whole batch instead and
+    returns as many answers; if it fails, each image of the batch has the answer ``{}``.
+    ``partitions`` spreads a small batch over that many tasks. Models
     need not repeat their answers, so pin or write the result before using it twice.
     """
 
@@ -39,19 +42,31 @@ def score_images(
                 if attempt == tries - 1:
                     raise
 
-    def score(image_id: int, value: object) -> tuple[int, str | None, bool, str | None]:
-        try:
-            content = loaded(value)
-        except Exception as error:
-            return image_id, None, False, str(error)
-        try:
-            return image_id, predict(content), True, None
-        except Exception as error:
-            return image_id, FAILED_ANSWER, False, str(error)
+    def answered(contents: list) -> list[tuple[str, bool, str | None]]:
+        if predict_batch is not None:
+            try:
+                return [(answer, True, None) for answer in predict_batch(contents)]
+            except Exception as error:
+                return [(FAILED_ANSWER, False, str(error))] * len(contents)
+        found = []
+        for content in contents:
+            try:
+                found.append((predict(content), True, None))
+            except Exception as error:
+                found.append((FAILED_ANSWER, False, str(error)))
+        return found
 
     def score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [score(i, value) for i, value in zip(batch["image_id"], batch["input"])]
+            ids, contents, rows = [], [], []
+            for image_id, value in zip(batch["image_id"], batch["input"]):
+                try:
+                    contents.append(loaded(value))
+                    ids.append(image_id)
+                except Exception as error:
+                    rows.append((image_id, None, False, str(error)))
+            if contents:
+                rows += [(image_id, *answer) for image_id, answer in zip(ids, answered(contents), strict=True)]
             yield pd.DataFrame(rows, columns=["image_id", "answer", "ok", "error"])
 
     inputs = df.select(F.col(id_column).cast("bigint").alias("image_id"), F.col(input_column).alias("input"))

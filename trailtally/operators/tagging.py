@@ -1,8 +1,10 @@
-"""Tags of images: joins, lists, counts, and the queue of untagged images."""
+"""Tags of images: joins, counts, and the queue of untagged images."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +12,8 @@ from pyspark.sql import functions as F
 from trailtally.functions.params import parse_tag_names
 from trailtally.functions.tags import json_field
 
-# Longest tag list put into one row; further entries of an image get further rows.
-MAX_LIST = 10_000
-# Most heavy images whose ids are carried in a broadcast; beyond it they are joined by shuffle.
-MAX_HEAVY = 10_000
+# Names whose bits fit into one number.
+NAMES_PER_COLUMN = 62
 
 
 def tag_fields(tags: DataFrame, strict: bool = False) -> DataFrame:
@@ -31,113 +31,45 @@ def tag_rows(links: DataFrame, tags: DataFrame) -> DataFrame:
     return links.join(tags.select("tag_id", "name"), "tag_id").select("image_id", "tag_id", "name")
 
 
-def _heavy_images(links: DataFrame, max_list: int) -> DataFrame | None:
-    """Images with more than ``max_list`` links and the number of lists they need, or None.
+def tag_copies(links: DataFrame, tags: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One row (image_id, tag, copies) per tagged image and tag text.
 
-    One small aggregate decides up front, so that ordinary data takes the plain path. Few
-    heavy images come back as a local table, many as the aggregate itself.
+    ``copies`` tells how often the image has the text. Links are counted by id before they are
+    turned into texts, with partial counts before the shuffle, so neither an image with many
+    links nor a common tag gathers them. With ``ids`` (image_id) only for those images.
     """
-    heavy = (
-        links.groupBy("image_id")
-        .count()
-        .filter(F.col("count") > max_list)
-        .select("image_id", F.ceil(F.col("count") / max_list).cast("bigint").alias("lists"))
-    )
-    found = heavy.limit(MAX_HEAVY + 1).collect()
-    if not found:
-        return None
-    if len(found) > MAX_HEAVY:
-        return heavy
-    return F.broadcast(links.sparkSession.createDataFrame(found, "image_id long, lists long"))
-
-
-def tag_lists(
-    links: DataFrame, tags: DataFrame, max_list: int = MAX_LIST, ids: DataFrame | None = None
-) -> DataFrame:
-    """Tag texts of each tagged image as (image_id, part, tags), repeats kept.
-
-    With ``ids`` (image_id) only for those images. An image has one row, part 0, unless it has
-    more than ``max_list`` links. Such an image is spread over several parts, none of which
-    gathers more than about ``max_list`` texts.
-    """
-    heavy = _heavy_images(links, max_list)
     if ids is not None:
         links = links.join(ids, "image_id", "left_semi")
-    plain = links if heavy is None else links.join(heavy, "image_id", "left_anti")
-    # Ids move to their image before they are turned into texts, which are longer.
-    lists = (
-        tag_rows(plain.repartition("image_id"), tags)
-        .groupBy("image_id")
-        .agg(F.collect_list("name").alias("tags"))
-        .select("image_id", F.lit(0).cast("bigint").alias("part"), "tags")
-    )
-    if heavy is None:
-        return lists
-    # Repeats of one link are counted first and written out in runs of bounded length.
-    copies = links.join(heavy, "image_id", "left_semi").groupBy("image_id", "tag_id").count()
-    runs = copies.join(heavy, "image_id").select(
-        "image_id",
-        "tag_id",
-        "count",
-        "lists",
-        F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / max_list).cast("int"))).alias("run"),
-    )
-    length = F.least(F.lit(max_list), F.col("count") - F.col("run") * max_list).cast("int")
-    parts = (
-        runs.join(tags.select("tag_id", "name"), "tag_id")
-        .select(
-            "image_id",
-            (F.pmod(F.xxhash64("tag_id"), F.col("lists")) + F.col("lists") * F.col("run")).alias("part"),
-            F.array_repeat("name", length).alias("names"),
-        )
-        .groupBy("image_id", "part")
-        .agg(F.flatten(F.collect_list("names")).alias("tags"))
-    )
-    return lists.unionByName(parts)
+    counted = links.groupBy("image_id", "tag_id").agg(F.count("*").alias("copies"))
+    named = counted.join(tags.select("tag_id", F.col("name").alias("tag")), "tag_id")
+    return named.groupBy("image_id", "tag").agg(F.sum("copies").alias("copies"))
 
 
 def images_with_tags(
-    images: DataFrame,
-    links: DataFrame,
-    tags: DataFrame,
-    max_list: int = MAX_LIST,
-    ids: DataFrame | None = None,
+    images: DataFrame, links: DataFrame, tags: DataFrame, ids: DataFrame | None = None
 ) -> DataFrame:
-    """Images with their tag texts; an untagged image has an empty list.
+    """One row per image and tag text with ``tag`` and ``copies``.
 
-    With ``ids`` (image_id), which must have tags, only those images. Links are gathered per
-    image before the join, so the wide image columns are never grouped. See :func:`tag_lists`
-    for ``part``.
+    An untagged image has one row, without a tag and with 0 copies. With ``ids`` (image_id),
+    which must have tags, only those images.
     """
-    lists = tag_lists(links, tags, max_list, ids).withColumnRenamed("image_id", "id")
-    joined = images.join(lists, "id", "left" if ids is None else "inner")
-    return joined.withColumns(_filled_lists())
-
-
-def _filled_lists() -> dict[str, Column]:
-    return {
-        "part": F.coalesce("part", F.lit(0).cast("bigint")),
-        "tags": F.coalesce("tags", F.array().cast("array<string>")),
-    }
+    found = tag_copies(links, tags, ids).withColumnRenamed("image_id", "id")
+    joined = images.join(found, "id", "left" if ids is None else "inner")
+    return joined.withColumn("copies", F.coalesce("copies", F.lit(0).cast("bigint")))
 
 
 def tags_masked_outside_range(
-    images: DataFrame,
-    links: DataFrame,
-    tags: DataFrame,
-    in_range: Column,
-    max_list: int = MAX_LIST,
-    ids: DataFrame | None = None,
+    images: DataFrame, links: DataFrame, tags: DataFrame, in_range: Column, ids: DataFrame | None = None
 ) -> DataFrame:
-    """As :func:`images_with_tags`, but images outside the range stay with an empty list.
+    """As :func:`images_with_tags`, but images outside the range stay without tags.
 
     With ``ids`` (image_id) only for those images.
     """
     if ids is not None:
         images = images.join(ids.withColumnRenamed("image_id", "id"), "id", "left_semi")
-    lists = tag_lists(links, tags, max_list, ids)
-    joined = images.join(lists, (F.col("id") == F.col("image_id")) & in_range, "left")
-    return joined.drop("image_id").withColumns(_filled_lists())
+    found = tag_copies(links, tags, ids)
+    joined = images.join(found, (F.col("id") == F.col("image_id")) & in_range, "left")
+    return joined.drop("image_id").withColumn("copies", F.coalesce("copies", F.lit(0).cast("bigint")))
 
 
 def matching_tags(tags: DataFrame, names: Iterable[str], kind: str | None = "animal") -> DataFrame:
@@ -152,20 +84,25 @@ def ids_having_all_tags(links: DataFrame, tags: DataFrame, names: str | Iterable
     """``id`` of every image that has animal tags of all the names.
 
     Names are trimmed, lowercased and de-duplicated. Each name is one bit of an aggregate
-    that combines on the map side; long name lists count distinct names instead.
+    that combines on the map side; further columns take 62 names each.
     """
     wanted = parse_tag_names(names)
     found = links.join(matching_tags(tags, wanted), "tag_id")
-    if len(wanted) > 62:
-        kept = found.groupBy("image_id").agg(F.countDistinct("tag_name").alias("n"))
-        return kept.filter(F.col("n") == len(wanted)).select(F.col("image_id").alias("id"))
-    bit = F.lit(0).cast("bigint")
-    for place, name in enumerate(wanted):
-        bit = F.when(F.col("tag_name") == name, F.lit(1 << place)).otherwise(bit)
-    kept = found.select("image_id", bit.cast("bigint").alias("bit")).groupBy("image_id").agg(
-        F.bit_or("bit").alias("bits")
+    runs = [wanted[first : first + NAMES_PER_COLUMN] for first in range(0, max(1, len(wanted)), NAMES_PER_COLUMN)]
+    masks = []
+    for run in runs:
+        bit = F.lit(0).cast("bigint")
+        for place, name in enumerate(run):
+            bit = F.when(F.col("tag_name") == name, F.lit(1 << place)).otherwise(bit)
+        masks.append(bit.cast("bigint"))
+    bits = [f"bits{k}" for k in range(len(runs))]
+    kept = (
+        found.select("image_id", *[mask.alias(name) for mask, name in zip(masks, bits)])
+        .groupBy("image_id")
+        .agg(*[F.bit_or(name).alias(name) for name in bits])
     )
-    return kept.filter(F.col("bits") == (1 << len(wanted)) - 1).select(F.col("image_id").alias("id"))
+    complete = [F.col(name) == (1 << len(run)) - 1 for name, run in zip(bits, runs)]
+    return kept.filter(reduce(and_, complete)).select(F.col("image_id").alias("id"))
 
 
 def images_having_all_tags(
@@ -215,14 +152,13 @@ def untagged_images(images: DataFrame, links: DataFrame) -> DataFrame:
     return images.join(tagged, "id", "left_anti")
 
 
-def newest_untagged(images: DataFrame, links: DataFrame, limit: int = 20) -> DataFrame:
-    """(id, cdn_url) of the untagged images created last."""
-    return (
-        untagged_images(images, links)
-        .orderBy(F.col("created_at").desc_nulls_first(), "id")
-        .limit(limit)
-        .select("id", "cdn_url")
-    )
+def newest_untagged(images: DataFrame, links: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id, cdn_url) of the untagged images: all of them, or the ``limit`` created last, in order."""
+    waiting = untagged_images(images, links)
+    if limit is None:
+        return waiting.select("id", "cdn_url")
+    order = [F.col("created_at").desc_nulls_first(), F.col("id")]
+    return waiting.orderBy(*order).limit(limit).select("id", "cdn_url")
 
 
 def count_untagged(images: DataFrame, links: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ rows per bucket.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +17,6 @@ from trailtally.functions.params import safe_interval
 from trailtally.functions.present import round1_or_null
 from trailtally.functions.times import bucket_time, iso_seconds
 from trailtally.operators.filters import filter_date_range, filter_times, not_null
-from trailtally.operators.ranges import placed_in_ranges
-
-# Longest list of a day's captures put into one row.
-MAX_DAY_LIST = 10_000
 
 _MODES = {
     "temp_unit": "temperature_unit",
@@ -143,19 +138,24 @@ def daily_winds(df: DataFrame) -> DataFrame:
     return _daily(df, "wind_speed")
 
 
+def _rank(average: str) -> Column:
+    """An average as it is ranked and shown: the last bits of a sum depend on its order."""
+    return F.round(F.col(average), 9)
+
+
 def coldest_day(df: DataFrame) -> DataFrame:
     """Day with the lowest average temperature; the earliest of equals."""
-    return daily_temps(df).orderBy(F.col("avg_temp"), "day").limit(1)
+    return daily_temps(df).orderBy(_rank("avg_temp"), "day").limit(1)
 
 
 def hottest_day(df: DataFrame) -> DataFrame:
     """Day with the highest average temperature; the earliest of equals."""
-    return daily_temps(df).orderBy(F.col("avg_temp").desc(), "day").limit(1)
+    return daily_temps(df).orderBy(_rank("avg_temp").desc(), "day").limit(1)
 
 
 def windiest_day(df: DataFrame) -> DataFrame:
     """Day with the highest average wind speed; the earliest of equals."""
-    return daily_winds(df).orderBy(F.col("avg_wind").desc(), "day").limit(1)
+    return daily_winds(df).orderBy(_rank("avg_wind").desc(), "day").limit(1)
 
 
 def weather_records(df: DataFrame) -> DataFrame:
@@ -174,9 +174,9 @@ def weather_records(df: DataFrame) -> DataFrame:
         return F.min(F.when((F.col("basis") == basis) & rank.isNotNull(), row))
 
     records = daily.agg(
-        best("temperature", F.col("avg_temp")).alias("coldest_day"),
-        best("temperature", -F.col("avg_temp")).alias("hottest_day"),
-        best("wind", -F.col("avg_wind")).alias("windiest_day"),
+        best("temperature", _rank("avg_temp")).alias("coldest_day"),
+        best("temperature", -_rank("avg_temp")).alias("hottest_day"),
+        best("wind", -_rank("avg_wind")).alias("windiest_day"),
     )
     rows = F.array(*[
         F.struct(F.lit(name).alias("record"), *[F.col(name)[c].alias(c) for c in RECORD_COLUMNS])
@@ -188,15 +188,15 @@ def weather_records(df: DataFrame) -> DataFrame:
 def images_on_day(df: DataFrame, day: DataFrame | datetime) -> DataFrame:
     """Captures of one day, given as such or as a row of daily statistics.
 
-    Captures without readings are included. The day enters as literal bounds, which skip other
-    days' files.
+    Captures without readings are included. The day enters as bounds that skip other days'
+    files; one that is still to be found is a number the scan waits for.
     """
-    if isinstance(day, DataFrame):
-        found = day.select("day").first()
-        if found is None:
-            return df.limit(0)
-        day = found["day"]
-    return filter_times(df, start=day, before=day + timedelta(days=1))
+    if not isinstance(day, DataFrame):
+        return filter_times(df, start=day, before=day + timedelta(days=1))
+    found = day.select("day").scalar()
+    time = F.col("capture_time")
+    own = df.filter((time >= found) & (time < found + F.make_dt_interval(days=F.lit(1))))
+    return own.filter(F.col("capture_date") == F.to_date(found)) if "capture_date" in df.columns else own
 
 
 def image_struct(image: Column | None = None) -> Column:
@@ -218,42 +218,22 @@ def day_images(df: DataFrame, day: DataFrame | datetime) -> DataFrame:
     )
 
 
-def day_image_lists(
-    df: DataFrame, day: DataFrame | datetime, max_list: int = MAX_DAY_LIST
-) -> DataFrame:
-    """Captures of the day as ordered lists (day, part, images).
+def weather_documents(summary: DataFrame, time: str = "interval_start", *kept: str) -> DataFrame:
+    """Response form of trends or record rows: rounded readings nested by kind.
 
-    There is one list, part 0, unless the day has more than ``max_list`` captures. Then lists of
-    at most that length follow one another by ``part``.
+    The columns ``kept`` stay beside it.
     """
-    images = images_on_day(df, day).select("capture_time", "id", "cdn_url")
-    if images.count() <= max_list:
-        parts = images.withColumn("part", F.lit(0).cast("bigint"))
-    else:
-        placed = placed_in_ranges(images, [F.col("capture_time"), F.col("id")])
-        part = F.shiftleft(F.col("range").cast("bigint"), 32) + F.floor(F.col("place") / max_list)
-        parts = placed.withColumn("part", part)
-    ordered = F.array_sort(F.collect_list(F.struct("capture_time", "id", "cdn_url")))
-    return (
-        parts.groupBy(bucket_time(F.col("capture_time"), "day").alias("day"), "part")
-        .agg(ordered.alias("images"))
-        .withColumn("images", F.transform("images", image_struct))
-    )
-
-
-def weather_documents(summary: DataFrame, time: str = "interval_start") -> DataFrame:
-    """Response form of trends or record rows: rounded readings nested by kind."""
-    extra = [c for c in ("record", "reading_count") if c in summary.columns]
+    extra = [c for c in ("record", "reading_count") if c in summary.columns] + list(kept)
     return summary.select(
         iso_seconds(F.col(time)).alias("timestamp"),
         F.struct(
-            round1_or_null(F.col("avg_temp")).alias("average"),
+            round1_or_null(_rank("avg_temp")).alias("average"),
             round1_or_null(F.col("min_temp")).alias("min"),
             round1_or_null(F.col("max_temp")).alias("max"),
             F.col("temp_unit").alias("unit"),
         ).alias("temperature"),
         F.struct(
-            round1_or_null(F.col("avg_wind")).alias("average"),
+            round1_or_null(_rank("avg_wind")).alias("average"),
             round1_or_null(F.col("min_wind")).alias("min"),
             round1_or_null(F.col("max_wind")).alias("max"),
             F.col("wind_unit").alias("unit"),
@@ -263,12 +243,25 @@ def weather_documents(summary: DataFrame, time: str = "interval_start") -> DataF
     )
 
 
-def record_documents(df: DataFrame, max_list: int = MAX_DAY_LIST) -> DataFrame:
-    """Response form of the record days with their captures; see :func:`day_image_lists` for parts."""
+def record_documents(df: DataFrame) -> DataFrame:
+    """Response form of the record days, one row per record and capture of its day.
+
+    The captures come from one scan that is joined with the three days at most.
+    """
     records = weather_records(df)
-    found = records.collect()
-    documents = weather_documents(df.sparkSession.createDataFrame(found, records.schema), "day")
-    lists = [
-        day_image_lists(df, row["day"], max_list).withColumn("record", F.lit(row["record"])) for row in found
-    ] or [day_image_lists(df, records, max_list).withColumn("record", F.lit(""))]
-    return documents.join(reduce(DataFrame.unionByName, lists).drop("day"), "record")
+    documents = weather_documents(records, "day", "day")
+    dated = df.withColumn("day", bucket_time(F.col("capture_time"), "day")).select("day", image_struct().alias("image"))
+    return dated.join(F.broadcast(documents), "day").select(*[c for c in documents.columns if c != "day"], "image")
+
+
+def trends_info(
+    df: DataFrame,
+    interval: str | None = "hour",
+    start: datetime | str | None = None,
+    end: datetime | str | None = None,
+) -> DataFrame:
+    """One row (interval, total_intervals) that goes with the trends; only buckets are grouped."""
+    unit = safe_interval(interval)
+    readings = filter_date_range(not_null(df, "capture_time"), start, end)
+    buckets = readings.select(bucket_time(F.col("capture_time"), unit).alias("bucket")).distinct()
+    return buckets.agg(F.count("*").alias("total_intervals")).select(F.lit(unit).alias("interval"), "total_intervals")

@@ -162,6 +162,42 @@ def event_readings(spark: SparkSession, folder: str) -> DataFrame:
     return images.select("source_id", F.inline(rows)).filter(F.col("value").isNotNull())
 
 
+def event_shots(spark: SparkSession, folder: str) -> DataFrame:
+    """Scraped shots over events, in order of their ids; some repeat a hash or a source id."""
+    event_id = F.col("event_id")
+    key = F.when(event_id % 7 == 3, event_id - 1).otherwise(event_id).cast("string")
+    place = F.when(event_id % 23 != 0, F.array(F.col("event_type"), F.concat(F.lit("zone"), (F.col("user_id") % 7).cast("string"))))
+    return (
+        table(spark, folder, "events")
+        .select(
+            event_id.alias("pos"),
+            F.concat(F.lit("cam"), F.when(event_id % 9 == 5, event_id - 5).otherwise(event_id).cast("string")).alias("source_id"),
+            F.md5(F.concat(F.lit("hash"), key).cast("binary")).alias("file_hash"),
+            F.concat(F.lit(f"{CDN}/images/cam"), event_id.cast("string"), F.lit(".jpg")).alias("cdn_url"),
+            place.alias("places"),
+            event_id.alias("id"),
+        )
+        .join(event_date_texts(spark, folder).select("id", F.col("with_gaps").alias("taken_text")), "id")
+        .drop("id")
+    )
+
+
+def stored_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored images: every fourth event, under the hash its shot has."""
+    stored = event_images(spark, folder).filter(F.col("id") % 4 == 0)
+    return stored.withColumn("file_hash", F.md5(F.concat(F.lit("hash"), F.col("id").cast("string")).cast("binary")))
+
+
+def event_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Log and snapshot files (path, modificationTime) over events."""
+    kind = F.element_at(
+        F.array(*[F.lit(x) for x in ("cam_sync_%.log", "other_sync_%.log", "db_schema_%.gz", "db_data_%.gz", "cam_sync_%.txt")]),
+        (F.col("event_id") % 5 + 1).cast("int"),
+    )
+    path = F.concat(F.lit("/var/"), F.replace(kind, F.lit("%"), F.col("event_id").cast("string")))
+    return table(spark, folder, "events").select(path.alias("path"), F.col("ts").cast("timestamp").alias("modificationTime"))
+
+
 def event_date_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Date texts over events: (id, with_gaps, with_year)."""
     time, year = F.col("ts"), F.year("ts").cast("string")

@@ -10,14 +10,11 @@ from pyspark.sql import functions as F
 
 from trailtally.operators.answers import tag_counts_from_analysis
 from trailtally.operators.ingest import next_tagging_batch
-from trailtally.operators.listing import all_images_by_created
 from trailtally.operators.mutate import Tagging, retag_all, tag_answers
 from trailtally.operators.scoring import score_images
 from trailtally.operators.tagging import count_untagged, tagging_progress
 from trailtally.session import pin
 
-BATCH_SIZE = 20
-
 
 class TaggingRun(NamedTuple):
     tables: Tagging
@@ -31,21 +28,21 @@ def tag_next_batch(
     predict: Callable[[object], str],
     load: Callable[[object], object] | None = None,
     new_ids: DataFrame | None = None,
-    limit: int = BATCH_SIZE,
+    limit: int | None = None,
     partitions: int | None = None,
 ) -> TaggingRun:
-    """Tag the new captures (source_id), or without any the newest untagged images.
+    """Tag the new captures (source_id), or without any all untagged images.
 
-    Returns the changed tables, and one row of progress: images found, images that got tags,
-    and untagged images left if the batch came from them. Answers are pinned, since asking the
-    model twice may give two answers.
+    With ``limit`` only the untagged images created last. Returns the changed tables, and one
+    row of progress: images found, images that got tags, and untagged images left if the batch
+    came from them. Only the answers are pinned, since asking the model twice may give two
+    answers; the tables are worked out when they are read.
     """
-    new_ids = images.select("source_id").limit(0) if new_ids is None else new_ids
-    batch = pin(next_tagging_batch(new_ids, images, links, limit))
+    batch = next_tagging_batch(new_ids, images, links, limit)
     answers = pin(score_images(batch, predict, load, partitions=partitions)).select("image_id", "answer")
-    tagged = tag_counts_from_analysis(answers).select(F.col("image_id").alias("id")).distinct()
-    done = batch.join(tagged.withColumn("tagged", F.lit(True)), "id", "left").select(
-        "id", F.coalesce("tagged", F.lit(False)).alias("ok")
+    tagged = tag_counts_from_analysis(answers).select("image_id").distinct().withColumn("tagged", F.lit(True))
+    done = answers.select("image_id").join(tagged, "image_id", "left").select(
+        "image_id", F.coalesce("tagged", F.lit(False)).alias("ok")
     )
     progress = tagging_progress(count_untagged(images, links), done)
     return TaggingRun(tag_answers(answers, links, tags), progress)
@@ -60,6 +57,5 @@ def retag_images(
     partitions: int | None = None,
 ) -> Tagging:
     """Drop all tags and tag every image anew."""
-    chosen = all_images_by_created(images)
-    answers = pin(score_images(chosen, predict, load, partitions=partitions))
+    answers = pin(score_images(images.select("id", "cdn_url"), predict, load, partitions=partitions))
     return retag_all(answers.select("image_id", "answer"), links, tags)

@@ -17,10 +17,15 @@ images AS (
          'mph' AS wind_unit,
          props AS raw_metadata,
          ts AS created_at,
+         ts AS updated_at,
+         md5('cam' || event_id) AS file_hash,
          user_id
   FROM events
 )"""
 
+_ALL_COLUMNS = """id, source_id, cdn_url, capture_time, primary_location, secondary_location, temperature,
+       temperature_unit, wind_speed, wind_direction, wind_unit, raw_metadata, created_at, updated_at, file_hash"""
+
 _LISTING = """id, source_id, cdn_url, capture_time, primary_location, secondary_location, temperature,
        temperature_unit, wind_speed, wind_direction, wind_unit, raw_metadata, created_at"""
 
@@ -46,9 +51,8 @@ tags AS (
 tag_fields AS (
   SELECT tag_id, name, name::JSON ->> '$.type' AS tag_type, name::JSON ->> '$.name' AS tag_name FROM tags
 ),
-tag_lists AS (
-  SELECT image_id, string_agg(name, '|' ORDER BY name) AS tags
-  FROM links JOIN tags USING (tag_id) GROUP BY image_id
+tag_copies AS (
+  SELECT image_id, name AS tag, count(*) AS copies FROM links JOIN tags USING (tag_id) GROUP BY ALL
 ),
 having_all AS (
   SELECT image_id AS id
@@ -103,8 +107,8 @@ _MODES = """mode() WITHIN GROUP (ORDER BY temperature_unit) AS temp_unit,
        mode() WITHIN GROUP (ORDER BY wind_unit) AS wind_unit,
        mode() WITHIN GROUP (ORDER BY wind_direction) AS common_wind_dir"""
 
-_STATISTICS = f"""round(avg(temperature) + 1e-9, 6) AS avg_temp, min(temperature) AS min_temp, max(temperature) AS max_temp,
-       round(avg(wind_speed) + 1e-9, 6) AS avg_wind, min(wind_speed) AS min_wind, max(wind_speed) AS max_wind,
+_STATISTICS = f"""round(avg(temperature), 6) AS avg_temp, min(temperature) AS min_temp, max(temperature) AS max_temp,
+       round(avg(wind_speed), 6) AS avg_wind, min(wind_speed) AS min_wind, max(wind_speed) AS max_wind,
        {_MODES}"""
 
 _RANGE = "capture_time >= TIMESTAMP '2024-01-08' AND capture_time <= TIMESTAMP '2024-01-21 12:00:00'"
@@ -124,20 +128,40 @@ def _daily(column: str) -> str:
   FROM images WHERE {column} IS NOT NULL GROUP BY 1"""
 
 
+def _ranked(column: str, order: str) -> str:
+    """The best day by the average to nine decimals, the earliest of equals."""
+    return f"""SELECT * EXCLUDE (rank) FROM (
+    SELECT *, (SELECT round(avg({column}), 9) FROM images WHERE date_trunc('day', capture_time) = daily.day) AS rank
+    FROM ({_daily(column)}) daily
+  ) ORDER BY rank {order}, day LIMIT 1"""
+
+
 def _record(column: str, order: str) -> str:
-    return f"WITH {_IMAGES}, daily AS ({_daily(column)})\nSELECT * FROM daily ORDER BY {order}, day LIMIT 1"
+    return f"WITH {_IMAGES}\n{_ranked(column, order)}"
 
 
 _RECORDS = f"""
-temps AS ({_daily('temperature')}),
-winds AS ({_daily('wind_speed')}),
 records AS (
-  SELECT * FROM (SELECT 'coldest_day' AS record, * FROM temps ORDER BY avg_temp, day LIMIT 1)
-  UNION ALL BY NAME SELECT * FROM (SELECT 'hottest_day' AS record, * FROM temps ORDER BY avg_temp DESC, day LIMIT 1)
-  UNION ALL BY NAME SELECT * FROM (SELECT 'windiest_day' AS record, * FROM winds ORDER BY avg_wind DESC, day LIMIT 1)
+  SELECT * FROM (SELECT 'coldest_day' AS record, * FROM ({_ranked('temperature', 'ASC')}))
+  UNION ALL BY NAME SELECT * FROM (SELECT 'hottest_day' AS record, * FROM ({_ranked('temperature', 'DESC')}))
+  UNION ALL BY NAME SELECT * FROM (SELECT 'windiest_day' AS record, * FROM ({_ranked('wind_speed', 'DESC')}))
 )"""
 
 
+def _shown(name: str, value: str | None = None) -> str:
+    value = value or name
+    return f"CASE WHEN {value} <> 0 THEN format('{{:.1f}}', {value})::DOUBLE END AS {name}"
+
+
+_DOCUMENT = f"""{_shown('avg_temp')}, {_shown('min_temp')}, {_shown('max_temp')}, temp_unit,
+       {_shown('avg_wind')}, {_shown('min_wind')}, {_shown('max_wind')}, wind_unit, common_wind_dir"""
+
+# Averages as they are shown.
+_EXACT = f"""round(avg(temperature), 9) AS avg_temp, min(temperature) AS min_temp, max(temperature) AS max_temp,
+       round(avg(wind_speed), 9) AS avg_wind, min(wind_speed) AS min_wind, max(wind_speed) AS max_wind,
+       {_MODES}"""
+
+
 def _bounded(stored: str, first: int, last: int) -> str:
     """The rows that storing positions ``first`` to ``last`` one by one would keep."""
     return f"""
@@ -170,42 +194,95 @@ WHERE pos < coalesce((SELECT min(pos) FROM marked WHERE dup), {last} + 1)"""
 
 _WHOLE = 9223372036854775806
 
+_FILES = """
+files AS (
+  SELECT event_id, ts, '/var/' || CASE event_id % 5 WHEN 0 THEN 'cam_sync_' WHEN 1 THEN 'other_sync_' WHEN 2 THEN 'db_schema_'
+           WHEN 3 THEN 'db_data_' ELSE 'cam_sync_' END || event_id
+           || CASE event_id % 5 WHEN 0 THEN '.log' WHEN 1 THEN '.log' WHEN 4 THEN '.txt' ELSE '.gz' END AS path
+  FROM events
+)"""
+
+# Captures made from scraped texts, and those of them that storing one by one would keep.
+_SHOTS = f"""
+inferred AS (
+  SELECT event_id AS pos,
+         CASE WHEN event_id % 11 = 0 THEN {_NOW}
+              WHEN date_trunc('minute', ts) > {_NOW} THEN date_trunc('minute', ts) - INTERVAL 1 YEAR
+              ELSE date_trunc('minute', ts) END::TIMESTAMP AS taken
+  FROM events
+),
+shots AS (
+  SELECT id AS pos, 'cam' || CASE WHEN id % 9 = 5 THEN id - 5 ELSE id END AS source_id,
+         md5('hash' || CASE WHEN id % 7 = 3 THEN id - 1 ELSE id END) AS file_hash, cdn_url,
+         primary_location, secondary_location
+  FROM images
+),
+first_ids AS (SELECT * FROM shots QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY pos) = 1),
+fresh AS (
+  SELECT * FROM first_ids
+  WHERE source_id NOT IN (SELECT source_id FROM images WHERE id % 4 = 0)
+    AND file_hash NOT IN (SELECT md5('hash' || id) FROM images WHERE id % 4 = 0)
+),
+kept AS (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY pos) = 1),
+read AS (
+  SELECT source_id,
+         CASE WHEN wind_direction = 'N' THEN 1.5::DOUBLE WHEN temperature <> 0 THEN temperature END AS temperature,
+         CASE WHEN wind_direction = 'N' THEN 'K' WHEN temperature <> 0 THEN temperature_unit END AS temperature_unit,
+         wind_speed, CASE WHEN wind_speed IS NOT NULL THEN wind_direction END AS wind_direction,
+         primary_location AS sun_status, 'Phase ' || wind_direction AS moon_phase
+  FROM images
+),
+parts AS (
+  SELECT k.pos, k.source_id, k.file_hash, k.cdn_url, taken, strftime(taken, '%B %d, %Y %I:%M %p') AS stamp,
+         k.primary_location IS NOT NULL AS placed, k.primary_location, k.secondary_location,
+         r.temperature, r.temperature_unit, r.wind_speed, r.wind_direction, r.sun_status, r.moon_phase
+  FROM kept k JOIN inferred USING (pos) JOIN read r ON r.source_id = k.source_id
+),
+taken AS (
+  SELECT pos, source_id, cdn_url, taken AS capture_time,
+         CASE WHEN placed THEN primary_location ELSE '' END AS primary_location,
+         CASE WHEN placed THEN secondary_location ELSE '' END AS secondary_location,
+         temperature, coalesce(temperature_unit, 'F') AS temperature_unit, wind_speed,
+         coalesce(wind_direction, '') AS wind_direction,
+         CASE WHEN wind_speed IS NOT NULL THEN 'mi per h' ELSE 'mph' END AS wind_unit,
+         '{{"timestamp":"' || stamp || '"'
+           || CASE WHEN placed THEN ',"location":{{"primary":"' || primary_location || '","secondary":"' || secondary_location || '"}}' ELSE '' END
+           || CASE WHEN temperature IS NOT NULL THEN ',"temperature":{{"value":' || temperature || ',"unit":"' || temperature_unit || '"}}' ELSE '' END
+           || CASE WHEN wind_speed IS NOT NULL THEN ',"wind":{{"direction":"' || wind_direction || '","speed":' || wind_speed || ',"unit":"mi per h"}}' ELSE '' END
+           || CASE WHEN wind_speed IS NOT NULL THEN ',"pressure":{{"value":' || wind_speed || ',"unit":"inHg"}}' ELSE '' END
+           || CASE WHEN sun_status IS NOT NULL THEN ',"sun_status":"' || sun_status || '"' ELSE '' END
+           || ',"moon_phase":"' || moon_phase || '"}}' AS raw_metadata,
+         {_NOW} AS created_at, {_NOW} AS updated_at, file_hash
+  FROM parts
+)"""
+
 ORACLE_SQL: dict[str, str] = {
     # weather
     "weather_trends_hour": _trends("hour"),
     "weather_trends_day": _trends("day"),
     "weather_trends_week": _trends("week"),
     "weather_trends_range": _trends("hour", _RANGE),
-    "coldest_day": _record("temperature", "avg_temp"),
-    "hottest_day": _record("temperature", "avg_temp DESC"),
-    "windiest_day": _record("wind_speed", "avg_wind DESC"),
+    "coldest_day": _record("temperature", "ASC"),
+    "hottest_day": _record("temperature", "DESC"),
+    "windiest_day": _record("wind_speed", "DESC"),
     "daily_temps": f"WITH {_IMAGES} {_daily('temperature')}",
     "daily_winds": f"WITH {_IMAGES} {_daily('wind_speed')}",
     "weather_records": f"WITH {_IMAGES}, {_RECORDS} SELECT * FROM records",
-    "record_documents": f"""WITH {_IMAGES}, {_RECORDS}
-SELECT record, strftime(day, '%Y-%m-%dT%H:%M:%S') AS timestamp,
-       CASE WHEN min_temp <> 0 THEN format('{{:.1f}}', min_temp)::DOUBLE END AS min_temp,
-       CASE WHEN max_wind <> 0 THEN format('{{:.1f}}', max_wind)::DOUBLE END AS max_wind,
-       0::BIGINT AS part,
-       string_agg(id || '@' || strftime(capture_time, '%Y-%m-%dT%H:%M:%S'), '|' ORDER BY capture_time, id) AS images
-FROM records JOIN images ON date_trunc('day', capture_time) = day
-GROUP BY ALL""",
-    "coldest_day_images": f"""WITH {_IMAGES}, daily AS ({_daily('temperature')}),
-coldest AS (SELECT day FROM daily ORDER BY avg_temp, day LIMIT 1)
+    "record_documents": f"""WITH {_IMAGES}, {_RECORDS},
+days AS (SELECT record, day, strftime(day, '%Y-%m-%dT%H:%M:%S') AS timestamp, {_DOCUMENT} FROM records)
+SELECT d.* EXCLUDE (day), id, cdn_url, strftime(capture_time, '%Y-%m-%dT%H:%M:%S') AS capture_time
+FROM days d JOIN images ON date_trunc('day', capture_time) = day""",
+    "coldest_day_images": f"""WITH {_IMAGES}, coldest AS ({_ranked('temperature', 'ASC')})
 SELECT c.day, id, cdn_url, strftime(capture_time, '%Y-%m-%dT%H:%M:%S') AS capture_time
 FROM images JOIN coldest c ON date_trunc('day', capture_time) = c.day""",
     "weather_documents": f"""WITH {_IMAGES}, hourly AS (
-  SELECT date_trunc('hour', capture_time)::TIMESTAMP AS t, {_STATISTICS}, count(*) AS reading_count
+  SELECT date_trunc('hour', capture_time)::TIMESTAMP AS t, {_EXACT}, count(*) AS reading_count
   FROM images GROUP BY 1
 )
-SELECT strftime(t, '%Y-%m-%dT%H:%M:%S') AS timestamp,
-       CASE WHEN min_temp <> 0 THEN format('{{:.1f}}', min_temp)::DOUBLE END AS min_temp,
-       CASE WHEN max_temp <> 0 THEN format('{{:.1f}}', max_temp)::DOUBLE END AS max_temp,
-       temp_unit,
-       CASE WHEN min_wind <> 0 THEN format('{{:.1f}}', min_wind)::DOUBLE END AS min_wind,
-       CASE WHEN max_wind <> 0 THEN format('{{:.1f}}', max_wind)::DOUBLE END AS max_wind,
-       common_wind_dir, reading_count
+SELECT strftime(t, '%Y-%m-%dT%H:%M:%S') AS timestamp, {_DOCUMENT}, reading_count
 FROM hourly""",
+    "trends_info": f"""WITH {_IMAGES}
+SELECT 'day' AS interval, count(DISTINCT date_trunc('day', capture_time)) AS total_intervals FROM images WHERE {_RANGE}""",
     # listing
     "scan_images": f"WITH {_IMAGES} SELECT {_LISTING} FROM images",
     "list_images_filtered": f"""WITH {_IMAGES}
@@ -213,6 +290,13 @@ SELECT {_LISTING} FROM images WHERE {_RANGE} AND {_PLACE}
 ORDER BY temperature ASC NULLS LAST, id""",
     "page_images": f"""WITH {_IMAGES}
 SELECT {_LISTING} FROM images ORDER BY temperature DESC NULLS FIRST, id LIMIT 20 OFFSET 20""",
+    "page_images_deep": f"""WITH {_IMAGES}
+SELECT {_LISTING} FROM images ORDER BY capture_time ASC NULLS LAST, id LIMIT 1000 OFFSET 6000""",
+    "list_images_fallback": f"""WITH {_IMAGES}
+SELECT {_LISTING} FROM images WHERE {_RANGE} ORDER BY capture_time, id""",
+    "listing_info": f"""WITH {_IMAGES}
+SELECT count(*) AS total_records, 'temperature' AS sort_by, 'desc' AS sort_order
+FROM images WHERE {_RANGE} AND {_PLACE}""",
     "page_info": f"""WITH {_IMAGES}
 SELECT count(*) AS total, 2::BIGINT AS page, 20::BIGINT AS per_page, ceil(count(*) / 20.0)::BIGINT AS total_pages
 FROM images WHERE {_RANGE} AND {_PLACE}""",
@@ -242,30 +326,37 @@ SELECT id, strftime(capture_time, '%B %d, %I:%M %p') AS time_label,
        CASE WHEN user_id % 7 <> 0 THEN 'Phase ' || (user_id % 7) END AS moon_label
 FROM images""",
     "image_documents": f"""WITH {_IMAGES}
-SELECT id, strftime(capture_time, '%Y-%m-%dT%H:%M:%S')
+SELECT {_LISTING.replace('capture_time, ', '').replace(', created_at', '')}, strftime(capture_time, '%Y-%m-%dT%H:%M:%S')
          || CASE WHEN strftime(capture_time, '%f') <> '000000' THEN strftime(capture_time, '.%f') ELSE '' END AS capture_time,
        strftime(capture_time, '%B %d, %I:%M %p') AS capture_time_formatted,
        strftime(created_at, '%Y-%m-%dT%H:%M:%S')
          || CASE WHEN strftime(created_at, '%f') <> '000000' THEN strftime(created_at, '.%f') ELSE '' END AS created_at
 FROM images""",
+    "time_labels_with_year": f"""WITH {_IMAGES}
+SELECT id, strftime(capture_time, '%B %d, %Y %I:%M %p') AS label FROM images""",
+    "ids_from_texts": """
+SELECT o_orderkey AS id, unnest([0, 1])::INTEGER AS place, unnest([o_orderkey, o_custkey]) AS listed FROM orders""",
+    "images_in_id_table": f"""WITH {_IMAGES}
+SELECT {_LISTING} FROM images WHERE id IN (SELECT doc_id FROM labels)""",
     "rounded_readings": f"""WITH {_IMAGES}
 SELECT id, CASE WHEN temperature <> 0 THEN format('{{:.1f}}', temperature)::DOUBLE END AS temperature,
        CASE WHEN wind_speed <> 0 THEN format('{{:.1f}}', wind_speed)::DOUBLE END AS wind_speed
 FROM images""",
     # tags
     "images_with_tags": f"""WITH {_TAGS}
-SELECT id, 0::BIGINT AS part, coalesce(tags, '') AS tags FROM images LEFT JOIN tag_lists ON id = image_id""",
+SELECT id, source_id, capture_time, tag, coalesce(copies, 0) AS copies
+FROM images LEFT JOIN tag_copies ON id = image_id""",
     "list_tagged_images": f"""WITH {_TAGS}
-SELECT id, source_id, capture_time, coalesce(tags, '') AS tags
-FROM images JOIN having_all USING (id) LEFT JOIN tag_lists ON id = image_id
-WHERE capture_time >= {_LINK_START} ORDER BY created_at, id""",
+SELECT id, source_id, capture_time, tag, coalesce(copies, 0) AS copies
+FROM images JOIN having_all USING (id) LEFT JOIN tag_copies ON id = image_id
+WHERE capture_time >= {_LINK_START} ORDER BY created_at, id, tag""",
     "list_tagged_images_masked": f"""WITH {_TAGS}
-SELECT id, capture_time, coalesce(tags, '') AS tags
-FROM images JOIN having_all USING (id) LEFT JOIN tag_lists ON id = image_id AND capture_time >= {_LINK_START}""",
+SELECT id, capture_time, tag, coalesce(copies, 0) AS copies
+FROM images JOIN having_all USING (id) LEFT JOIN tag_copies ON id = image_id AND capture_time >= {_LINK_START}""",
     "images_having_all_tags": f"WITH {_TAGS} SELECT i.* FROM images i WHERE id IN (SELECT id FROM having_all)",
     "tags_masked_outside_range": f"""WITH {_TAGS}
-SELECT id, coalesce(tags, '') AS tags
-FROM images LEFT JOIN tag_lists ON id = image_id AND capture_time >= {_LINK_START}""",
+SELECT id, tag, coalesce(copies, 0) AS copies
+FROM images LEFT JOIN tag_copies ON id = image_id AND capture_time >= {_LINK_START}""",
     "tag_rows": f"WITH {_TAGS} SELECT image_id, tag_id, name FROM links JOIN tags USING (tag_id)",
     "filter_tag_type": f"WITH {_TAGS} SELECT tag_id, name FROM tag_fields WHERE tag_type = 'animal'",
     "filter_tag_names": f"WITH {_TAGS} SELECT tag_id, name FROM tag_fields WHERE tag_name IN ('promo', 'small')",
@@ -287,12 +378,12 @@ SELECT id, cdn_url FROM untagged ORDER BY created_at DESC NULLS FIRST, id LIMIT
     "all_untagged_images": f"WITH {_TAGS} SELECT * FROM untagged",
     "count_untagged": f"WITH {_TAGS} SELECT count(*) AS count FROM untagged",
     "tagging_progress": f"""WITH {_TAGS},
-batch AS (SELECT id, cdn_url FROM untagged ORDER BY created_at DESC NULLS FIRST, id LIMIT 20)
+batch AS (SELECT id, cdn_url FROM untagged)
 SELECT count(*) AS found, count(*) FILTER (WHERE length(cdn_url) % 3 > 0) AS processed,
        (SELECT count(*) FROM untagged) - count(*) FILTER (WHERE length(cdn_url) % 3 > 0) AS remaining
 FROM batch""",
     "next_tagging_batch": f"""WITH {_TAGS}
-SELECT id, cdn_url FROM untagged ORDER BY created_at DESC NULLS FIRST, id LIMIT 20""",
+SELECT id, cdn_url FROM untagged""",
     "next_tagging_batch_new": f"""WITH {_TAGS}
 SELECT id, cdn_url FROM images WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
     # changes
@@ -319,21 +410,31 @@ wanted AS (
   SELECT DISTINCT {_PART_TAG % ("'animal'", "l_quantity::BIGINT", "l_quantity::BIGINT")} AS name
   FROM lineitem JOIN part ON l_partkey = p_partkey
 )
-SELECT name FROM tags UNION ALL SELECT name FROM wanted WHERE name NOT IN (SELECT name FROM tags)""",
+SELECT name, tag_id AS old_id, TRUE AS "unique" FROM tags
+UNION ALL SELECT name, NULL, TRUE FROM wanted WHERE name NOT IN (SELECT name FROM tags)""",
+    "upsert_tag_ids": f"""WITH {_TAGS},
+wanted AS (
+  SELECT DISTINCT {_PART_TAG % ("'animal'", "l_quantity::BIGINT", "l_quantity::BIGINT")} AS name
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+),
+added AS (SELECT count(*) AS n FROM wanted WHERE name NOT IN (SELECT name FROM tags))
+SELECT count(*) + any_value(n) AS n, count(DISTINCT tag_id) + any_value(n) AS ids, max(tag_id) + any_value(n) AS highest
+FROM tags, added""",
     "tag_answers": f"""WITH {_TAGS}, {_ANSWERS}
 SELECT image_id, name FROM links JOIN tags USING (tag_id)
 WHERE image_id NOT IN (SELECT image_id FROM answer_tags)
 UNION ALL SELECT image_id, tag_json AS name FROM answer_tags""",
     "retag_all": f"WITH {_ANSWERS} SELECT image_id, tag_json AS name FROM answer_tags",
     "tag_next_batch": f"""WITH {_TAGS},
-batch AS (SELECT id, cdn_url FROM untagged ORDER BY created_at DESC NULLS FIRST, id LIMIT 20)
+batch AS (SELECT id, cdn_url FROM untagged)
 SELECT image_id, name FROM links JOIN tags USING (tag_id)
 UNION ALL
 SELECT id, {_DEER_TAG} FROM batch WHERE length(cdn_url) % 3 > 0""",
     "retag_images": f"""WITH {_TAGS}
 SELECT id AS image_id, {_DEER_TAG} AS name FROM images WHERE length(cdn_url) % 3 > 0""",
     "update_images": f"""WITH {_IMAGES}
-SELECT id, CASE WHEN temperature = 0 THEN 1.5::DOUBLE ELSE temperature END AS temperature, created_at,
+SELECT {_ALL_COLUMNS.replace(' temperature,', '').replace(', updated_at', '')},
+       CASE WHEN temperature = 0 THEN 1.5::DOUBLE ELSE temperature END AS temperature,
        CASE WHEN temperature = 0 THEN {_NOW} ELSE created_at END AS updated_at
 FROM images""",
     # checks
@@ -362,9 +463,33 @@ WHERE source_id NOT IN (SELECT source_id FROM labelled) AND file_hash NOT IN (SE
 SELECT * FROM seq QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY pos) = 1""",
     "accepted_captures": f"WITH {_SEQUENCE}, {_bounded('rejected', 0, _WHOLE)} SELECT * FROM kept",
     "take_until_duplicate": _until_duplicate(_WHOLE),
-    "incremental_batch": _until_duplicate(200, "rejected"),
-    "incremental_batch_forced": f"WITH {_SEQUENCE}, {_bounded('labelled', 0, 200)} SELECT * FROM kept",
-    "backfill_batch": f"WITH {_SEQUENCE}, {_bounded('labelled', 31, 230)} SELECT * FROM kept ORDER BY pos LIMIT 50",
+    "incremental_batch": _until_duplicate(_WHOLE, "rejected"),
+    "incremental_batch_forced": f"WITH {_SEQUENCE}, {_bounded('labelled', 0, _WHOLE)} SELECT * FROM kept",
+    "backfill_batch": f"WITH {_SEQUENCE}, {_bounded('labelled', 31, _WHOLE)} SELECT * FROM kept",
+    "ingest_captures": f"""WITH {_IMAGES}, {_SHOTS}
+SELECT * EXCLUDE (pos) FROM taken""",
+    "ingest_ids": f"""WITH {_IMAGES}, {_SHOTS},
+highest AS (SELECT max(id) AS id FROM images WHERE id % 4 = 0)
+SELECT count(*) AS n, count(*) AS ids, any_value(highest.id) + 1 AS first, any_value(highest.id) + count(*) AS last
+FROM taken, highest""",
+    # sources and sinks
+    "scan_stored_images": f"WITH {_IMAGES} SELECT {_LISTING} FROM images WHERE {_RANGE}",
+    "scan_stored_tags": f"WITH {_TAGS} SELECT tag_id, name FROM tags",
+    "scan_stored_links": f"WITH {_TAGS} SELECT image_id, tag_id FROM links",
+    "append_images": f"""WITH {_IMAGES}, {_SHOTS}
+SELECT source_id, md5('hash' || id) AS file_hash, temperature, wind_unit, capture_time FROM images WHERE id % 4 = 0
+UNION ALL BY NAME SELECT source_id, file_hash, temperature, wind_unit, capture_time FROM taken""",
+    "snapshot_round_trip": f"WITH {_IMAGES} SELECT {_ALL_COLUMNS} FROM images",
+    "rejected_media": """
+SELECT source || '/' || doc_id || CASE lang WHEN 'en' THEN '.jpg' WHEN 'fr' THEN '.PNG' WHEN 'de' THEN '.gif' ELSE '.Jpeg' END
+         AS path,
+       n_chars * 1000 AS length,
+       CASE WHEN n_chars * 1000 > 10485760 THEN 'too large' ELSE 'not a picture type' END AS reason
+FROM documents WHERE lang = 'de' OR n_chars * 1000 > 10485760""",
+    "file_kinds": f"""WITH {_FILES}
+SELECT path, CASE event_id % 5 WHEN 0 THEN 'log' WHEN 2 THEN 'schema' WHEN 3 THEN 'data' END AS kind FROM files""",
+    "expired_files": f"""WITH {_FILES}
+SELECT path FROM files WHERE event_id % 5 = 0 AND ts < {_NOW} - INTERVAL 7 DAY""",
     "infer_capture_time": f"""
 SELECT event_id AS id,
        CASE WHEN event_id % 11 = 0 THEN {_NOW}
@@ -422,4 +547,11 @@ SELECT doc_id AS image_id,
        '{"Words": ' || len(string_split(text, ' ')) || ', "total": ' || length(text) || '}' AS answer,
        TRUE AS ok, CAST(NULL AS VARCHAR) AS error
 FROM documents""",
+    "score_images_failing": """
+WITH counted AS (SELECT doc_id, length(text) % 5 = 0 AS gone, len(string_split(text, ' ')) AS words FROM documents)
+SELECT doc_id AS image_id,
+       CASE WHEN gone THEN NULL WHEN words % 7 = 0 THEN '{}' ELSE '{"Words": ' || words || '}' END AS answer,
+       NOT gone AND words % 7 <> 0 AS ok,
+       CASE WHEN gone THEN 'not found' WHEN words % 7 = 0 THEN 'no answer' END AS error
+FROM counted""",
 }

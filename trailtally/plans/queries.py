@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailtally import schema
-from trailtally.functions import present, tags, text, times
+from trailtally.functions import params, present, tags, text, times
 from trailtally.operators import answers, checks, filters, ingest, listing, mutate, scoring, tagging, weather
 from trailtally.plans import bindings as b
 from trailtally.plans import jobs
-from trailtally.session import configure
-from trailtally.sources import media, snapshots
+from trailtally.session import configure, ensure_checkpoint_dir
+from trailtally.sources import media, snapshots, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +37,13 @@ def query(function: Query) -> Query:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    """Averages to six decimals; the nudge sends halves up, whatever the last bit of a sum."""
-    return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("avg_temp", "avg_wind")})
+    """Averages to six decimals, since the last bits of a sum depend on its order."""
+    return df.withColumns({c: F.round(F.col(c), 6) for c in ("avg_temp", "avg_wind")})
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all nodes share."""
+    return f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 # weather
@@ -100,29 +106,36 @@ def coldest_day_images(spark, folder):
     return found.select("day", "image.*")
 
 
+def _document_columns() -> list:
+    return [
+        "timestamp",
+        F.col("temperature.average").alias("avg_temp"),
+        F.col("temperature.min").alias("min_temp"),
+        F.col("temperature.max").alias("max_temp"),
+        F.col("temperature.unit").alias("temp_unit"),
+        F.col("wind.average").alias("avg_wind"),
+        F.col("wind.min").alias("min_wind"),
+        F.col("wind.max").alias("max_wind"),
+        F.col("wind.unit").alias("wind_unit"),
+        F.col("wind.common_direction").alias("common_wind_dir"),
+    ]
+
+
 @query
 def record_documents(spark, folder):
     found = weather.record_documents(b.event_images(spark, folder))
-    shown = F.transform("images", lambda image: F.concat_ws("@", image["id"].cast("string"), image["capture_time"]))
-    return found.select(
-        "record", "timestamp", F.col("temperature.min").alias("min_temp"), F.col("wind.max").alias("max_wind"),
-        "part", F.array_join(shown, "|").alias("images"),
-    )
+    return found.select("record", *_document_columns(), "image.*")
 
 
 @query
 def weather_documents(spark, folder):
     trends = weather.weather_by_bucket(b.event_images(spark, folder), "hour")
-    return weather.weather_documents(trends).select(
-        "timestamp",
-        F.col("temperature.min").alias("min_temp"),
-        F.col("temperature.max").alias("max_temp"),
-        F.col("temperature.unit").alias("temp_unit"),
-        F.col("wind.min").alias("min_wind"),
-        F.col("wind.max").alias("max_wind"),
-        F.col("wind.common_direction").alias("common_wind_dir"),
-        "reading_count",
-    )
+    return weather.weather_documents(trends).select(*_document_columns(), "reading_count")
+
+
+@query
+def trends_info(spark, folder):
+    return weather.trends_info(b.event_images(spark, folder), "day", *RANGE)
 
 
 # listing
@@ -145,6 +158,23 @@ def page_images(spark, folder):
     return listing.page_images(images, page=2, per_page=20, sort_by="temperature", sort_order="DESC")
 
 
+@query
+def page_images_deep(spark, folder):
+    images = b.event_images(spark, folder).select(schema.LISTING_COLUMNS)
+    return listing.page_images(images, page=7, per_page=1000, sort_by="capture_time", sort_order="asc", max_top=100)
+
+
+@query
+def list_images_fallback(spark, folder):
+    images = b.event_images(spark, folder).select(schema.LISTING_COLUMNS)
+    return listing.list_images(images, *RANGE, sort_by="no such column", sort_order="ASC")
+
+
+@query
+def listing_info(spark, folder):
+    return listing.listing_info(b.event_images(spark, folder), *RANGE, "zone3", sort_by="temperature")
+
+
 @query
 def page_info(spark, folder):
     return listing.page_info(listing.filter_images(b.event_images(spark, folder), *RANGE, "zone3"), page=2)
@@ -197,8 +227,30 @@ def image_labels(spark, folder):
 
 @query
 def image_documents(spark, folder):
-    documents = listing.image_documents(b.event_images(spark, folder))
-    return documents.select("id", "capture_time", "capture_time_formatted", "created_at")
+    images = b.event_images(spark, folder).select(schema.LISTING_COLUMNS)
+    return listing.image_documents(images)
+
+
+@query
+def time_labels_with_year(spark, folder):
+    return b.event_images(spark, folder).select(
+        "id", times.capture_label_year(F.col("capture_time")).alias("label")
+    )
+
+
+@query
+def ids_from_texts(spark, folder):
+    lists = F.concat_ws(", ", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"))
+    return b.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"), F.posexplode(params.parse_ids_column(lists)).alias("place", "listed")
+    )
+
+
+@query
+def images_in_id_table(spark, folder):
+    images = b.event_images(spark, folder).select(schema.LISTING_COLUMNS)
+    wanted = b.table(spark, folder, "labels").select(F.col("doc_id").alias("id"))
+    return filters.filter_id_table(images, wanted)
 
 
 @query
@@ -218,7 +270,7 @@ def images_with_tags(spark, folder):
     found = tagging.images_with_tags(
         b.order_images(spark, folder), b.image_links(spark, folder), b.part_tags(spark, folder)
     )
-    return found.select("id", "part", F.array_join(F.array_sort("tags"), "|").alias("tags"))
+    return found.select("id", "source_id", "capture_time", "tag", "copies")
 
 
 @query
@@ -228,7 +280,7 @@ def list_tagged_images(spark, folder):
         images, b.image_links(spark, folder), b.part_tags(spark, folder),
         tag_names=TAG_NAMES, start=LINK_RANGE_START, sort_by="created_at", sort_order="asc",
     )
-    return found.select("id", "source_id", "capture_time", F.array_join(F.array_sort("tags"), "|").alias("tags"))
+    return found.select("id", "source_id", "capture_time", "tag", "copies")
 
 
 @query
@@ -244,7 +296,7 @@ def tags_masked_outside_range(spark, folder):
         b.order_images(spark, folder), b.image_links(spark, folder), b.part_tags(spark, folder),
         F.col("capture_time") >= times.moment(LINK_RANGE_START),
     )
-    return found.select("id", F.array_join(F.array_sort("tags"), "|").alias("tags"))
+    return found.select("id", "tag", "copies")
 
 
 @query
@@ -254,7 +306,7 @@ def list_tagged_images_masked(spark, folder):
         images, b.image_links(spark, folder), b.part_tags(spark, folder),
         tag_names=TAG_NAMES, start=LINK_RANGE_START, mask_outside_range=True,
     )
-    return found.select("id", "capture_time", F.array_join(F.array_sort("tags"), "|").alias("tags"))
+    return found.select("id", "capture_time", "tag", "copies")
 
 
 @query
@@ -284,13 +336,13 @@ def available_tags(spark, folder):
 
 @query
 def tags_parsed(spark, folder):
-    lists = tagging.tag_lists(b.image_links(spark, folder), b.part_tags(spark, folder))
-    return lists.select("image_id", F.inline(tags.parse_tags(F.col("tags"))))
+    rows = tagging.tag_rows(b.image_links(spark, folder), b.part_tags(spark, folder))
+    return rows.select("image_id", tags.parse_tag(F.col("name")).alias("tag")).select("image_id", "tag.*")
 
 
 @query
 def untagged_images(spark, folder):
-    return tagging.newest_untagged(b.order_images(spark, folder), b.image_links(spark, folder))
+    return tagging.newest_untagged(b.order_images(spark, folder), b.image_links(spark, folder), 20)
 
 
 @query
@@ -306,7 +358,7 @@ def count_untagged(spark, folder):
 @query
 def next_tagging_batch(spark, folder):
     images, links = b.order_images(spark, folder), b.image_links(spark, folder)
-    return ingest.next_tagging_batch(images.select("source_id").limit(0), images, links)
+    return ingest.next_tagging_batch(None, images, links)
 
 
 @query
@@ -353,8 +405,21 @@ def missing_tags(spark, folder):
 
 @query
 def upsert_tags(spark, folder):
-    found = mutate.upsert_tags(b.ordered_tag_names(spark, folder), b.part_tags(spark, folder))
-    return found.select("name")
+    tags_before = b.part_tags(spark, folder)
+    found = mutate.upsert_tags(b.ordered_tag_names(spark, folder), tags_before)
+    highest = tags_before.agg(F.max("tag_id")).scalar()
+    # Which new text has which new id is not fixed; that ids are new, whole and unique is.
+    first = F.count("*").over(Window.partitionBy("tag_id")) == 1
+    return found.select(
+        "name", F.when(F.col("tag_id") <= highest, F.col("tag_id")).alias("old_id"), first.alias("unique")
+    )
+
+
+@query
+def upsert_tag_ids(spark, folder):
+    tags_before = b.part_tags(spark, folder)
+    found = mutate.upsert_tags(b.ordered_tag_names(spark, folder), tags_before)
+    return found.agg(F.count("*").alias("n"), F.countDistinct("tag_id").alias("ids"), F.max("tag_id").alias("highest"))
 
 
 def _named_links(tagged: mutate.Tagging) -> DataFrame:
@@ -407,8 +472,7 @@ def retag_images(spark, folder):
 def update_images(spark, folder):
     images = b.event_images(spark, folder)
     changes = images.filter(F.col("temperature") == 0).withColumn("temperature", F.lit(1.5))
-    found = mutate.update_images(images, changes, NOW)
-    return found.select("id", "temperature", "created_at", "updated_at")
+    return mutate.update_images(images, changes, NOW)
 
 
 # checks
@@ -490,10 +554,84 @@ def incremental_batch_forced(spark, folder):
 @query
 def backfill_batch(spark, folder):
     return ingest.backfill_batch(
-        b.document_sequence(spark, folder), b.labelled_images(spark, folder), jump=30, limit=50
+        b.document_sequence(spark, folder), b.labelled_images(spark, folder), jump=30
     )
 
 
+def _ingested(spark, folder):
+    shots, readings = b.event_shots(spark, folder), b.event_readings(spark, folder)
+    captures = ingest.captures_from_readings(shots, readings, NOW)
+    return ingest.ingest_captures(captures, b.stored_events(spark, folder), NOW)
+
+
+@query
+def ingest_captures(spark, folder):
+    return _ingested(spark, folder).drop("id")
+
+
+@query
+def ingest_ids(spark, folder):
+    return _ingested(spark, folder).agg(
+        F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.min("id").alias("first"), F.max("id").alias("last")
+    )
+
+
+# sources and sinks, each written to a new folder and read back
+
+
+@query
+def scan_stored_images(spark, folder):
+    path = _scratch(spark)
+    tables.recreate_images(b.event_images(spark, folder), path)
+    return tables.scan_images(spark, path, *RANGE)
+
+
+@query
+def scan_stored_tags(spark, folder):
+    path = _scratch(spark)
+    tables.write_table(b.part_tags(spark, folder), path)
+    return tables.scan_tags(spark, path)
+
+
+@query
+def scan_stored_links(spark, folder):
+    path = _scratch(spark)
+    tables.write_table(b.image_links(spark, folder), path)
+    return tables.scan_image_tags(spark, path)
+
+
+@query
+def append_images(spark, folder):
+    path = _scratch(spark)
+    tables.recreate_images(b.stored_events(spark, folder), path)
+    captures = ingest.captures_from_readings(b.event_shots(spark, folder), b.event_readings(spark, folder), NOW)
+    tables.append_images(captures, tables.scan_image_rows(spark, path), path, NOW)
+    return tables.scan_image_rows(spark, path).select("source_id", "file_hash", "temperature", "wind_unit", "capture_time")
+
+
+@query
+def snapshot_round_trip(spark, folder):
+    path = _scratch(spark)
+    snapshots.export_snapshot(b.event_images(spark, folder), path, "images", "1")
+    return snapshots.restore_snapshot(spark, path, "images", "1")
+
+
+@query
+def rejected_media(spark, folder):
+    return media.rejected_media(b.document_media(spark, folder))
+
+
+@query
+def file_kinds(spark, folder):
+    kinds = text.file_kind(F.col("path"), "cam_sync_")
+    return b.event_files(spark, folder).select("path", kinds.alias("kind"))
+
+
+@query
+def expired_files(spark, folder):
+    return snapshots.expired_files(b.event_files(spark, folder), NOW, "cam_sync_").select("path")
+
+
 @query
 def infer_capture_time(spark, folder):
     return b.event_date_texts(spark, folder).select(
@@ -570,3 +708,24 @@ def score_images(spark, folder):
         id_column="doc_id",
         input_column="text",
     )
+
+
+def _words_or_error(content: str) -> str:
+    """A stand-in for a model that fails on some inputs."""
+    words = len(content.split(" "))
+    if words % 7 == 0:
+        raise ValueError("no answer")
+    return json.dumps({"Words": words})
+
+
+def _load_or_error(content: str) -> str:
+    if len(content) % 5 == 0:
+        raise OSError("not found")
+    return content
+
+
+@query
+def score_images_failing(spark, folder):
+    return scoring.score_images(
+        b.table(spark, folder, "documents"), _words_or_error, _load_or_error, "doc_id", "text"
+    )

@@ -30,6 +30,13 @@ def valid_media(media: DataFrame) -> DataFrame:
     )
 
 
+def rejected_media(media: DataFrame) -> DataFrame:
+    """The other files, as (path, length, reason)."""
+    reason = F.when(F.col("length") > MAX_MEDIA_BYTES, F.lit("too large")).otherwise(F.lit("not a picture type"))
+    fine = (F.col("length") <= MAX_MEDIA_BYTES) & mime_type(F.col("path")).isin(*ALLOWED_MIME_TYPES)
+    return media.filter(~fine).select("path", "length", reason.alias("reason"))
+
+
 def hashed_media(media: DataFrame) -> DataFrame:
     """(path, length, file_hash) of the files."""
     return media.select("path", "length", file_hash(F.col("content")).alias("file_hash"))

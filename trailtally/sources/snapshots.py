@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailtally.functions.text import base_name
+from trailtally.functions.text import is_log
 from trailtally.functions.times import moment
 
 SNAPSHOTS_KEPT = 7
 MAX_AGE_DAYS = 7
-LOG_PATTERN = r"_sync_.*\.log$"
 
 _TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -56,7 +55,7 @@ def expired_rows(
     return df.filter((F.col(time) if isinstance(time, str) else time) < cutoff)
 
 
-def expired_files(files: DataFrame, now: datetime | str, days: int = MAX_AGE_DAYS) -> DataFrame:
-    """Log files (path, modificationTime) due for removal."""
-    logs = files.filter(base_name(F.col("path")).rlike(LOG_PATTERN))
+def expired_files(files: DataFrame, now: datetime | str, prefix: str, days: int = MAX_AGE_DAYS) -> DataFrame:
+    """Log files (path, modificationTime) of the program that names its logs by ``prefix``."""
+    logs = files.filter(is_log(F.col("path"), prefix))
     return expired_rows(logs, F.col("modificationTime").cast("timestamp_ntz"), now, days)

@@ -58,8 +58,8 @@ def _write_images(images: DataFrame, path: str, mode: str) -> None:
 
 def append_images(captures: DataFrame, images: DataFrame, path: str, now: datetime | str) -> None:
     """Store the captures that are new, with ids and times set."""
-    rows = _rebalanced(accepted(captures, images))
-    _write_images(stamp_captures(rows, images, now), path, "append")
+    rows = stamp_captures(accepted(captures, images), images, now)
+    _write_images(_rebalanced(rows), path, "append")
 
 
 def recreate_images(images: DataFrame, path: str) -> None:
