@@ -168,7 +168,7 @@ def link_embeddings(
     a = shards.select("label", "dims", F.col("shard").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("nodes", "copies", "vectors")])
     b = shards.select("label", "dims", F.col("shard").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("nodes", "copies", "vectors", "graph")])
     # Blocks of a label meet once; the graph of one is asked for the vectors of the other.
-    meetings = a.join(b, ["label", "dims"]).filter(F.col("a") < F.col("b")).drop("a", "b")
+    meetings = a.join(b, ["label", "dims"]).filter(F.col("a") < F.col("b"))
 
     def across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -179,7 +179,7 @@ def link_embeddings(
                 })
 
     made = "label string, nodes binary, counts binary, links binary"
-    between = meetings.repartition("label", "dims", F.rand(5)).mapInPandas(across, made)
+    between = meetings.repartition("label", "dims", "a", "b").mapInPandas(across, made)
     found = keep(shards.select("label", "nodes", "counts", "links").unionByName(between))
 
     def unpack(column: str, width: int):
