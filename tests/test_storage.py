@@ -99,6 +99,28 @@ def test_media(spark, tmp_path):
 def test_media_size_limit(spark):
     sizes = spark.createDataFrame([("a.jpg", 10485760), ("b.jpg", 10485761), ("c.gif", 1)], "path string, length long")
     assert [r["path"] for r in media.valid_media(sizes).collect()] == ["a.jpg"]
+    assert sorted(tuple(r) for r in media.rejected_media(sizes).collect()) == [
+        ("b.jpg", 10485761, "too large"), ("c.gif", 1, "not a picture type")
+    ]
+
+
+def test_media_written_from_documents(spark, data, tmp_path):
+    kinds = {"en": "jpg", "de": "PNG", "fr": "gif", "es": "txt"}
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang", "text").limit(60).collect()
+    hashes = {}
+    for order, row in enumerate(rows):
+        path = tmp_path / row["lang"] / f"{row['doc_id']}.{kinds[row['lang']]}"
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(row["text"].encode())
+        os.utime(path, (1_700_000_000 + order,) * 2)
+        hashes[f"file:{path}"] = hashlib.md5(row["text"].encode()).hexdigest()
+    pictures = {path for path in hashes if not path.endswith(".txt")}
+    found = media.scan_media(spark, str(tmp_path))
+    assert {r["path"]: r["file_hash"] for r in media.hashed_media(found).collect()} == {p: hashes[p] for p in pictures}
+    assert [r["path"] for r in media.media_manifest(found).collect()] == [p for p in reversed(hashes) if p in pictures]
+    kept = {r["path"] for r in media.valid_media(found).collect()}
+    assert kept | {r["path"] for r in media.rejected_media(found).collect()} == pictures
+    assert {p for p in pictures if p.endswith("gif")}.isdisjoint(kept)
 
 
 def test_stream_ingests_each_capture_once(spark, tmp_path):
