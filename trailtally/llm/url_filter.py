@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailtally.llm.common import LOWER, UPPER, table
+from trailtally.session import pin
 
 # The rules of the query (verdict, host and path).
 RULES = (
@@ -78,20 +79,22 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     known = outcomes.filter(F.col("host").isNotNull() & F.col("bad").isNotNull())
     hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
     domain, suffix = registered_domain(F.col("host"))
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    # Each level is small and used several times, so it is stored once.
+    hosts = pin(hosts.withColumns({"domain": domain, "suffix": suffix}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # Half a bad and half a good outcome keep the overall share inside (0, 1).
     overall = hosts.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("m")).scalar()
     suffixes = suffixes.withColumn("m0", overall)
+    suffixes = pin(suffixes)
     suffixes = suffixes.withColumn("s", _concentration(suffixes, "m0")).select(
         "suffix", ((F.col("bad") + F.col("s") * F.col("m0")) / (F.col("n") + F.col("s"))).alias("m1")
     )
-    domains = domains.join(suffixes, "suffix")
+    domains = pin(domains.join(suffixes, "suffix"))
     domains = domains.withColumn("s", _concentration(domains, "m1")).select(
         "domain", ((F.col("bad") + F.col("s") * F.col("m1")) / (F.col("n") + F.col("s"))).alias("m2")
     )
-    hosts = hosts.join(domains, "domain")
+    hosts = pin(hosts.join(domains, "domain"))
     hosts = hosts.withColumn("s", _concentration(hosts, "m2"))
     mean = (F.col("bad") + F.col("s") * F.col("m2")) / (F.col("n") + F.col("s"))
     spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("s") + 1))
