@@ -13,7 +13,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
     least = both.groupBy("high").agg(F.least(F.min("low"), F.col("high")).alias("_least"))
     near = both.join(least, "high").filter(F.col("low") > F.col("high"))
-    return near.select(F.col("low").alias("high"), F.col("_least").alias("low")).distinct()
+    return near.select(F.col("low").alias("high"), F.col("_least").alias("low"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:

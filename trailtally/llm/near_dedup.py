@@ -1,20 +1,22 @@
 """MinHash near-dedup: ProbMinHash sketches of weighted shingles, banding and verification.
 
 Every distinct shingle of a document arrives again and again at the times of a Poisson process
-whose rate is its count, each time at a random register; a register remembers the first
+whose rate is its weight, each time at a random register; a register remembers the first
 shingle to reach it. A shingle is given up as soon as it is later than every register of its
 document. Two documents agree in a register with the chance of their probability Jaccard
-similarity, which is the plain one where no shingle repeats. Registers are grouped into bands;
+similarity, which is the plain one where all weights are equal. Registers are grouped into bands;
 documents that share a band are candidates, and candidates are verified on their shingles.
 
-A bucket of many near copies is not compared in pairs: its members are compared with a pivot,
-which joins most of them, and only members of different components are compared further.
-What is left after the pivots is compared in full, so no link between components is lost.
+A bucket of many near copies is not compared in pairs: its members are compared with a few
+pivots, which joins most of them. Then members of one bucket whose components still differ are
+compared in full, a block of them with another at a time, so no link between components is lost
+and pairs are never rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +32,20 @@ SIZE = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
-PIVOT_ROUNDS = 3
-GROUP = 1_000_000
+PIVOTS = 4
+GROUP = 400_000
+# Shingles of a block in bytes, and columns of a matrix at a time, where blocks are compared.
+BLOCK_BYTES = 1 << 19
+COLUMNS = 8192
 
 
-def shingles(hashes: np.ndarray, borders: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, count) of the distinct shingles of a group of texts.
+def shingles(
+    hashes: np.ndarray, borders: np.ndarray, size: int, weights: str = "one"
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, weight) of the distinct shingles of a group of texts.
 
-    A text of fewer words than ``size`` has one shingle of all its words; one of none has none.
+    A shingle weighs ``one``, or as often as it occurs with ``count``. A text of fewer words than
+    ``size`` has one shingle of all its words; one of none has none.
     """
     lengths = np.diff(borders)
     owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -59,7 +67,8 @@ def shingles(hashes: np.ndarray, borders: np.ndarray, size: int) -> tuple[np.nda
     new = np.ones(len(own), bool)
     new[1:] = (own[1:] != own[:-1]) | (mixed[1:] != mixed[:-1])
     at = np.flatnonzero(new)
-    return own[at], mixed[at], np.diff(np.append(at, len(own)))
+    counts = np.diff(np.append(at, len(own)))
+    return own[at], mixed[at], counts if weights == "count" else np.ones_like(counts)
 
 
 def prob_min_hash(own: np.ndarray, items: np.ndarray, weights: np.ndarray, texts: int, registers: int) -> np.ndarray:
@@ -98,7 +107,9 @@ def _word_hashes() -> WordRows:
     return WordRows(lambda words: (np.array([hash64(word) for word in words], np.uint64),))
 
 
-def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
+def sketch(
+    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, weights: str = "one"
+) -> DataFrame:
     """(doc_id, k1, k2, bands) of documents (doc_id, text); null keys and bands without words.
 
     ``k1`` and ``k2`` are two hashes of the sequence of words.
@@ -109,7 +120,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SI
         for batch in batches:
             for part, words, borders in word_groups(batch.column(1), known, lower=True, most=GROUP):
                 hashes, texts = known.columns[0][words], len(borders) - 1
-                own, items, counts = shingles(hashes, borders, size)
+                own, items, counts = shingles(hashes, borders, size, weights)
                 found = band_hashes(prob_min_hash(own, items, counts, texts, bands * rows), bands, rows)
                 empty = np.diff(borders) == 0
                 keys = [
@@ -133,7 +144,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SI
     return docs.mapInArrow(work, "doc_id long, k1 long, k2 long, bands array<long>")
 
 
-def _shingle_table(docs: DataFrame, size: int) -> DataFrame:
+def _shingle_table(docs: DataFrame, size: int, weights: str) -> DataFrame:
     """(node, items, counts): sorted shingles and their counts as bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +152,7 @@ def _shingle_table(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for part, words, borders in word_groups(batch.column(1), known, lower=True, most=GROUP):
                 texts = len(borders) - 1
-                own, items, counts = shingles(known.columns[0][words], borders, size)
+                own, items, counts = shingles(known.columns[0][words], borders, size, weights)
                 cuts = np.searchsorted(own, np.arange(texts + 1))
                 counts = counts.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
@@ -193,40 +204,155 @@ def _verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFram
     return rows.mapInArrow(work, "a long, b long")
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components."""
-    several = (
-        members.groupBy("bucket")
-        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-        .filter(F.col("_low") < F.col("_high"))
-    )
-    return members.join(several.select("bucket"), "bucket", "left_semi")
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """Each member with each of its bucket's pivots, the smallest nodes by PIVOTS orders.
+
+    A node exclusive-or a constant is a number of fixed width that gives the node back, so the
+    pivots of a bucket combine by hash before the shuffle.
+    """
+    salts = [MIX[k % len(MIX)] >> (k + 1) for k in range(PIVOTS)]
+    least = [F.min(F.col("node").bitwiseXOR(F.lit(salt))).bitwiseXOR(F.lit(salt)) for salt in salts]
+    chosen = members.groupBy("bucket").agg(F.array_distinct(F.array(*least)).alias("_pivots"))
+    pairs = members.join(chosen, "bucket").select(F.col("node").alias("a"), F.explode("_pivots").alias("b"))
+    return _ordered(pairs.filter(F.col("a") != F.col("b")))
+
 
+def _unjoined(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, node, component) of the buckets that hold several components.
 
-def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links, "a", "b")
-    return members.select("bucket", "node").join(found, "node", "left").select(
+    Two nodes alone in a bucket were each other's pivots and are done.
+    """
+    named = members.join(classes, "node", "left").select(
         "bucket", "node", F.coalesce("component", F.col("node")).alias("component")
     )
+    several = (
+        named.groupBy("bucket")
+        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n"))
+        .filter((F.col("_low") < F.col("_high")) & (F.col("_n") > 2))
+    )
+    return named.join(several.select("bucket"), "bucket", "left_semi")
+
 
+def _blocks(apart: DataFrame, spelled: DataFrame) -> DataFrame:
+    """(bucket, main, block, members): each bucket's nodes in blocks of about BLOCK_BYTES.
 
-def _pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each member with its bucket's pivot, where they are not joined yet."""
-    chosen = members.groupBy("bucket").agg(
-        F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("_pivot")
+    ``main`` marks the nodes of the bucket's largest component, which have blocks of their own.
+    """
+    sizes = apart.groupBy("bucket", "component").agg(F.count("*").alias("_n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("component", "_n").alias("_main"))
+    marked = apart.join(largest, "bucket").withColumn("main", F.col("component") == F.col("_main")).drop("_main")
+    full = marked.join(spelled, "node")
+    size = F.octet_length("items") + F.octet_length("counts")
+    parts = marked.join(spelled.select("node", size.alias("_size")), "node").groupBy("bucket", "main").agg(
+        F.ceil(F.sum("_size") / BLOCK_BYTES).alias("_parts")
+    )
+    block = F.pmod(F.xxhash64("node"), F.greatest(F.col("_parts"), F.lit(1))).alias("block")
+    member = F.struct("node", "component", "items", "counts")
+    return (
+        full.join(parts, ["bucket", "main"])
+        .select("bucket", "main", block, member.alias("_member"))
+        .groupBy("bucket", "main", "block")
+        .agg(F.collect_list("_member").alias("members"))
     )
-    pairs = members.join(chosen, "bucket").filter(F.col("component") != F.col("_pivot.component"))
-    return _ordered(pairs.select(F.col("node").alias("a"), F.col("_pivot.node").alias("b")))
 
 
-def _remaining_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of one bucket whose components differ."""
-    groups = members.select("bucket", "component").distinct()
-    meet = groups.join(groups.withColumnRenamed("component", "other"), "bucket")
-    meet = meet.filter(F.col("component") < F.col("other"))
-    left = members.select("bucket", "component", F.col("node").alias("a"))
-    right = members.select("bucket", F.col("component").alias("other"), F.col("node").alias("b"))
-    return _ordered(meet.join(left, ["bucket", "component"]).join(right, ["bucket", "other"]).select("a", "b"))
+def _remaining_links(apart: DataFrame, spelled: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different components of one bucket, found block against block.
+
+    The largest component is not compared with itself. A pair of blocks gives no more links
+    than connect what its links connect.
+    """
+    blocks = _blocks(apart, spelled)
+    left = blocks.filter(~F.col("main")).select("bucket", F.col("block").alias("_i"), F.col("members").alias("_a"))
+    right = blocks.select("bucket", "main", F.col("block").alias("_j"), F.col("members").alias("_b"))
+    meet = left.join(right, "bucket").filter(F.col("main") | (F.col("_i") <= F.col("_j"))).select("_a", "_b")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(*[column for column in batch.columns]):
+                links = block_links(Block.of(a.as_py()), Block.of(b.as_py()), similarity)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())],
+                    names=["a", "b"],
+                )
+
+    return meet.mapInArrow(work, "a long, b long")
+
+
+class Block(NamedTuple):
+    """Members of a block: nodes, components, and their shingles one after the other."""
+
+    nodes: list[int]
+    components: np.ndarray
+    owners: np.ndarray
+    items: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(members: list[dict]) -> Block:
+        items = [np.frombuffer(member["items"], np.uint64) for member in members]
+        counts = [np.frombuffer(member["counts"], np.uint32) for member in members]
+        return Block(
+            [member["node"] for member in members],
+            np.array([member["component"] for member in members], np.int64),
+            np.repeat(np.arange(len(members)), [len(x) for x in items]),
+            np.concatenate(items),
+            np.concatenate(counts),
+        )
+
+    def member(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        first, last = np.searchsorted(self.owners, [k, k + 1])
+        return self.items[first:last], self.counts[first:last]
+
+
+def shared_sums(a: Block, b: Block, a_values: np.ndarray, b_values: np.ndarray) -> np.ndarray:
+    """For each pair of members the sum of products over their common shingles."""
+    common = np.intersect1d(a.items, b.items)
+    total = np.zeros((len(a.nodes), len(b.nodes)))
+    sides = []
+    for block, values in ((a, a_values), (b, b_values)):
+        place = np.minimum(np.searchsorted(common, block.items), max(0, len(common) - 1))
+        here = common[place] == block.items if len(common) else np.zeros(len(block.items), bool)
+        sides.append((block.owners[here], place[here], values[here]))
+    for first in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - first)
+        dense = []
+        for (owners, places, values), block in zip(sides, (a, b)):
+            inside = (places >= first) & (places < first + width)
+            matrix = np.zeros((len(block.nodes), width), np.float32)
+            matrix[owners[inside], places[inside] - first] = values[inside]
+            dense.append(matrix)
+        total += dense[0] @ dense[1].T
+    return total
+
+
+def block_links(a: Block, b: Block, similarity: float) -> list[tuple[int, int]]:
+    """Links between members of two blocks whose components differ, as many as connect them.
+
+    Similarity is at most the share of either side's weight in common shingles; pairs that pass
+    this are compared exactly.
+    """
+    shares = []
+    for block in (a, b):
+        weight = np.bincount(block.owners, block.counts, minlength=len(block.nodes))
+        shares.append(block.counts / weight[block.owners])
+    ones = [np.ones(len(block.items)) for block in (a, b)]
+    bound = np.minimum(shared_sums(a, b, shares[0], ones[1]), shared_sums(a, b, ones[0], shares[1]))
+    near = (bound >= similarity - 1e-3) & (a.components[:, None] != b.components[None, :])
+    parent: dict[int, int] = {}
+
+    def root(component: int) -> int:
+        while parent.setdefault(component, component) != component:
+            component = parent[component]
+        return component
+
+    links = []
+    for i, j in zip(*np.nonzero(near)):
+        x, y = root(int(a.components[i])), root(int(b.components[j]))
+        if x != y and probability_jaccard(*a.member(i), *b.member(j)) >= similarity:
+            parent[max(x, y)] = min(x, y)
+            links.append((a.nodes[i], b.nodes[j]))
+    return links
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -241,9 +367,13 @@ def near_duplicates(
     size: int = SIZE,
     bands: int = BANDS,
     rows: int = ROWS,
+    weights: str = "one",
 ) -> DataFrame:
     """One row (doc_id, class_id) per document; a class is named by its smallest id.
 
+    ``weights`` is ``one`` for each distinct shingle, which makes the similarity plain Jaccard, or
+    ``count``, which compares how a text's shingles are distributed.
+
     Words are divided at ASCII white space with A-Z lower-cased. Documents of equal words are of
     one class, and so are those joined by a chain of verified links. A pair at the threshold is
     missed by all bands with a chance of 5 in 100,000, and a closer one less often. A document
@@ -251,7 +381,7 @@ def near_duplicates(
     A row without an id takes the class of equal texts, else null.
     """
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = keep(sketch(slim, bands, rows, size))
+    sketched = keep(sketch(slim, bands, rows, size, weights))
     worded = sketched.filter(F.col("k1").isNotNull())
     nodes = pin(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
     members = (
@@ -267,18 +397,23 @@ def near_duplicates(
     members = keep(members.join(shared.select("bucket"), "bucket", "left_semi").distinct())
     candidates = members.select(F.col("node").alias("doc_id")).distinct()
     spelled = slim.join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    spelled = keep(_shingle_table(spelled, size))
-    current = members.withColumn("component", F.col("node"))
-    links = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        pairs = _pivot_pairs(current, turn) if turn < PIVOT_ROUNDS else _remaining_pairs(current)
-        found = pin(_verified(pairs, spelled, similarity))
-        links = found if links is None else links.unionByName(found)
-        if turn < PIVOT_ROUNDS:
-            current = pin(_mixed(_with_components(current, links)))
-            if current.isEmpty():
-                break
-    classes = components(links, "a", "b")
+    spelled = keep(_shingle_table(spelled, size, weights))
+    links = _verified(_pivot_pairs(members), spelled, similarity)
+    classes = pin(components(links, "a", "b"))
+    apart = pin(_unjoined(members, classes))
+    if not apart.isEmpty():
+        found = pin(_remaining_links(apart, spelled, similarity))
+        if not found.isEmpty():
+            # The new links join whole components.
+            names = apart.select("node", "component").distinct()
+            a = names.select(F.col("node").alias("a"), F.col("component").alias("_a"))
+            b = names.select(F.col("node").alias("b"), F.col("component").alias("_b"))
+            joined = components(found.join(a, "a").join(b, "b"), "_a", "_b")
+            larger = joined.select(F.col("node").alias("_c"), F.col("component").alias("_whole"))
+            every = classes.unionByName(apart.select("node", "component")).distinct()
+            classes = every.join(larger, F.col("component") == F.col("_c"), "left").select(
+                "node", F.coalesce("_whole", "component").alias("component")
+            )
     named = (
         worded.select("doc_id", "k1", "k2")
         .join(nodes, ["k1", "k2"])
