@@ -30,7 +30,7 @@ class WordRows(dict):
     between batches once it holds ``limit`` words, so its memory is bounded.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = 400_000):
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = 300_000):
         super().__init__()
         self.make, self.limit = make, limit
         self.new: list[bytes] = []
@@ -84,7 +84,7 @@ def split_texts(column: pa.Array, lower: bool = False) -> Iterator[list[bytes]]:
 
 
 def word_groups(
-    column: pa.Array, table: WordRows, lower: bool = False, most: int = 500_000
+    column: pa.Array, table: WordRows, lower: bool = False, most: int = 300_000
 ) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Texts in order, in groups of about ``most`` words: (rows of the column, word rows, borders).
 
