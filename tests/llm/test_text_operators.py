@@ -238,6 +238,26 @@ def test_near_dedup_chains_hot_groups_and_odd_rows(spark):
     assert len({found[k] for k in range(100, 140)}) == 1 and len({found[k] for k in range(200, 280)}) == 1
 
 
+def test_near_dedup_of_null_and_shared_ids(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(6)]
+    rows = [
+        (None, texts[0]), (None, texts[0].upper()), (None, texts[1]), (None, None), (None, " "), (None, None),
+        (1, texts[2]), (1, texts[3]), (2, texts[2] + " more"), (3, texts[3] + " more"), (None, texts[3] + " other"),
+        (4, texts[4]), (4, texts[4]), (5, None), (5, ""), (6, texts[5]), (6, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = collections.Counter(tuple(row) for row in near_dedup.near_duplicates(docs).collect())
+    assert found == collections.Counter([
+        *[(None, None)] * 6, (1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (4, 4), (4, 4), (5, 5), (5, 5), (6, 6), (6, 6)
+    ])
+    kept = collections.Counter((row["doc_id"], (row["text"] or "").strip().lower()) for row in near_dedup.keep_one_of_each(docs).collect())
+    assert kept == collections.Counter([
+        (None, texts[0]), (None, texts[1]), *[(None, "")] * 3, (1, texts[2]), (1, texts[3]), (4, texts[4]),
+        (5, ""), (6, texts[5]), (6, ""),
+    ])
+
+
 def test_prob_min_hash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(1, 2**63, 120, dtype=np.uint64))

@@ -20,10 +20,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailtally.llm.common import keep, table
+from trailtally.llm.common import SPACE, keep, table
 from trailtally.llm.components import components
 from trailtally.llm.words import MIX, WordRows, hash64, mix64, word_groups
 from trailtally.session import pin
@@ -110,13 +111,15 @@ def _word_hashes() -> WordRows:
 def sketch(
     docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, weights: str = "one"
 ) -> DataFrame:
-    """(doc_id, k1, k2, bands) of documents (doc_id, text); null keys and bands without words.
+    """(doc_id, r1, r2, row, k1, k2, bands) of documents (doc_id, text, r1, r2).
 
-    ``k1`` and ``k2`` are two hashes of the sequence of words.
+    ``k1`` and ``k2`` are two hashes of the sequence of words; they and the bands are null without
+    words. ``row`` is a number of its own for every row, the same ever after once it is stored.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_hashes()
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part, words, borders in word_groups(batch.column(1), known, lower=True, most=GROUP):
                 hashes, texts = known.columns[0][words], len(borders) - 1
@@ -134,14 +137,17 @@ def sketch(
                 lists = pa.ListArray.from_arrays(offsets, pa.array(found.ravel().view(np.int64)), mask=pa.array(empty))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(part.start, texts),
+                        *[batch.column(k).slice(part.start, texts) for k in (0, 2, 3)],
+                        pa.array(np.arange(row, row + texts)),
                         *[pa.array(key, mask=empty) for key in keys],
                         lists,
                     ],
-                    names=["doc_id", "k1", "k2", "bands"],
+                    names=["doc_id", "r1", "r2", "row", "k1", "k2", "bands"],
                 )
+                row += texts
 
-    return docs.mapInArrow(work, "doc_id long, k1 long, k2 long, bands array<long>")
+    schema = "doc_id long, r1 long, r2 long, row long, k1 long, k2 long, bands array<long>"
+    return docs.mapInArrow(work, schema)
 
 
 def _shingle_table(docs: DataFrame, size: int, weights: str) -> DataFrame:
@@ -359,35 +365,27 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    similarity: float = SIMILARITY,
-    size: int = SIZE,
-    bands: int = BANDS,
-    rows: int = ROWS,
-    weights: str = "one",
-) -> DataFrame:
-    """One row (doc_id, class_id) per document; a class is named by its smallest id.
+def _row_names(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two hashes of a row's id and text; only rows equal in both share them."""
+    return F.xxhash64(doc_id, text).alias("r1"), F.xxhash64(F.lit(1), text, doc_id).alias("r2")
 
-    ``weights`` is ``one`` for each distinct shingle, which makes the similarity plain Jaccard, or
-    ``count``, which compares how a text's shingles are distributed.
 
-    Words are divided at ASCII white space with A-Z lower-cased. Documents of equal words are of
-    one class, and so are those joined by a chain of verified links. A pair at the threshold is
-    missed by all bands with a chance of 5 in 100,000, and a closer one less often. A document
-    without words (null, empty, blank) is alone in its class. Rows that share an id share a class.
-    A row without an id takes the class of equal texts, else null.
+def _classed(
+    docs: DataFrame, similarity: float, size: int, bands: int, rows: int, weights: str
+) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, text) with words as (doc_id, r1, r2, component, class_id), and the rest.
+
+    The nodes that are linked are texts, each named by the number of one of its rows. The rest has
+    (doc_id, r1, r2).
     """
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select("doc_id", "text", *_row_names(F.col("doc_id"), F.col("text")))
     sketched = keep(sketch(slim, bands, rows, size, weights))
     worded = sketched.filter(F.col("k1").isNotNull())
-    nodes = pin(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
+    nodes = pin(worded.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("_id")))
     members = (
-        worded.join(nodes, ["k1", "k2"])
-        .filter(F.col("doc_id") == F.col("node"))
-        .select("node", F.explode("bands").alias("bucket"))
+        worded.join(nodes.select("k1", "k2", "node"), ["k1", "k2"])
+        .filter(F.col("row") == F.col("node"))
+        .select("node", "r1", "r2", F.explode("bands").alias("bucket"))
     )
     shared = (
         members.groupBy("bucket")
@@ -395,8 +393,9 @@ def near_duplicates(
         .filter(F.col("_low") < F.col("_high"))
     )
     members = keep(members.join(shared.select("bucket"), "bucket", "left_semi").distinct())
-    candidates = members.select(F.col("node").alias("doc_id")).distinct()
-    spelled = slim.join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    candidates = members.select("node", "r1", "r2").distinct()
+    members = members.select("node", "bucket")
+    spelled = slim.join(candidates, ["r1", "r2"]).select("node", "text").dropDuplicates(["node"])
     spelled = keep(_shingle_table(spelled, size, weights))
     links = _verified(_pivot_pairs(members), spelled, similarity)
     classes = pin(components(links, "a", "b"))
@@ -414,14 +413,38 @@ def near_duplicates(
             classes = every.join(larger, F.col("component") == F.col("_c"), "left").select(
                 "node", F.coalesce("_whole", "component").alias("component")
             )
-    named = (
-        worded.select("doc_id", "k1", "k2")
-        .join(nodes, ["k1", "k2"])
-        .join(classes, "node", "left")
-        .select("doc_id", F.coalesce("component", F.col("node")).alias("class_id"))
-    )
-    alone = sketched.filter(F.col("k1").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
-    return named.unionByName(alone)
+    named = nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
+    least = named.groupBy("component").agg(F.min("_id").alias("class_id"))
+    named = pin(named.join(least, "component").select("k1", "k2", "component", "class_id"))
+    found = worded.select("doc_id", "r1", "r2", "k1", "k2").join(named, ["k1", "k2"]).drop("k1", "k2")
+    return found, sketched.filter(F.col("k1").isNull()).select("doc_id", "r1", "r2")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    similarity: float = SIMILARITY,
+    size: int = SIZE,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    weights: str = "one",
+) -> DataFrame:
+    """One row (doc_id, class_id) per document; a class is named by its smallest id.
+
+    ``weights`` is ``one`` for each distinct shingle, which makes the similarity plain Jaccard, or
+    ``count``, which compares how a text's shingles are distributed.
+
+    Words are divided at ASCII white space with A-Z lower-cased. Documents of equal words are of
+    one class, and so are those joined by a chain of verified links. A pair at the threshold is
+    missed by all bands with a chance of 5 in 100,000, and a closer one less often. A document
+    without words (null, empty, blank) is alone in its class. Rows are classed by their texts:
+    those that share an id but have different texts are of different classes, which may have that
+    id for a name. A row without an id takes the class of its near copies, null where none has one.
+    """
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    found, alone = _classed(slim, similarity, size, bands, rows, weights)
+    return found.select("doc_id", "class_id").unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def near_duplicate_classes(spark, folder: str) -> DataFrame:
@@ -429,6 +452,20 @@ def near_duplicate_classes(spark, folder: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each class, with its own columns; ids stay once."""
-    first = near_duplicates(docs).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """A document of each class, with its own columns: that of the smallest id.
+
+    Texts of one id are chosen from by their hashes, as are those of a class without ids. Documents
+    without words stay, once for each id, and all of them that have none.
+    """
+    doc_id, text = F.col("doc_id").cast("bigint"), F.col("text")
+    slim = docs.select(doc_id.alias("doc_id"), "text")
+    found, alone = _classed(slim, SIMILARITY, SIZE, BANDS, ROWS, "one")
+    name = F.min(F.struct("r1", "r2")).alias("_name")
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(name)
+    blank = alone.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(name)
+    chosen = first.select("_name.*").unionByName(blank.select("_name.*"))
+    nameless = doc_id.isNull() & (F.translate(F.coalesce(text, F.lit("")), SPACE, "") == "")
+    r1, r2 = _row_names(doc_id, text)
+    kept = docs.filter(~nameless).select("*", r1.alias("_r1"), r2.alias("_r2"))
+    kept = kept.join(chosen.toDF("_r1", "_r2"), ["_r1", "_r2"], "left_semi")
+    return kept.dropDuplicates(["_r1", "_r2"]).select(docs.columns).unionByName(docs.filter(nameless))
