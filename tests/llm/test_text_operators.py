@@ -315,6 +315,14 @@ def test_lm_chances_of_all_tokens_sum_to_one(spark):
     assert all(math.isclose(total, 1.0) for total in members.values())
 
 
+def test_lm_model_has_its_whole_size(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(500)), "en")], DOCS)
+    known = lm_scoring.vocabulary(lm_scoring.count_tokens(docs.select("text", "lang")))
+    # 62 classes of frequent words, the ends of texts, and all rarer words.
+    assert known.size == 64
+    assert lm_scoring.BATCH <= 4096
+
+
 # SentencePiece
 
 
