@@ -94,6 +94,39 @@ def test_html_odd_pages(page, expected):
     assert text_of(page) == expected
 
 
+TEXT = "The town hall was built of brick, and it has stood on the hill since then."
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar'><article>{}</article>", "<body class='sidebar login'><article>{}</article>",
+    "<main class='content no-ads'><p>{}</main>", "<main class='sidebar'><p>{}</main>",
+    "<form id=f><div id=content><p>{}</div></form>", "<form><p>{}</form>", "<div class='sidebar page'><div class=content>{}</div></div>",
+    "<div id=x class='with-sidebar'><p>{}</div>", "<nav>a <article>{}</article></nav>",
+    "<article class='post tag-login'>{}</article>", "<form><nav>a</nav><article>{}</article><footer>x</footer></form>",
+])
+def test_html_wrappers_do_not_hide_the_article(page):
+    assert text_of(page.format(TEXT)) == TEXT
+
+
+@pytest.mark.parametrize(("page", "expected"), [
+    ("<article>a <math><mi>x</mi><mo>=</mo></math> b", "a x= b"), ("<article>a<object>b</object>", "a\n\nb"),
+    ("<article>a<noscript>b</noscript>", "a\n\nb"), ("<article>a<xmp><b>&amp;</xmp>c", "a\n\n<b>&amp;\n\nc"),
+    ("<article>a <svg><p>b<p>c", "a\n\nb\n\nc"), ("<article>a <select>b <math>c <object>d <noscript>e", "a b c\n\nd\n\ne"),
+    ("<article>a<textarea>b", "a"), ("<article>a <svg><text>b</text></svg> c", "a c"),
+])
+def test_html_keeps_text_of_special_elements(page, expected):
+    assert text_of(page) == expected
+
+
+def test_html_parts_beside_the_article_stay_out():
+    page = (
+        f"<body><div class='sidebar'><p>{TEXT} {TEXT} {TEXT}</div><article>{TEXT}<div class='share'>Share it now.</div></article>"
+        f"<div class='comments'><article>{TEXT} {TEXT} {TEXT}</article></div><footer><div class='content'>{TEXT}</div></footer>"
+        f"<div hidden><article>{TEXT}</article></div>"
+    )
+    assert text_of(page) == TEXT
+
+
 def test_html_long_pages_end():
     page = "<article>" + "<div>" * 3000 + "<p>some text here.</p><nav><a>x</a></nav>" * 3000
     assert text_of(page).count("some text here.") == 3000
