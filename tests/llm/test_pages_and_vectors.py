@@ -127,6 +127,14 @@ def test_html_parts_beside_the_article_stay_out():
     assert text_of(page) == TEXT
 
 
+def test_html_fit_counts_every_block(spark):
+    page = "<article>" + "<p>Short one.</p>" * 300 + "</article><nav>" + "<p>Some menu with many more words</p>" * 30 + "</nav>"
+    found = html_extract.fit(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    blocks = html_extract.page_blocks(page)
+    rows = np.round([html_extract.block_features(block) for block in blocks], 1)
+    assert np.allclose(found, html_extract.fit_weights(rows, np.array(["here" in block.marks for block in blocks])))
+
+
 def test_html_long_pages_end():
     page = "<article>" + "<div>" * 3000 + "<p>some text here.</p><nav><a>x</a></nav>" * 3000
     assert text_of(page).count("some text here.") == 3000

@@ -50,18 +50,22 @@ def block_features(block: Block) -> list[float]:
     ]
 
 
-def fit_weights(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def fit_weights(rows: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
     """Logistic regression drawn towards ``PRIOR``; without rows it is ``PRIOR``.
 
+    A row counts as often as ``counts`` says, or once.
+
     The markup's own columns are left out while learning, as the labels come from them.
     """
     weights = PRIOR.copy()
     if not len(labels):
         return weights
     shown = rows * LEARNED
+    parts = np.ones(len(labels)) if counts is None else counts.astype(np.float64)
+    parts /= parts.sum()
     for _ in range(STEPS):
         chance = 1 / (1 + np.exp(-np.clip(shown @ weights, -30, 30)))
-        slope = shown.T @ (chance - labels) / len(labels) + PULL * (weights - PRIOR)
+        slope = shown.T @ ((chance - labels) * parts) + PULL * (weights - PRIOR)
         weights -= RATE * slope * LEARNED
     return weights
 
@@ -164,9 +168,8 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
     if found.empty:
         return PRIOR.copy()
     rows = np.array(found["row"].tolist())
-    weights = np.minimum(found["n"].to_numpy(), 20)
-    rows = np.repeat(rows, weights, axis=0)
-    return fit_weights(rows, (rows[:, 1] > 0) & (rows[:, 2] == 0) & (rows[:, 3] == 0))
+    labels = (rows[:, 1] > 0) & (rows[:, 2] == 0) & (rows[:, 3] == 0)
+    return fit_weights(rows, labels, found["n"].to_numpy())
 
 
 def extract(pages: DataFrame, weights: np.ndarray, html_col: str = "html") -> DataFrame:
