@@ -175,6 +175,26 @@ def test_quality_rules_reject_symbols_and_keep_prose(spark, data):
     assert sum(r["kept"] for r in prose) >= 0.99 * len(prose)
 
 
+def test_quality_rules_give_rare_languages_a_band(spark):
+    rng = random.Random(4)
+    words = ["the", "river", "stone", "old", "house", "ran", "under", "green", "hill", "and", "over", "small", "bridge"]
+
+    def prose():
+        return " ".join(rng.choice(words) for _ in range(120))
+
+    def junk():
+        return " ".join("".join(rng.choice("*$%&#|!?@^~<>=+") for _ in range(12)) for _ in range(120))
+
+    rows = [(k, prose(), "en") for k in range(80)]
+    rows += [(100 + k, prose(), "xx") for k in range(8)] + [(110, junk(), "xx"), (111, prose(), "yy"), (112, junk(), "zz")]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {row["doc_id"] for row in quality_rules.keep_by_rules(docs).collect()}
+    assert {*range(100, 108), 111} <= kept and not kept & {110, 112}
+    # The rare language alone, as a stage's small input.
+    few = docs.filter("lang = 'xx'")
+    assert {row["doc_id"] for row in quality_rules.keep_by_rules(few).collect()} == set(range(100, 108))
+
+
 def test_kneser_ney_chances_sum_to_one():
     words = [b"the", b"then", b"that", b"on", b"of", b"Of", b"a1", b"***"] * 3 + [b"rare"]
     codes, counts = np.unique(quality_rules.word_codes(words)[0], return_counts=True)
