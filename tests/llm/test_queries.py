@@ -35,6 +35,8 @@ def write_tables(folder, docs, labels, pages, vectors):
         "score": pa.array(["x"] * n), "node": pa.array([1.5] * n), "_id": pa.array([None] * n, pa.int32()),
         "ids": pa.array(["y"] * n), "label": pa.array([7] * n), "component": pa.array(["z"] * n),
         "n_lines": pa.array([True] * n), "bits": pa.array([[1]] * n), "k1": pa.array([0] * n),
+        "n_dropped": pa.array([3] * n), "_r1": pa.array(["r"] * n), "_r2": pa.array([2.5] * n),
+        "_doc": pa.array([{"text": 1}] * n), "_text": pa.array([9] * n),
     }), f"{folder}/documents.parquet")
     pq.write_table(pa.table({
         "doc_id": pa.array([x[0] for x in labels], pa.int64()),
@@ -118,3 +120,18 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, nothing):
 
     assert corpus_pipeline.run(spark, nothing).collect() == []
     assert isinstance(corpus_pipeline.run(spark, odd).collect(), list)
+
+
+def test_stages_keep_other_columns(spark, odd):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    before = [row.asDict(True) for row in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, odd)
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes, name
+        for row in kept.collect():
+            own = {k: v for k, v in row.asDict(True).items() if k not in ("text", "n_chars")}
+            assert any(all(old[k] == v for k, v in own.items()) for old in before), name
+        if name == "line_dedup":
+            assert kept.count() == len(before)

@@ -95,23 +95,13 @@ def _stays(bitmap: Column, pos: Column) -> Column:
     return F.coalesce(F.call_function("shiftright", bits, pos % 64).bitwiseAND(F.lit(1).cast("bigint")) == 1, F.lit(True))
 
 
-def drop_repeated_lines(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    min_chars: int = MIN_CHARS,
-    min_docs: int = MIN_DOCS,
-) -> DataFrame:
-    """``docs`` with the lines that stay as text, and ``n_lines`` and ``n_dropped`` as new columns.
-
-    Columns of those names are replaced. A null text is one empty line and comes back empty.
-    """
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """(_doc, _text, _n_lines, _n_dropped): each row as one struct, so no name of it can clash."""
     bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)
     found = bitmaps.select(
         F.col("_id").alias("_bid"), F.col("_t1").alias("_b1"), F.col("_t2").alias("_b2"),
         "keep_bitmap", F.col("n_dropped").alias("_lost"),
     )
-    rest = [F.col(f"_doc.{c}").alias(c) for c in docs.columns]
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), *_row_key(id_col, text_col))
     same = F.col("_id").eqNullSafe(F.col("_bid")) & (F.col("_t1") == F.col("_b1")) & (F.col("_t2") == F.col("_b2"))
     joined = rows.join(found, same, "left")
@@ -120,13 +110,30 @@ def drop_repeated_lines(
     whole = F.coalesce(F.col(f"_doc.{text_col}"), F.lit(""))
     text = F.when(F.col("keep_bitmap").isNull(), whole).otherwise(kept)
     return joined.select(
-        *[c for c, name in zip(rest, docs.columns) if name not in (text_col, "n_lines", "n_dropped")],
-        text.alias(text_col),
-        F.size(lines).cast("bigint").alias("n_lines"),
-        F.coalesce("_lost", F.lit(0)).cast("bigint").alias("n_dropped"),
+        "_doc",
+        text.alias("_text"),
+        F.size(lines).cast("bigint").alias("_n_lines"),
+        F.coalesce("_lost", F.lit(0)).cast("bigint").alias("_n_dropped"),
     )
 
 
+def drop_repeated_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_chars: int = MIN_CHARS,
+    min_docs: int = MIN_DOCS,
+) -> DataFrame:
+    """``docs`` with the lines that stay as text, and ``n_lines`` and ``n_dropped`` as new columns.
+
+    Columns of those names are replaced. A null text is one empty line and comes back empty.
+    """
+    new = {text_col: "_text", "n_lines": "_n_lines", "n_dropped": "_n_dropped"}
+    old = [F.col("_doc")[name].alias(name) for name in docs.columns if name not in new]
+    found = _cleaned(docs, id_col, text_col, min_chars, min_docs)
+    return found.select(*old, *[F.col(made).alias(name) for name, made in new.items()])
+
+
 def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of the text that stays."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -136,11 +143,15 @@ def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
-    """Documents without their repeated lines, with their own columns and a new ``n_chars``."""
-    slim = drop_repeated_lines(docs).drop("n_lines", "n_dropped")
-    if "n_chars" in docs.columns:
-        slim = slim.withColumn("n_chars", F.char_length("text").cast("bigint"))
-    return slim.select(docs.columns)
+    """Documents without their repeated lines, with their own columns and a new ``n_chars``.
+
+    Every row stays, repeated ones too; one that loses all lines has an empty text, and so has
+    one whose text is null. Other columns keep name, place and value, whatever they are called,
+    and nulls in them say nothing. An empty table stays empty.
+    """
+    made = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("bigint")}
+    found = _cleaned(docs, "doc_id", "text", MIN_CHARS, MIN_DOCS)
+    return found.select(*[made.get(name, F.col("_doc")[name]).alias(name) for name in docs.columns])
 
 
 LINE_DEDUP_SQL = """

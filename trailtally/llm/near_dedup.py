@@ -452,9 +452,9 @@ def near_duplicate_classes(spark, folder: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """A document of each class, with its own columns: that of the smallest id.
+    """A document of each class, with its own columns, whatever they are called: that of the smallest id.
 
-    Texts of one id are chosen from by their hashes, as are those of a class without ids. Documents
+    Rows equal in id and text are one. An empty table stays empty. Texts of one id are chosen from by their hashes, as are those of a class without ids. Documents
     without words stay, once for each id, and all of them that have none.
     """
     doc_id, text = F.col("doc_id").cast("bigint"), F.col("text")
@@ -464,8 +464,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(name)
     blank = alone.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(name)
     chosen = first.select("_name.*").unionByName(blank.select("_name.*"))
+    row = F.struct(*docs.columns).alias("_doc")
     nameless = doc_id.isNull() & (F.translate(F.coalesce(text, F.lit("")), SPACE, "") == "")
     r1, r2 = _row_names(doc_id, text)
-    kept = docs.filter(~nameless).select("*", r1.alias("_r1"), r2.alias("_r2"))
-    kept = kept.join(chosen.toDF("_r1", "_r2"), ["_r1", "_r2"], "left_semi")
-    return kept.dropDuplicates(["_r1", "_r2"]).select(docs.columns).unionByName(docs.filter(nameless))
+    kept = docs.filter(~nameless).select(row, r1.alias("_r1"), r2.alias("_r2"))
+    kept = kept.join(chosen.toDF("_r1", "_r2"), ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"])
+    return kept.select("_doc.*").unionByName(docs.filter(nameless))
