@@ -13,6 +13,7 @@ from trailtally.llm.html_extract import page_texts
 from trailtally.llm.line_dedup import LINE_DEDUP_SQL, line_digests
 from trailtally.llm.lm_scoring import document_scores
 from trailtally.llm.near_dedup import near_duplicate_classes
+from trailtally.llm.nearest import NEAREST_SQL, nearest_vectors
 from trailtally.llm.packing import pack
 from trailtally.llm.quality_rules import quality_verdicts
 from trailtally.llm.sentencepiece_codec import document_pieces
@@ -61,6 +62,10 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_classes(spark, folder)
 
 
+def op11_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_vectors(spark, folder)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -74,10 +79,12 @@ QUERIES: dict[str, Query] = {
         op8_line_dedup,
         op9_embedding_dedup,
         op10_near_dedup,
+        op11_nearest_neighbours,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": URL_FILTER_SQL,
     "op8_line_dedup": LINE_DEDUP_SQL,
+    "op11_nearest_neighbours": NEAREST_SQL,
 }
