@@ -8,6 +8,7 @@ import pytest
 
 from tests import compare
 from tests.conftest import DEFAULT_DATA
+from tests.llm.test_search_words_trie import brute_trie
 from trailtally.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -23,7 +24,7 @@ def test_matches_sql(spark, data, name):
     assert compare.spark_types(df) == compare.sql_types(connection, ORACLE_SQL[name])
 
 
-def write_tables(folder, docs, labels, pages, vectors):
+def write_tables(folder, docs, labels, pages, vectors, turns):
     """Odd tables as parquet, with extra columns named like the operators' own."""
     n = len(docs)
     pq.write_table(pa.table({
@@ -55,7 +56,15 @@ def write_tables(folder, docs, labels, pages, vectors):
         "embedding": pa.array([v[1] for v in vectors], pa.list_(pa.float32())),
         "label": pa.array([v[2] for v in vectors], pa.int32()),
         "node": pa.array(["n"] * len(vectors)), "kept": pa.array([0] * len(vectors)),
+        "dims": pa.array(["d"] * len(vectors)), "rank": pa.array([0.5] * len(vectors)),
     }), f"{folder}/embeddings.parquet")
+    pq.write_table(pa.table({
+        "conv_id": pa.array([t[0] for t in turns], pa.int64()),
+        "turn": pa.array([t[1] for t in turns], pa.int64()),
+        "role": pa.array([t[2] for t in turns], pa.string()),
+        "text": pa.array([t[3] for t in turns], pa.string()),
+        "depth": pa.array(["d"] * len(turns)), "k1": pa.array([0] * len(turns)), "words": pa.array([None] * len(turns), pa.int8()),
+    }), f"{folder}/conversations.parquet")
 
 
 LONG = "word other " * 30_000
@@ -74,26 +83,31 @@ ODD_VECTORS = [
     (5, [1.0, float("inf")], 1), (6, [1.0, 0.0], None), (7, [1.0, 0.0], 1), (8, [2.0, 0.0], 1), (8, [2.0, 0.0], 1),
     (None, [1.0, 0.0], 1), (9, [1.0, 0.0], 2), (10, [1.0], 1), (11, [-1.0, 0.0], 1), (12, [1e-38, 0.0], 1),
 ]
+ODD_TURNS = [
+    (0, None, None, None), (0, 0, "user", "a"), (0, 1, "user", LONG), (None, 0, "user", "b"), (None, None, None, None),
+    *[(c, None, "user", "a") for c in range(1, 20)], (7, 3, "", ""), (7, 3, "", ""), (41, 0, "assistant", "\x85 \x00"),
+]
 
 ROWS = {
     "op1_quality_classifier": len(ODD_DOCS), "op2_sentencepiece": len(ODD_DOCS), "op3_url_filter": len(ODD_PAGES),
     "op4_lm_scoring": len(ODD_DOCS), "op5_packing": None, "op6_quality_rules": len(ODD_DOCS),
     "op7_html_extraction": len(ODD_PAGES), "op8_line_dedup": len(ODD_DOCS), "op9_embedding_dedup": len(ODD_VECTORS),
-    "op10_near_dedup": len(ODD_DOCS),
+    "op10_near_dedup": len(ODD_DOCS), "op11_nearest_neighbours": 0, "op12_spelling_variants": 0,
+    "op13_prefix_trie": len(brute_trie(ODD_TURNS)),
 }
 
 
 @pytest.fixture(scope="module")
 def odd(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("odd"))
-    write_tables(folder, ODD_DOCS, ODD_LABELS, ODD_PAGES, ODD_VECTORS)
+    write_tables(folder, ODD_DOCS, ODD_LABELS, ODD_PAGES, ODD_VECTORS, ODD_TURNS)
     return folder
 
 
 @pytest.fixture(scope="module")
 def nothing(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("nothing"))
-    write_tables(folder, [], [], [], [])
+    write_tables(folder, [], [], [], [], [])
     return folder
 
 

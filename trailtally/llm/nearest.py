@@ -125,7 +125,8 @@ def _matrix(raw: bytes, dims: int) -> np.ndarray:
 
 def _raw(vectors: np.ndarray) -> bytes:
     """The rows as bytes, in single precision where that holds them exactly."""
-    single = vectors.astype(np.float32)
+    with np.errstate(over="ignore"):
+        single = vectors.astype(np.float32)
     same = np.array_equal(single, vectors)
     return (b"f" if same else b"d").ljust(8) + (single if same else vectors).tobytes()
 
@@ -167,7 +168,9 @@ def _meet(row, count: int) -> Iterator[pd.DataFrame]:
         place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         ids = names[np.repeat(starts[right], times) + place]
         owner, node = np.repeat(left, times), np.repeat(right, times)
+        # The ids on one vector ascend; of a repeated row one is the query's own.
         own = ids == query_ids[first + owner]
+        own[1:] &= (place[1:] == 0) | (ids[1:] != ids[:-1])
         own[own] = (some[owner[own]] == vectors[node[own]]).all(axis=1)
         owner, ids, scores = owner[~own], ids[~own], np.repeat(scores, times)[~own]
         order = np.lexsort((ids, -scores, owner))

@@ -15,8 +15,10 @@ from trailtally.llm.lm_scoring import document_scores
 from trailtally.llm.near_dedup import near_duplicate_classes
 from trailtally.llm.nearest import NEAREST_SQL, nearest_vectors
 from trailtally.llm.packing import pack
+from trailtally.llm.prefix_trie import PREFIX_TRIE_SQL, conversation_trie
 from trailtally.llm.quality_rules import quality_verdicts
 from trailtally.llm.sentencepiece_codec import document_pieces
+from trailtally.llm.spelling import spelling_variants
 from trailtally.llm.url_filter import URL_FILTER_SQL, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +68,14 @@ def op11_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_vectors(spark, folder)
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(spark, folder)
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(spark, folder)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -80,6 +90,8 @@ QUERIES: dict[str, Query] = {
         op9_embedding_dedup,
         op10_near_dedup,
         op11_nearest_neighbours,
+        op12_spelling_variants,
+        op13_prefix_trie,
     )
 }
 
@@ -87,4 +99,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": URL_FILTER_SQL,
     "op8_line_dedup": LINE_DEDUP_SQL,
     "op11_nearest_neighbours": NEAREST_SQL,
+    "op13_prefix_trie": PREFIX_TRIE_SQL,
 }
