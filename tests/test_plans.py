@@ -5,9 +5,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from trailtally.operators import ingest, listing, tagging, weather
+from trailtally.operators import ingest, listing, mutate, tagging, weather
 from trailtally.plans import bindings as b
 from trailtally.plans.queries import QUERIES
+from trailtally.sources import catalog, tables
 from trailtally.sources.snapshots import keep_latest
 from trailtally.sources.tables import write_bucketed
 
@@ -24,7 +25,7 @@ def executed(df):
 def test_no_product_and_no_python(spark, data, name):
     text = executed(QUERIES[name](spark, data))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
-    if name not in ("score_images", "score_images_failing", "tag_next_batch", "retag_images"):
+    if name not in ("score_images", "score_images_batched", "score_images_failing", "tag_next_batch", "retag_images"):
         assert "Python" not in text and "InPandas" not in text
 
 
@@ -108,10 +109,74 @@ def test_no_sort_before_the_shuffle(spark, data):
     assert "SortAggregate" not in executed(ingest.dedupe_run(b.document_sequence(spark, data)))
     seq = b.document_sequence(spark, data)
     assert "SortAggregate" not in executed(ingest.accepted(seq, b.labelled_images(spark, data)))
-    # All readings meet a hash aggregate of positions; only the winning ones are gathered.
+
+
+def test_readings_are_read_and_parsed_once(spark, data):
     text = executed(ingest.pivot_readings(b.event_readings(spark, data)))
-    last = next(line for line in text.splitlines() if "Aggregate" in line and "max(pos" in line)
-    assert "HashAggregate" in last and "SortAggregate" not in last
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+    # A capture's readings combine before the shuffle, and each field is taken out of a text once.
+    assert text.rindex("SortAggregate") > text.index("Exchange")
+    assert text.count("regexp_extract") == 7 and text.index("regexp_extract") > text.index("Generate inline")
+
+
+def test_ids_evaluate_their_rows_once(spark, data):
+    before = b.part_tags(spark, data)
+    text = executed(mutate.upsert_tags(b.ordered_tag_names(spark, data), before))
+    # What was missing is a pinned table; the tags themselves and their highest id are scanned.
+    assert "lineitem" not in text and "Scan ExistingRDD" in text
+    assert "Sort [" not in text.split("Window")[0]
+
+
+def test_tagging_parses_answers_once(spark, data):
+    tagged = mutate.tag_answers(b.event_answers(spark, data), b.image_links(spark, data), b.part_tags(spark, data))
+    for df in tagged:
+        assert "try_parse_json" not in executed(df) and "events" not in executed(df)
+
+
+def test_stored_keys_stay_in_their_buckets(spark, data):
+    stored = catalog.add_stored_keys(b.rejected_images(spark, data), "plan_keys", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = executed(ingest.new_captures(b.document_sequence(spark, data), stored))
+        scans = [k for k, line in enumerate(text.splitlines()) if "plan_keys" in line]
+        assert len(scans) == 2
+        for k in scans:
+            above = text.splitlines()[max(0, k - 3) : k]
+            assert not any("Exchange" in line for line in above if line.index("+-") >= text.splitlines()[k].index("+-") - 9)
+        assert sum("Bucketed: true" in line for line in text.splitlines()) == 2
+        assert "LeftAnti" in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE plan_keys_source_id")
+        spark.sql("DROP TABLE plan_keys_file_hash")
+
+
+def test_record_day_reads_one_date(spark, data, tmp_path):
+    tables.recreate_images(b.event_images(spark, data), str(tmp_path / "images"))
+    images = tables.scan_image_rows(spark, str(tmp_path / "images"))
+    found = weather.images_on_day(images, weather.coldest_day(images)).select("id", "capture_time")
+    assert {r.capture_time.date() for r in found.collect()} == {weather.coldest_day(images).first()["day"].date()}
+    scan = next(line for line in executed(found).splitlines() if "FileScan parquet [id#" in line)
+    filters = scan[scan.index("PartitionFilters"):scan.index("PushedFilters")]
+    assert "capture_date" in filters and "subquery" in filters.lower()
+
+
+def test_bucketed_images_and_links_do_not_move(spark, data):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = executed(QUERIES["images_with_tags_bucketed"](spark, data)).splitlines()
+        assert sum("Bucketed: true" in line for line in lines) == 2
+        for k, line in enumerate(lines):
+            if "Bucketed: true" in line:
+                # Between the scan and the first join or aggregate nothing is shuffled.
+                above = []
+                for up in reversed(lines[:k]):
+                    above.append(up)
+                    if "Join" in up or "Aggregate" in up:
+                        break
+                assert not any("Exchange" in up for up in above)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_early_pages_rank_narrow_rows(spark, data):

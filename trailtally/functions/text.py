@@ -26,39 +26,52 @@ def squash_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{WHITE_SPACE}]+", " "))
 
 
-def plain_number(text: Column) -> Column:
-    """A number in digits, with sign and exponent if any; NULL for everything else."""
-    number = strip_ws(text)
-    return F.when(number.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), number.try_cast("double"))
+# A number in digits, with sign and exponent if any, and what may stand around it.
+_GAP = f"[{WHITE_SPACE}]"
+_INK = f"[^{WHITE_SPACE}]"
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_TEMPERATURE = rf"^{_GAP}*({_NUMBER}){_GAP}*°([^°]*)"
+_WIND = rf"^{_GAP}*({_INK}+){_GAP}+({_NUMBER})(?:{_GAP}+([\s\S]*))?$"
+_PRESSURE = rf"^{_GAP}*({_NUMBER}){_GAP}+({_INK}+)"
+
+
+def _number(text: Column, pattern: str, group: int) -> Column:
+    """The number in a group, NULL when the text does not fit; each use matches the text once."""
+    return F.regexp_extract(text, pattern, group).try_cast("double")
+
+
+def temperature_fields(text: Column) -> tuple[Column, Column]:
+    """Value and unit of ``72°F``; the value is NULL when the text has no number or no degree sign."""
+    return _number(text, _TEMPERATURE, 1), strip_ws(F.regexp_extract(text, _TEMPERATURE, 2))
+
+
+def wind_fields(text: Column) -> tuple[Column, Column, Column]:
+    """Speed, unit and direction of ``NW 5.2 mph``; the unit is whatever follows the speed."""
+    unit = squash_ws(F.regexp_extract(text, _WIND, 3))
+    return _number(text, _WIND, 2), unit, F.regexp_extract(text, _WIND, 1)
+
+
+def pressure_fields(text: Column) -> tuple[Column, Column]:
+    """Value and unit of ``30.1 inHg``; the value is NULL when either is missing."""
+    return _number(text, _PRESSURE, 1), F.regexp_extract(text, _PRESSURE, 2)
 
 
 def parse_temperature(text: Column) -> Column:
     """``72°F`` as (value, unit); NULL when the text has no number or no degree sign."""
-    parts = F.split(text, "°")
-    value = plain_number(F.get(parts, F.lit(0)))
-    unit = F.get(parts, F.lit(1))
-    return F.when(
-        value.isNotNull() & unit.isNotNull(), F.struct(value.alias("value"), strip_ws(unit).alias("unit"))
-    )
+    value, unit = temperature_fields(text)
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit")))
 
 
 def parse_wind(text: Column) -> Column:
     """``NW 5.2 mph`` as (direction, speed, unit); the unit is whatever follows the speed."""
-    words = F.split(squash_ws(text), " ")
-    speed = plain_number(F.get(words, F.lit(1)))
-    unit = F.array_join(F.slice(words, F.lit(3), F.greatest(F.size(words), F.lit(1))), " ")
-    return F.when(
-        speed.isNotNull(),
-        F.struct(F.get(words, F.lit(0)).alias("direction"), speed.alias("speed"), unit.alias("unit")),
-    )
+    speed, unit, direction = wind_fields(text)
+    return F.when(speed.isNotNull(), F.struct(direction.alias("direction"), speed.alias("speed"), unit.alias("unit")))
 
 
 def parse_pressure(text: Column) -> Column:
     """``30.1 inHg`` as (value, unit); NULL when either is missing."""
-    words = F.split(squash_ws(text), " ")
-    value = plain_number(F.get(words, F.lit(0)))
-    unit = F.get(words, F.lit(1))
-    return F.when(value.isNotNull() & unit.isNotNull(), F.struct(value.alias("value"), unit.alias("unit")))
+    value, unit = pressure_fields(text)
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit")))
 
 
 def moon_text(text: Column) -> Column:

@@ -22,6 +22,20 @@ def moment(value: datetime | str | Column) -> Column:
     return column.cast("timestamp_ntz")
 
 
+def instant(time: Column) -> Column:
+    """A zone-free time as the instant that UTC clocks show it, whatever the session's time zone."""
+    since = time - F.lit("1970-01-01").cast("timestamp_ntz")
+    day, hour, minute = (F.extract(F.lit(part), since).cast("bigint") for part in ("DAY", "HOUR", "MINUTE"))
+    micros = (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("bigint")
+    return F.timestamp_micros(((day * 24 + hour) * 60 + minute) * 60_000_000 + micros)
+
+
+def from_instant(time: Column) -> Column:
+    """What a UTC clock shows at an instant, zone-free."""
+    seconds = (F.unix_micros(time) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
 def bucket_time(time: Column, unit: str) -> Column:
     """Start of the hour, day or Monday-based week."""
     day = F.to_date(time)
@@ -34,6 +48,12 @@ def bucket_time(time: Column, unit: str) -> Column:
     raise ValueError(f"unknown bucket unit: {unit}")
 
 
+def start_of_minute(time: Column) -> Column:
+    """The minute that date texts show."""
+    clock = F.make_dt_interval(hours=F.hour(time), mins=F.minute(time))
+    return F.to_date(time).cast("timestamp_ntz") + clock
+
+
 def iso_seconds(time: Column) -> Column:
     """``2024-01-03T14:05:00``."""
     return F.replace(F.substring(time.cast("string"), 1, 19), F.lit(" "), F.lit("T"))

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from datetime import datetime
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailtally import schema
-from trailtally.functions.text import moon_text, parse_pressure, parse_temperature, parse_wind, reading_kind
-from trailtally.functions.times import capture_label_year, infer_capture_time, moment, parse_capture_time
+from trailtally.functions.text import moon_text, pressure_fields, reading_kind, temperature_fields, wind_fields
+from trailtally.functions.times import capture_label_year, infer_capture_time, moment, start_of_minute
 from trailtally.operators.filters import filter_ids
 from trailtally.operators.ranges import numbered_rows
 from trailtally.operators.tagging import newest_untagged
+from trailtally.session import pin
 
 # Texts stored for a reading or place that is missing.
 DEFAULTS = {
@@ -36,46 +38,50 @@ END = (1 << 63) - 1
 CAPTURE_KEYS = ("source_id", "file_hash")
 
 
+def _parsed(readings: DataFrame) -> DataFrame:
+    """(source_id, pos, kind, number, unit, word): what each text says, NULL where it is unreadable.
+
+    The fields come out of a generator, so that each text is parsed once however often they are used.
+    """
+    kind, value = reading_kind(F.col("label")), F.col("value")
+    parsers = {"temperature": temperature_fields(value), "wind": wind_fields(value), "pressure": pressure_fields(value)}
+
+    def field(place: int) -> Column:
+        chosen = [(name, fields[place]) for name, fields in parsers.items() if place < len(fields)]
+        return reduce(lambda when, pair: when.when(F.col("kind") == pair[0], pair[1]), chosen, F)
+
+    word = field(2).when(F.col("kind").isin("sun", "moon"), value)
+    fields = F.struct(field(0).alias("number"), field(1).alias("unit"), word.alias("word"))
+    kinds = readings.select("source_id", "pos", kind.alias("kind"), "value")
+    return kinds.select("source_id", "pos", "kind", F.inline(F.array(fields)))
+
+
 def pivot_readings(readings: DataFrame) -> DataFrame:
     """One row per capture from labelled texts (source_id, pos, label, value).
 
-    Each text is parsed once, on its own, and the last readable one of a kind counts. Missing
-    readings are NULL. The shuffled aggregate holds positions only, so it combines by hash
-    before the shuffle; texts come back by a join on the position that won.
+    Each text is parsed once, on its own, and the last readable one of a kind counts; of equal
+    positions the smallest. Missing readings are NULL. Readings are read once, and a capture's
+    combine before the one shuffle.
     """
-    kind, value = reading_kind(F.col("label")), F.col("value")
-    parsed = readings.select("source_id", "pos", kind.alias("kind"), "value").filter(F.col("kind").isNotNull())
-    parsed = parsed.select(
-        "source_id",
-        "pos",
-        "kind",
-        F.when(F.col("kind") == "temperature", parse_temperature(value)).alias("t"),
-        F.when(F.col("kind") == "wind", parse_wind(value)).alias("w"),
-        F.when(F.col("kind") == "pressure", parse_pressure(value)).alias("p"),
-        F.when(F.col("kind").isin("sun", "moon"), value).alias("text"),
-    ).filter(F.coalesce(F.col("t.unit"), F.col("w.unit"), F.col("p.unit"), F.col("text")).isNotNull())
-    last = parsed.groupBy("source_id", "kind").agg(F.max("pos").alias("pos"))
-    won = parsed.join(last, ["source_id", "kind", "pos"], "left_semi")
-
-    def only(field: str, name: str) -> Column:
-        """The one value of a kind; equal positions of one kind give the smallest."""
-        return F.min(F.when(F.col("kind") == name, F.col(field)))
-
-    found = won.groupBy("source_id").agg(
-        only("t", "temperature").alias("t"), only("w", "wind").alias("w"), only("p", "pressure").alias("pressure"),
-        only("text", "sun").alias("sun_status"), moon_text(only("text", "moon")).alias("moon_phase"),
-    )
-    blank = readings.select("source_id").distinct().join(found.select("source_id"), "source_id", "left_anti")
-    return found.unionByName(blank, allowMissingColumns=True).select(
+    fields = F.struct(-F.col("pos"), "number", "unit", "word")
+
+    def last(kind: str) -> Column:
+        readable = F.col("number").isNotNull() if kind in ("temperature", "wind", "pressure") else F.col("word").isNotNull()
+        return F.min(F.when((F.col("kind") == kind) & readable, fields)).alias(kind)
+
+    kinds = ("temperature", "wind", "pressure", "sun", "moon")
+    found = _parsed(readings).groupBy("source_id").agg(*[last(kind) for kind in kinds])
+    pressure = F.struct(F.col("pressure.number").alias("value"), F.col("pressure.unit").alias("unit"))
+    return found.select(
         "source_id",
-        F.col("t.value").alias("temperature"),
-        F.col("t.unit").alias("temperature_unit"),
-        F.col("w.speed").alias("wind_speed"),
-        F.col("w.direction").alias("wind_direction"),
-        F.col("w.unit").alias("wind_unit"),
-        "pressure",
-        "sun_status",
-        "moon_phase",
+        F.col("temperature.number").alias("temperature"),
+        F.col("temperature.unit").alias("temperature_unit"),
+        F.col("wind.number").alias("wind_speed"),
+        F.col("wind.word").alias("wind_direction"),
+        F.col("wind.unit").alias("wind_unit"),
+        F.when(F.col("pressure").isNotNull(), pressure).alias("pressure"),
+        F.col("sun.word").alias("sun_status"),
+        moon_text(F.col("moon.word")).alias("moon_phase"),
     )
 
 
@@ -91,9 +97,9 @@ def captures_from_readings(shots: DataFrame, readings: DataFrame, now: datetime
     A place needs both labels. Times have minute precision, as the texts do.
     """
     weather = pivot_readings(readings)
-    taken = F.when(
-        F.col("taken_text").isNotNull(), capture_label_year(infer_capture_time(F.col("taken_text"), now))
-    )
+    inferred = F.when(F.col("taken_text").isNotNull(), infer_capture_time(F.col("taken_text"), now))
+    # Out of a generator, so that the text is read once for both its uses.
+    timed = shots.select("*", F.inline(F.array(F.struct(inferred.alias("_taken")))))
     both = F.size("places") >= 2
     temperature = F.struct(F.col("temperature").alias("value"), F.col("temperature_unit").alias("unit"))
     wind = F.struct(
@@ -102,8 +108,8 @@ def captures_from_readings(shots: DataFrame, readings: DataFrame, now: datetime
         F.col("wind_unit").alias("unit"),
     )
     joined = (
-        shots.join(weather, "source_id", "left")
-        .withColumn("timestamp", taken)
+        timed.join(weather, "source_id", "left")
+        .withColumn("timestamp", capture_label_year(F.col("_taken")))
         .withColumn("primary_location", F.when(both, F.get("places", F.lit(0))))
         .withColumn("secondary_location", F.when(both, F.get("places", F.lit(1))))
     )
@@ -123,7 +129,7 @@ def captures_from_readings(shots: DataFrame, readings: DataFrame, now: datetime
     )
     captures = joined.withColumns({
         "raw_metadata": F.to_json(metadata),
-        "capture_time": parse_capture_time(F.col("timestamp"), now),
+        "capture_time": F.coalesce(start_of_minute(F.col("_taken")), moment(now)),
     })
     columns = [c for c in schema.LISTING_COLUMNS if c not in ("id", "created_at")]
     return with_defaults(captures.select("pos", "file_hash", *columns))
@@ -144,12 +150,25 @@ def dedupe_run(seq: DataFrame) -> DataFrame:
     return first_by(seq, "source_id")
 
 
-def _stored_keys(seq: DataFrame, images: DataFrame, key: str) -> DataFrame:
-    """Distinct keys of stored images that the sequence has, no more than its own keys."""
+class StoredKeys(NamedTuple):
+    """Stored images by their keys alone: a table for each key, best one that is bucketed by it."""
+
+    source_id: DataFrame
+    file_hash: DataFrame
+
+
+def _stored_keys(seq: DataFrame, images: DataFrame | StoredKeys, key: str) -> DataFrame:
+    """Keys of stored images.
+
+    Of a table of images only those that the sequence has, distinct, no more than its own keys. A
+    table of keys is taken as it is, so that its buckets stay in place.
+    """
+    if isinstance(images, StoredKeys):
+        return getattr(images, key)
     return images.select(key).join(seq.select(key), key, "left_semi").distinct()
 
 
-def new_captures(candidates: DataFrame, images: DataFrame) -> DataFrame:
+def new_captures(candidates: DataFrame, images: DataFrame | StoredKeys) -> DataFrame:
     """Candidates stored neither under their hash nor under their source id."""
     fresh = candidates
     for key in CAPTURE_KEYS:
@@ -157,17 +176,22 @@ def new_captures(candidates: DataFrame, images: DataFrame) -> DataFrame:
     return fresh.select(candidates.columns)
 
 
-def accepted(seq: DataFrame, images: DataFrame) -> DataFrame:
-    """What storing a sequence one by one would keep: unseen, and no copy of a kept row.
-
-    The choice is made on the keys alone; what else a row holds is shuffled once at most.
-    """
-    keys = seq.select("pos", *CAPTURE_KEYS)
+def _accepted_keys(keys: DataFrame, images: DataFrame | StoredKeys) -> DataFrame:
+    """The rows (pos, source_id, file_hash) that storing a sequence one by one would keep."""
     kept = keys
     for key in CAPTURE_KEYS:
         first = kept.groupBy(key).agg(F.min("pos").alias("pos")).select(key, "pos")
         kept = kept.join(first, [key, "pos"], "left_semi").join(_stored_keys(keys, images, key), key, "left_anti")
-    if set(seq.columns) == set(keys.columns):
+    return kept.select(keys.columns)
+
+
+def accepted(seq: DataFrame, images: DataFrame | StoredKeys) -> DataFrame:
+    """What storing a sequence one by one would keep: unseen, and no copy of a kept row.
+
+    The choice is made on the keys alone; what else a row holds is shuffled once at most.
+    """
+    kept = _accepted_keys(seq.select("pos", *CAPTURE_KEYS), images)
+    if set(seq.columns) == set(kept.columns):
         return kept.select(seq.columns)
     return seq.join(kept.select("pos"), "pos", "left_semi").select(seq.columns)
 
@@ -238,25 +262,43 @@ def backfill_batch(
     return _at_most(accepted(_attempts(seq, jump + 1, max_attempts), images), limit)
 
 
-def stamp_captures(rows: DataFrame, images: DataFrame, now: datetime | str) -> DataFrame:
-    """Rows with the missing columns of the image table: defaults, times, and ids.
+def _chosen(seq: DataFrame, images: DataFrame) -> DataFrame:
+    """(pos, source_id, file_hash, id) of the rows to store; ids follow the highest stored one.
 
-    Ids follow the highest stored one without gaps and depend on the rows alone, not on where
-    they are computed.
+    Keys are read once and pinned, and so are those that are kept, with their ids.
     """
+    keys = pin(seq.select("pos", *CAPTURE_KEYS))
     highest = images.agg(F.coalesce(F.max("id"), F.lit(0)).alias("highest")).scalar()
-    numbered = numbered_rows(with_defaults(rows), ["file_hash", "source_id"], "_number")
-    stamped = numbered.withColumns({
-        "id": highest + F.col("_number"),
-        "created_at": moment(now),
-        "updated_at": moment(now),
-    })
-    return stamped.select(schema.IMAGES.names)
+    numbered = numbered_rows(_accepted_keys(keys, images), "_number")
+    return numbered.select("pos", *CAPTURE_KEYS, (highest + F.col("_number")).alias("id"))
+
+
+def _stamped(rows: DataFrame, now: datetime | str) -> DataFrame:
+    """Rows with ids and the missing columns of the image table: defaults and times."""
+    stamps = {"created_at": moment(now), "updated_at": moment(now)}
+    return with_defaults(rows).withColumns(stamps).select(schema.IMAGES.names)
 
 
 def ingest_captures(captures: DataFrame, images: DataFrame, now: datetime | str) -> DataFrame:
-    """Rows to append to the image table for the captures that are new."""
-    return stamp_captures(accepted(captures, images), images, now)
+    """Rows to append to the image table for the captures that are new.
+
+    Ids follow the highest stored one without gaps. The choice and the ids are made on the keys and
+    pinned; what else a capture holds is worked out once, when the rows are read.
+    """
+    ids = _chosen(captures, images).select("pos", "id")
+    return _stamped(captures.join(ids, "pos"), now)
+
+
+def ingest_readings(shots: DataFrame, readings: DataFrame, images: DataFrame, now: datetime | str) -> DataFrame:
+    """Rows to append to the image table from scraped texts, as :func:`captures_from_readings` takes them.
+
+    Captures are chosen before any text is parsed, and only their readings are.
+    """
+    chosen = pin(_chosen(shots, images))
+    wanted = readings.join(chosen.select("source_id"), "source_id", "left_semi")
+    taken = shots.join(chosen.select("pos"), "pos", "left_semi")
+    rows = captures_from_readings(taken, wanted, now).join(chosen.select("pos", "id"), "pos")
+    return _stamped(rows, now)
 
 
 def next_tagging_batch(

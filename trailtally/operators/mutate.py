@@ -13,6 +13,7 @@ from trailtally.functions.times import moment
 from trailtally.operators.answers import tag_counts_from_analysis
 from trailtally.operators.ranges import numbered_rows
 from trailtally.operators.tagging import tag_rows
+from trailtally.session import pin
 
 
 class TagRemoval(NamedTuple):
@@ -48,9 +49,9 @@ def missing_tags(names: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def _added_tags(names: DataFrame, tags: DataFrame) -> DataFrame:
-    """The missing tags with ids that follow the highest old one; they depend on the texts alone."""
+    """The missing tags with ids that follow the highest old one without gaps; found and numbered once."""
     highest = tags.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("highest")).scalar()
-    numbered = numbered_rows(missing_tags(names, tags), ["name"], "_number")
+    numbered = numbered_rows(missing_tags(names, tags), "_number")
     return numbered.select((highest + F.col("_number")).alias("tag_id"), "name")
 
 
@@ -67,11 +68,15 @@ class Tagging(NamedTuple):
 def tag_answers(answers: DataFrame, links: DataFrame, tags: DataFrame) -> Tagging:
     """Tables after the answers' tags replaced the old tags of their images.
 
-    Images whose answer gives no tags keep what they have. New ids depend on the texts alone, so
-    links always refer to the ids that are stored, and nothing has to be stored first. Old
+    Images whose answer gives no tags keep what they have. Answers are parsed once: the texts found
+    are pinned, and so are the new tags, so links always refer to the ids that are stored. Old
     tags are looked up for the answers' texts only.
     """
-    found = tag_counts_from_analysis(answers).select("image_id", F.col("tag_json").alias("name"))
+    return link_tags(pin(tag_counts_from_analysis(answers).select("image_id", F.col("tag_json").alias("name"))), links, tags)
+
+
+def link_tags(found: DataFrame, links: DataFrame, tags: DataFrame) -> Tagging:
+    """Tables after the tag texts ``found`` (image_id, name) replaced the tags of their images."""
     names = found.select("name").distinct()
     added = _added_tags(names, tags)
     known = tags.join(names, "name", "left_semi").groupBy("name").agg(F.min("tag_id").alias("tag_id"))

@@ -7,27 +7,24 @@ from pyspark.sql import functions as F
 
 from trailtally.session import pin
 
-# Parts that rows are numbered in; each part is sorted by itself.
-NUMBER_PARTS = 4096
+# Bits of a row's place in its partition, in the ids that Spark hands out.
+_PLACE = (1 << 33) - 1
 
 
-def numbered_rows(df: DataFrame, keys: list[str], name: str, parts: int = NUMBER_PARTS) -> DataFrame:
+def numbered_rows(df: DataFrame, name: str) -> DataFrame:
     """``df`` with the numbers 1, 2, ... without gaps as column ``name``.
 
-    Rows are divided by the hash of ``keys``, which should be unique, and each part counts its
-    own rows. The numbers depend on the keys alone, not on where a row is computed. What is
-    added up over the parts is one row for each of them.
+    The rows are worked out once and pinned with their place in their partition, so the numbers
+    need no shuffle or sort of rows, and every use sees the same ones. What is added up over
+    the partitions is one row for each of them.
     """
-    parted = df.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)))
-    sizes = parted.groupBy("_part").agg(F.count("*").alias("_size"))
+    place = F.monotonically_increasing_id()
+    stored = pin(df.withColumns({"_part": F.shiftright(place, 33), "_place": place.bitwiseAND(_PLACE)}))
+    sizes = stored.groupBy("_part").agg((F.max("_place") + 1).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return (
-        parted.withColumn("_own", own)
-        .join(F.broadcast(starts), "_part")
-        .select(*df.columns, (F.col("_start") + F.col("_own")).cast("bigint").alias(name))
-    )
+    number = (F.col("_start") + F.col("_place") + 1).cast("bigint").alias(name)
+    return stored.join(F.broadcast(starts), "_part").select(*df.columns, number)
 
 
 def placed_in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -36,7 +33,7 @@ def placed_in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     Pinned, because the borders of the ranges are sampled anew in every run. The order should
     end in a unique column, so that no range has to take all rows of one value.
     """
-    row_in_range = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    row_in_range = F.monotonically_increasing_id().bitwiseAND(_PLACE)
     return pin(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)

@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 MAX_TRIES = 3
 FAILED_ANSWER = "{}"
 
+# Models that this worker process has made, by name.
+_MODELS: dict[str, Callable[[list], list[str]]] = {}
+
+
+def model_of_worker(name: str, make: Callable[[], Callable[[list], list[str]]]) -> Callable[[list], list[str]]:
+    """The model ``name`` of this process, made when it is first asked for.
+
+    Python workers are used for many tasks, and this module stays loaded in them.
+    """
+    if name not in _MODELS:
+        _MODELS[name] = make()
+    return _MODELS[name]
+
 
 def score_images(
     df: DataFrame,
@@ -21,13 +34,17 @@ def score_images(
     tries: int = MAX_TRIES,
     partitions: int | None = None,
     predict_batch: Callable[[list], list[str]] | None = None,
+    make_model: Callable[[], Callable[[list], list[str]]] | None = None,
+    model: str = "model",
 ) -> DataFrame:
     """Model answers (image_id, answer, ok, error), one row per image.
 
     ``load`` turns the input into what the model takes and is tried ``tries`` times; an image
     that cannot be loaded has no answer. An error of the model gives the answer ``{}``. Either
     way the batch goes on. ``predict_batch`` takes the loaded inputs of a whole batch instead and
-    returns as many answers; if it fails, each image of the batch has the answer ``{}``.
+    returns as many answers; if it fails, each image of the batch has the answer ``{}``. With
+    ``make_model`` such a function is made once in every worker process and kept there under the
+    name ``model``, which suits models that take long to load; other models need other names.
     ``partitions`` spreads a small batch over that many tasks. Models
     need not repeat their answers, so pin or write the result before using it twice.
     """
@@ -43,9 +60,10 @@ def score_images(
                     raise
 
     def answered(contents: list) -> list[tuple[str, bool, str | None]]:
-        if predict_batch is not None:
+        if predict_batch is not None or make_model is not None:
             try:
-                return [(answer, True, None) for answer in predict_batch(contents)]
+                ask = predict_batch or model_of_worker(model, make_model)
+                return [(answer, True, None) for answer in ask(contents)]
             except Exception as error:
                 return [(FAILED_ANSWER, False, str(error))] * len(contents)
         found = []

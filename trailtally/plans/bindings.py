@@ -162,17 +162,35 @@ def event_readings(spark: SparkSession, folder: str) -> DataFrame:
     return images.select("source_id", F.inline(rows)).filter(F.col("value").isNotNull())
 
 
+def _shot_keys(event_id: Column) -> tuple[Column, Column]:
+    """Source id and hash of a shot; some repeat those of one up to five events before."""
+    source = F.when(event_id % 9 == 5, event_id - 5).otherwise(event_id).cast("string")
+    key = F.when(event_id % 7 == 3, event_id - 1).otherwise(event_id).cast("string")
+    return F.concat(F.lit("cam"), source), F.md5(F.concat(F.lit("hash"), key).cast("binary"))
+
+
+# Events between which no shot repeats an earlier one.
+SHOT_PERIOD = 63
+
+
+def event_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Captures over events with the keys of their shots, in order of their ids."""
+    source_id, file_hash = _shot_keys(F.col("id"))
+    images = event_images(spark, folder).withColumns({"source_id": source_id, "file_hash": file_hash})
+    return images.withColumn("pos", F.col("id")).drop("id", "created_at", "updated_at")
+
+
 def event_shots(spark: SparkSession, folder: str) -> DataFrame:
     """Scraped shots over events, in order of their ids; some repeat a hash or a source id."""
     event_id = F.col("event_id")
-    key = F.when(event_id % 7 == 3, event_id - 1).otherwise(event_id).cast("string")
+    source_id, file_hash = _shot_keys(event_id)
     place = F.when(event_id % 23 != 0, F.array(F.col("event_type"), F.concat(F.lit("zone"), (F.col("user_id") % 7).cast("string"))))
     return (
         table(spark, folder, "events")
         .select(
             event_id.alias("pos"),
-            F.concat(F.lit("cam"), F.when(event_id % 9 == 5, event_id - 5).otherwise(event_id).cast("string")).alias("source_id"),
-            F.md5(F.concat(F.lit("hash"), key).cast("binary")).alias("file_hash"),
+            source_id.alias("source_id"),
+            file_hash.alias("file_hash"),
             F.concat(F.lit(f"{CDN}/images/cam"), event_id.cast("string"), F.lit(".jpg")).alias("cdn_url"),
             place.alias("places"),
             event_id.alias("id"),

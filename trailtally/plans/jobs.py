@@ -3,22 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailtally.operators.answers import tag_counts_from_analysis
 from trailtally.operators.ingest import next_tagging_batch
-from trailtally.operators.mutate import Tagging, retag_all, tag_answers
+from trailtally.operators.mutate import Tagging, link_tags, retag_all
 from trailtally.operators.scoring import score_images
 from trailtally.operators.tagging import count_untagged, tagging_progress
 from trailtally.session import pin
 
 
-class TaggingRun(NamedTuple):
-    tables: Tagging
-    progress: DataFrame
+@dataclass(frozen=True)
+class TaggingRun:
+    """One run: its answers' tags (image_id, name), pinned, and the tables they change."""
+
+    found: DataFrame
+    done: DataFrame
+    images: DataFrame
+    links: DataFrame
+    tags: DataFrame
+
+    @cached_property
+    def tables(self) -> Tagging:
+        """Tables after the run; new tags are numbered when this is first asked for."""
+        return link_tags(self.found, self.links, self.tags)
+
+    @cached_property
+    def progress(self) -> DataFrame:
+        """One row: images found, images that got tags, and untagged images left."""
+        return tagging_progress(count_untagged(self.images, self.links), self.done)
 
 
 def tag_next_batch(
@@ -35,17 +52,17 @@ def tag_next_batch(
 
     With ``limit`` only the untagged images created last. Returns the changed tables, and one
     row of progress: images found, images that got tags, and untagged images left if the batch
-    came from them. Only the answers are pinned, since asking the model twice may give two
-    answers; the tables are worked out when they are read.
+    came from them. Answers are pinned, since asking the model twice may give two answers, and
+    so are the tags they hold, since they are parsed once.
     """
     batch = next_tagging_batch(new_ids, images, links, limit)
     answers = pin(score_images(batch, predict, load, partitions=partitions)).select("image_id", "answer")
-    tagged = tag_counts_from_analysis(answers).select("image_id").distinct().withColumn("tagged", F.lit(True))
+    found = pin(tag_counts_from_analysis(answers).select("image_id", F.col("tag_json").alias("name")))
+    tagged = found.select("image_id").distinct().withColumn("tagged", F.lit(True))
     done = answers.select("image_id").join(tagged, "image_id", "left").select(
         "image_id", F.coalesce("tagged", F.lit(False)).alias("ok")
     )
-    progress = tagging_progress(count_untagged(images, links), done)
-    return TaggingRun(tag_answers(answers, links, tags), progress)
+    return TaggingRun(found, done, images, links, tags)
 
 
 def retag_images(

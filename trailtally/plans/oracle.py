@@ -202,6 +202,13 @@ files AS (
   FROM events
 )"""
 
+_PAGE_FILES = """
+files AS (
+  SELECT page_id, html, 'downloads/' || page_id AS path,
+         ['.jpg', '.JPEG', '.png', '.gif', ''][page_id % 5 + 1] AS extension
+  FROM pages WHERE html <> ''
+)"""
+
 # Captures made from scraped texts, and those of them that storing one by one would keep.
 _SHOTS = f"""
 inferred AS (
@@ -554,4 +561,39 @@ SELECT doc_id AS image_id,
        NOT gone AND words % 7 <> 0 AS ok,
        CASE WHEN gone THEN 'not found' WHEN words % 7 = 0 THEN 'no answer' END AS error
 FROM counted""",
+    # streams
+    "trends_stream_hour": _trends("hour"),
+    "trends_stream_week": _trends("week"),
+    "distinct_stream": "SELECT DISTINCT md5(text) AS file_hash FROM documents",
+    "ingest_stream": f"""WITH {_IMAGES}, {_SHOTS}
+SELECT source_id, md5('hash' || id) AS file_hash, temperature, wind_unit, capture_time, created_at
+FROM images WHERE id % 4 = 0
+UNION ALL BY NAME
+SELECT k.source_id, k.file_hash, i.temperature, i.wind_unit, i.capture_time, {_NOW} AS created_at
+FROM kept k JOIN images i ON i.id = k.pos""",
+    # files
+    "media_files": f"""WITH {_PAGE_FILES}
+SELECT path || extension AS path, octet_length(encode(html)) AS length, md5(html) AS file_hash
+FROM files WHERE extension IN ('.jpg', '.JPEG', '.png')""",
+    "media_manifest": f"""WITH {_PAGE_FILES}
+SELECT page_id || extension AS name, path || extension AS path, path || extension AS shown_path
+FROM files WHERE extension <> ''""",
+    # runs with bounds
+    "incremental_batch_bounded": f"""WITH {_SEQUENCE}, {_bounded('labelled', 0, 200)}
+SELECT * FROM kept ORDER BY pos LIMIT 300""",
+    "backfill_batch_bounded": f"""WITH {_SEQUENCE}, {_bounded('labelled', 31, 230)}
+SELECT * FROM kept ORDER BY pos LIMIT 20""",
+}
+
+# The same rows from tables stored in another way.
+ORACLE_SQL |= {
+    stored: ORACLE_SQL[plain]
+    for stored, plain in {
+        "coldest_day_images_stored": "coldest_day_images",
+        "images_with_tags_bucketed": "images_with_tags",
+        "remove_tag_published": "remove_tag_kept",
+        "retag_all_published": "retag_all",
+        "accepted_captures_indexed": "accepted_captures",
+        "score_images_batched": "score_images",
+    }.items()
 }

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailtally import schema
@@ -15,7 +16,9 @@ from trailtally.operators import answers, checks, filters, ingest, listing, muta
 from trailtally.plans import bindings as b
 from trailtally.plans import jobs
 from trailtally.session import configure, ensure_checkpoint_dir
-from trailtally.sources import media, snapshots, tables
+from trailtally.sources import catalog, media, snapshots, tables
+from trailtally.streaming import ingest as ingest_streams
+from trailtally.streaming import trends as trend_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +29,9 @@ RANGE = ("2024-01-08", "2024-01-21 12:00:00")
 NOW = "2024-01-20 10:30:00"
 TAG_NAMES = " Promo ,small,,promo"
 LINK_RANGE_START = "1998-01-01"
+BUCKETS = 8
+# How far one run looks, and how much it stores.
+MAX_ATTEMPTS, MAX_RECORDS = 200, 300
 
 
 def query(function: Query) -> Query:
@@ -175,6 +181,15 @@ def listing_info(spark, folder):
     return listing.listing_info(b.event_images(spark, folder), *RANGE, "zone3", sort_by="temperature")
 
 
+@query
+def coldest_day_images_stored(spark, folder):
+    path = _scratch(spark)
+    tables.recreate_images(b.event_images(spark, folder), path)
+    images = tables.scan_image_rows(spark, path)
+    found = weather.day_images(images, weather.coldest_day(images))
+    return found.select("day", "image.*")
+
+
 @query
 def page_info(spark, folder):
     return listing.page_info(listing.filter_images(b.event_images(spark, folder), *RANGE, "zone3"), page=2)
@@ -273,6 +288,15 @@ def images_with_tags(spark, folder):
     return found.select("id", "source_id", "capture_time", "tag", "copies")
 
 
+@query
+def images_with_tags_bucketed(spark, folder):
+    name = f"stored_{uuid.uuid4().hex}"
+    images = tables.write_bucketed(b.order_images(spark, folder), f"{name}_images", "id", BUCKETS)
+    links = tables.write_bucketed(b.image_links(spark, folder), f"{name}_links", "image_id", BUCKETS)
+    found = tagging.images_with_tags(images, links, b.part_tags(spark, folder))
+    return found.select("id", "source_id", "capture_time", "tag", "copies")
+
+
 @query
 def list_tagged_images(spark, folder):
     images = b.image_columns_filled(b.order_images(spark, folder))
@@ -391,6 +415,30 @@ def remove_tag_remaining(spark, folder):
     return _removal(spark, folder).remaining
 
 
+def _published_tags(spark, folder) -> tuple[str, str]:
+    """Name and folder of a set of the two tables of tags."""
+    name, path = f"tagging_{uuid.uuid4().hex}", _scratch(spark)
+    catalog.publish(spark, name, path, links=b.image_links(spark, folder), tags=b.part_tags(spark, folder))
+    return name, path
+
+
+@query
+def remove_tag_published(spark, folder):
+    name, path = _published_tags(spark, folder)
+    links, tags_before = catalog.published(spark, name, "links", "tags")
+    kept = mutate.remove_tag(links, tags_before, 7, "ECONOMY").kept
+    catalog.publish(spark, name, path, links=kept, tags=tags_before)
+    return catalog.published(spark, name, "links")[0]
+
+
+@query
+def retag_all_published(spark, folder):
+    name, path = _published_tags(spark, folder)
+    changed = mutate.retag_all(b.event_answers(spark, folder), *catalog.published(spark, name, "links", "tags"))
+    catalog.publish(spark, name, path, links=changed.links, tags=changed.tags)
+    return _named_links(mutate.Tagging(*reversed(catalog.published(spark, name, "links", "tags"))))
+
+
 @query
 def replace_tags(spark, folder):
     items = b.table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "R")
@@ -534,6 +582,12 @@ def accepted_captures(spark, folder):
     return ingest.accepted(b.document_sequence(spark, folder), b.rejected_images(spark, folder))
 
 
+@query
+def accepted_captures_indexed(spark, folder):
+    stored = catalog.add_stored_keys(b.rejected_images(spark, folder), f"keys_{uuid.uuid4().hex}", BUCKETS)
+    return ingest.accepted(b.document_sequence(spark, folder), stored)
+
+
 @query
 def take_until_duplicate(spark, folder):
     return ingest.take_until_duplicate(b.document_sequence(spark, folder))
@@ -544,6 +598,14 @@ def incremental_batch(spark, folder):
     return ingest.incremental_batch(b.document_sequence(spark, folder), b.rejected_images(spark, folder))
 
 
+@query
+def incremental_batch_bounded(spark, folder):
+    return ingest.incremental_batch(
+        b.document_sequence(spark, folder), b.labelled_images(spark, folder),
+        force=True, max_attempts=MAX_ATTEMPTS, max_records=MAX_RECORDS,
+    )
+
+
 @query
 def incremental_batch_forced(spark, folder):
     return ingest.incremental_batch(
@@ -551,6 +613,13 @@ def incremental_batch_forced(spark, folder):
     )
 
 
+@query
+def backfill_batch_bounded(spark, folder):
+    return ingest.backfill_batch(
+        b.document_sequence(spark, folder), b.labelled_images(spark, folder), jump=30, limit=20, max_attempts=MAX_ATTEMPTS
+    )
+
+
 @query
 def backfill_batch(spark, folder):
     return ingest.backfill_batch(
@@ -560,8 +629,7 @@ def backfill_batch(spark, folder):
 
 def _ingested(spark, folder):
     shots, readings = b.event_shots(spark, folder), b.event_readings(spark, folder)
-    captures = ingest.captures_from_readings(shots, readings, NOW)
-    return ingest.ingest_captures(captures, b.stored_events(spark, folder), NOW)
+    return ingest.ingest_readings(shots, readings, b.stored_events(spark, folder), NOW)
 
 
 @query
@@ -604,8 +672,9 @@ def scan_stored_links(spark, folder):
 def append_images(spark, folder):
     path = _scratch(spark)
     tables.recreate_images(b.stored_events(spark, folder), path)
-    captures = ingest.captures_from_readings(b.event_shots(spark, folder), b.event_readings(spark, folder), NOW)
-    tables.append_images(captures, tables.scan_image_rows(spark, path), path, NOW)
+    shots, readings = b.event_shots(spark, folder), b.event_readings(spark, folder)
+    rows = ingest.ingest_readings(shots, readings, tables.scan_image_rows(spark, path), NOW)
+    tables.append_rows(rows, path)
     return tables.scan_image_rows(spark, path).select("source_id", "file_hash", "temperature", "wind_unit", "capture_time")
 
 
@@ -621,6 +690,31 @@ def rejected_media(spark, folder):
     return media.rejected_media(b.document_media(spark, folder))
 
 
+def _stored_pages(spark, folder) -> str:
+    """A folder with a file for each page."""
+    path = _scratch(spark)
+    html = b.table(spark, folder, "pages").select("page_id", "html").filter(F.col("html") != "")
+    files = b.page_files(spark, folder).join(html, "page_id")
+    media.store_files(files.select("path", F.col("html").alias("content")), path)
+    return path
+
+
+def _below(path: Column) -> Column:
+    return F.regexp_extract(path, "(downloads/[^/]*)$", 1)
+
+
+@query
+def media_files(spark, folder):
+    found = media.valid_media(media.scan_media(spark, _stored_pages(spark, folder)))
+    return media.hashed_media(found).select(_below(F.col("path")).alias("path"), "length", "file_hash")
+
+
+@query
+def media_manifest(spark, folder):
+    found = media.media_manifest(media.scan_media(spark, _stored_pages(spark, folder)))
+    return found.select("name", _below(F.col("path")).alias("path"), _below(F.col("shown_path")).alias("shown_path"))
+
+
 @query
 def file_kinds(spark, folder):
     kinds = text.file_kind(F.col("path"), "cam_sync_")
@@ -710,6 +804,19 @@ def score_images(spark, folder):
     )
 
 
+def _make_counter() -> Callable[[list], list[str]]:
+    """A stand-in for a model that takes long to load and many inputs at once."""
+    return lambda contents: [json.dumps({"Words": len(text.split(" ")), "total": len(text)}) for text in contents]
+
+
+@query
+def score_images_batched(spark, folder):
+    return scoring.score_images(
+        b.table(spark, folder, "documents"), id_column="doc_id", input_column="text",
+        make_model=_make_counter, model="counter",
+    )
+
+
 def _words_or_error(content: str) -> str:
     """A stand-in for a model that fails on some inputs."""
     words = len(content.split(" "))
@@ -729,3 +836,64 @@ def score_images_failing(spark, folder):
     return scoring.score_images(
         b.table(spark, folder, "documents"), _words_or_error, _load_or_error, "doc_id", "text"
     )
+
+
+# streams: files arrive in thirds, and each third is polled by a start of its own on one checkpoint
+
+
+def _arrivals(rows: DataFrame, place: Column, inbox: str, period: int = 1) -> Iterator[None]:
+    """Write the rows to the inbox in three steps by their place, a whole number of periods each."""
+    span = rows.agg(F.min(place).alias("low"), F.max(place).alias("high")).first()
+    step = period * max(1, -(-(span["high"] + 1 - span["low"]) // (3 * period))) if span["low"] is not None else 1
+    third = F.floor((place - F.lit(span["low"] or 0)) / F.lit(step))
+    for k in range(3):
+        rows.filter(third == k).write.mode("append").parquet(inbox)
+        yield
+
+
+def _stored_trends(spark, folder, interval):
+    images = b.event_images(spark, folder).drop("id")
+    path = _scratch(spark)
+    for _ in _arrivals(images, F.unix_date(F.to_date("capture_time")), f"{path}/inbox"):
+        inbox = spark.readStream.schema(images.schema).parquet(f"{path}/inbox")
+        trends = trend_streams.trends_stream(inbox, interval)
+        trend_streams.store_trends(trends, f"{path}/trends", f"{path}/checkpoint").awaitTermination()
+    return _rounded(trend_streams.scan_trends(spark, f"{path}/trends"))
+
+
+@query
+def trends_stream_hour(spark, folder):
+    return _stored_trends(spark, folder, "hour")
+
+
+@query
+def trends_stream_week(spark, folder):
+    return _stored_trends(spark, folder, "week")
+
+
+@query
+def distinct_stream(spark, folder):
+    documents = b.document_sequence(spark, folder)
+    time = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("pos").cast("decimal(18,6)"))
+    rows = documents.select("file_hash", time.alias("capture_time"), "pos")
+    path = _scratch(spark)
+    for _ in _arrivals(rows, F.col("pos"), f"{path}/inbox"):
+        inbox = spark.readStream.schema(rows.schema).parquet(f"{path}/inbox")
+        # As long as no copy comes after so many days, each hash passes once.
+        found = trend_streams.distinct_stream(inbox, ["file_hash"], delay="100000 days")
+        trend_streams.store_rows(found.select("file_hash"), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("file_hash string").parquet(f"{path}/rows")
+
+
+@query
+def ingest_stream(spark, folder):
+    captures = b.event_captures(spark, folder).select(ingest_streams.CAPTURES.names)
+    path = _scratch(spark)
+    tables.recreate_images(b.stored_events(spark, folder), f"{path}/images")
+    for _ in _arrivals(captures, F.col("pos"), f"{path}/inbox", b.SHOT_PERIOD):
+        inbox = ingest_streams.read_inbox(spark, f"{path}/inbox")
+        ingest_streams.ingest_stream(
+            inbox, f"{path}/images", f"{path}/checkpoint", lambda: datetime.fromisoformat(NOW)
+        ).awaitTermination()
+    stored = tables.scan_image_rows(spark, f"{path}/images")
+    return stored.select("source_id", "file_hash", "temperature", "wind_unit", "capture_time", "created_at")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from datetime import datetime
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +15,53 @@ from trailtally.functions.text import base_name, file_hash, mime_type
 from trailtally.functions.times import capture_label_year
 
 # What is accepted as a picture.
-MEDIA_PATTERN = r"(?i)\.(jpg|jpeg|png|gif)$"
+MEDIA_GLOB = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[gG][iI][fF]}"
 ALLOWED_MIME_TYPES = ("image/jpeg", "image/png")
 MAX_MEDIA_BYTES = 10 * 1024 * 1024
 
 
-def scan_media(spark: SparkSession, folder: str) -> DataFrame:
-    """Picture files below the folder: path, modificationTime, length and content.
+def scan_files(
+    spark: SparkSession, folder: str, names: str = "*", before: datetime | str | None = None
+) -> DataFrame:
+    """Files below the folder: path, modificationTime, length and content.
+
+    Names and age are looked at when the folder is listed, so other files cost nothing. ``names``
+    is a glob, and ``before`` a time in the session's time zone. Content is only read by plans
+    that use it. Empty files have no row.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names)
+    if before is not None:
+        reader = reader.option("modifiedBefore", datetime.fromisoformat(str(before)).strftime("%Y-%m-%dT%H:%M:%S"))
+    return reader.load(folder)
+
+
+def scan_media(spark: SparkSession, folder: str, before: datetime | str | None = None) -> DataFrame:
+    """Picture files below the folder, as :func:`scan_files` has them."""
+    return scan_files(spark, folder, MEDIA_GLOB, before)
+
 
-    Content is only read by plans that use it.
+def store_files(files: DataFrame, folder: str) -> int:
+    """Write each ``content`` to its ``path`` below the folder; returns how many files there are.
+
+    A path must be that of one row. A task that is repeated writes the same files again.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.filter(F.col("path").rlike(MEDIA_PATTERN))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(re.sub("^file:/+", "/", folder))
+        made = set()
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                target = f"{root}/{path.as_py()}"
+                parent = target.rpartition("/")[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with store.open_output_stream(target) as out:
+                    out.write(content.as_py())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows = files.select("path", F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def valid_media(media: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from trailtally import schema
 from trailtally.operators.filters import filter_date_range
-from trailtally.operators.ingest import accepted, stamp_captures
+from trailtally.operators.ingest import ingest_captures
 
 
 def _scan(spark: SparkSession, path: str, table: T.StructType) -> DataFrame:
@@ -56,10 +56,14 @@ def _write_images(images: DataFrame, path: str, mode: str) -> None:
     ordered.write.mode(mode).partitionBy("capture_date").parquet(path)
 
 
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Add finished rows to the image table at ``path``."""
+    _write_images(_rebalanced(rows), path, "append")
+
+
 def append_images(captures: DataFrame, images: DataFrame, path: str, now: datetime | str) -> None:
     """Store the captures that are new, with ids and times set."""
-    rows = stamp_captures(accepted(captures, images), images, now)
-    _write_images(_rebalanced(rows), path, "append")
+    append_rows(ingest_captures(captures, images, now), path)
 
 
 def recreate_images(images: DataFrame, path: str) -> None:
