@@ -211,6 +211,8 @@ def test_embedding_links_against_brute_force(spark):
     rows += [
         (900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0, None], 1), (904, rows[0][1], None),
         (905, [1.0, 0.0], 1), (906, [3.0, 0.0], 1), (907, [float("inf"), 0.0], 1), (908, [], 1),
+        # One id on two vectors, each with neighbours of its own.
+        (5, [1.0, 0.01], 1), (5, [0.0, 1.0], 1), (909, [0.01, 1.0], 1), (910, [0.0, 2.0], 1), (910, [0.0, 2.0], 1), (5, rows[0][1], 2),
     ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     for shard_rows in (8192, 60):

@@ -76,11 +76,12 @@ def test_keep_bitmaps_are_bits_of_kept_lines(spark):
 def test_packing_is_whole_gapless_and_without_padding(spark, data):
     from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{data}/documents.parquet")
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    odd = [(-1, "<|endoftext|> a  b"), (-2, "x<|endoftext|><|endoftext|>\n y"), (-3, "<|endoftext"), (-4, "a\x00 \u4e2d\u6587 e\u0301")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     texts = {row["doc_id"]: row["text"] for row in docs.collect()}
     pieces = packing.pack(docs).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for piece in pieces:
         by_doc[piece["doc_id"]].append(piece)

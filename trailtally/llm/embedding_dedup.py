@@ -143,7 +143,8 @@ def link_embeddings(
 
     Vectors of one label (not null) and length link by cosine. Vectors that are null, zero, or
     hold null or non-finite parts, and rows without an id, link with nothing. Each row counts as
-    a vector, so a repeated row links with its copy; rows that share an id share a component.
+    a vector, so a repeated row links with its copy. Rows are linked by their vectors, not by their
+    ids: where one id stands on several vectors, each has its own links and component.
     """
     rows = vectors.select(
         F.col(id_col).cast("bigint").alias("vec_id"),
@@ -151,8 +152,9 @@ def link_embeddings(
         F.col(vector_col).cast("array<double>").alias("vector"),
     ).withColumn("_usable", usable(F.col("vector"), F.col("label"), F.col("vec_id")))
     sound = rows.filter("_usable")
-    nodes = sound.groupBy("label", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("node"))
-    nodes = keep(nodes.withColumn("dims", F.size("vector")))
+    nodes = sound.groupBy("label", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    # Stored once, so a node's number stays.
+    nodes = keep(nodes.withColumns({"dims": F.size("vector"), "node": F.monotonically_increasing_id()}))
     room = F.greatest(F.lit(1), F.least(F.lit(shard_rows), F.lit(SHARD_BYTES) / (F.col("dims") * 8)).cast("int"))
     sizes = nodes.groupBy("label", "dims").count().select(
         "label", "dims", F.ceil(F.col("count") / room).cast("int").alias("_shards")
@@ -162,13 +164,18 @@ def link_embeddings(
     )
     shards = keep(
         sharded.select("label", "dims", "shard", "node", "copies", "vector")
+        .repartition("label", "dims", "shard")
         .groupBy("label", "dims", "shard")
         .applyInPandas(lambda frame: _index(frame, cosine), _SHARD)
     )
     a = shards.select("label", "dims", F.col("shard").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("nodes", "copies", "vectors")])
     b = shards.select("label", "dims", F.col("shard").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("nodes", "copies", "vectors", "graph")])
-    # Blocks of a label meet once; the graph of one is asked for the vectors of the other.
-    meetings = a.join(b, ["label", "dims"]).filter(F.col("a") < F.col("b"))
+    # Shards of a label meet once; the graph of one is asked for the vectors of the other. Their
+    # numbers meet first, and a graph moves once, to where the vectors come to it.
+    numbers = shards.select("label", "dims", "shard")
+    pairs = numbers.withColumnRenamed("shard", "a").join(numbers.withColumnRenamed("shard", "b"), ["label", "dims"])
+    pairs = pairs.filter(F.col("a") < F.col("b"))
+    meetings = pairs.join(a, ["label", "dims", "a"]).join(b, ["label", "dims", "b"])
 
     def across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -179,7 +186,7 @@ def link_embeddings(
                 })
 
     made = "label string, nodes binary, counts binary, links binary"
-    between = meetings.repartition("label", "dims", "a", "b").mapInPandas(across, made)
+    between = meetings.mapInPandas(across, made)
     found = keep(shards.select("label", "nodes", "counts", "links").unionByName(between))
 
     def unpack(column: str, width: int):
@@ -201,8 +208,13 @@ def link_embeddings(
     counted = found.select("label", "nodes", "counts").mapInPandas(unpack("counts", 1), "label string, node long, links long")
     counted = counted.groupBy("label", "node").agg(F.sum("links").alias("n_links"))
     linked = components(found.select("links").mapInPandas(unpack("links", 2), "a long, b long"), "a", "b")
-    named = nodes.join(counted, ["label", "node"]).join(linked, "node", "left").select(
-        "label", "vector", "n_links", F.coalesce("component", F.col("node")).alias("component_id")
+    reached = nodes.select("node", "least").join(linked, "node").groupBy("component").agg(F.min("least").alias("_least"))
+    named = (
+        nodes.join(counted, ["label", "node"])
+        .join(linked, "node", "left")
+        .withColumn("component", F.coalesce("component", F.col("node")))
+        .join(reached, "component", "left")
+        .select("label", "vector", "n_links", F.coalesce("_least", "least").alias("component_id"))
     )
     found = sound.join(named, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~F.col("_usable")).select(

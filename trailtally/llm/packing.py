@@ -10,6 +10,7 @@ of two, which need no padding either.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 CAPACITY = 1024
 END_ID = 0
-# The ranks of byte_bpe_50k.json; encoding by ranks is several times faster and gives the same ids.
+# The vocabulary, and its ranks: encoding by ranks is several times faster and gives the same ids.
 TOKENIZER = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -35,25 +37,35 @@ PIECES = T.StructType([
     T.StructField("offset", T.LongType()),
 ])
 
-_ENCODERS: dict[str, Callable[[str], bytes]] = {}
+_ENCODERS: dict[tuple[str, str | None], Callable[[str], bytes]] = {}
 
 
-def _text_ids(path: str) -> Callable[[str], bytes]:
-    """Ids of a text as little-endian unsigned 32-bit bytes."""
+def _text_ids(path: str, vocabulary: str | None) -> Callable[[str], bytes]:
+    """Ids of a text as little-endian unsigned 32-bit bytes; added tokens of the vocabulary are one id."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(bpe.encode_ordinary(text), dtype="<u4").tobytes()
+    added = {}
+    if vocabulary is not None:
+        with open(vocabulary, encoding="utf-8") as file:
+            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
+    def ids(text: str) -> bytes:
+        special = any(token in text for token in added)
+        found = bpe.encode(text, allowed_special="all") if special else bpe.encode_ordinary(text)
+        return np.array(found, dtype="<u4").tobytes()
 
-def encoder(path: str) -> Callable[[str], bytes]:
+    return ids
+
+
+def encoder(path: str, vocabulary: str | None = None) -> Callable[[str], bytes]:
     """One encoder per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = _text_ids(path)
-    return _ENCODERS[path]
+    if (path, vocabulary) not in _ENCODERS:
+        _ENCODERS[path, vocabulary] = _text_ids(path, vocabulary)
+    return _ENCODERS[path, vocabulary]
 
 
 def cut_lengths(total: int, capacity: int) -> Iterator[int]:
@@ -110,10 +122,12 @@ def pack(
     text_col: str = "text",
     capacity: int = CAPACITY,
     tokenizer: str | None = None,
+    vocabulary: str | None = None,
 ) -> DataFrame:
     """One row per piece; see ``PIECES``. The ids of a sequence are its pieces by ``offset``.
 
-    ``capacity`` is a power of two and ``tokenizer`` the path of a byte-level BPE's ranks. A null or
+    ``capacity`` is a power of two, ``tokenizer`` the path of a byte-level BPE's ranks, and
+    ``vocabulary`` that of the file with its added tokens, if any. A null or
     empty text is the end id alone. Rows that share an id are packed each for itself.
     Sequence ids are unique but not dense. An empty table gives no rows.
     """
@@ -122,12 +136,12 @@ def pack(
     if tokenizer is None:
         import public_tokenizers
 
-        tokenizer = public_tokenizers.path(TOKENIZER)
-    path = str(tokenizer)
+        tokenizer, vocabulary = public_tokenizers.path(TOKENIZER), public_tokenizers.path(VOCABULARY)
+    path, added = str(tokenizer), None if vocabulary is None else str(vocabulary)
     schema = pa.schema([(field.name, pa.int64()) for field in PIECES])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, added)
         bins = _Bins(capacity, TaskContext.get().partitionId())
         end = np.array([END_ID], dtype="<u4").tobytes()
         rows: list[tuple] = []
