@@ -26,6 +26,8 @@ from trailtally.llm.html_blocks import Block, page_blocks
 SAMPLE_PAGES = 1_000
 NEIGHBOUR, SAME_ELEMENT = 0.3, 0.4
 STEPS, RATE, PULL = 400, 0.5, 0.01
+# Less than this is no room and no cost.
+TINY = 1e-9
 
 # Weights before learning: bias, what the markup says, and the look of the text.
 PRIOR = np.array([0.0, 6.0, -9.0, -7.0, 0.6, -3.0, 0.8, 0.4, -0.5])
@@ -77,47 +79,105 @@ def block_costs(blocks: list[Block], weights: np.ndarray) -> list[float]:
     return (look + (rows * (1 - LEARNED)) @ weights).tolist()
 
 
-def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels of least cost: positive costs pull to True, edges charge unequal labels.
+def _settled(costs: list[float], near: list[dict[int, float]]) -> list[bool | None]:
+    """Labels of blocks whose cost outweighs all their open edges, one after the other.
 
-    Flow is sent along shortest free paths from True's terminal to False's; what the terminal
-    still reaches at the end is True.
+    ``costs`` are changed: a settled neighbour pulls to its label by the weight of the edge.
     """
-    size = len(costs)
-    source = [max(0.0, cost) for cost in costs]
-    sink = [max(0.0, -cost) for cost in costs]
-    room: list[dict[int, float]] = [{} for _ in costs]
-    for a, b, weight in edges:
-        room[a][b] = room[a].get(b, 0.0) + weight
-        room[b][a] = room[b].get(a, 0.0) + weight
-    tiny = 1e-9
+    labels: list[bool | None] = [None] * len(costs)
+    pull = [sum(edges.values()) for edges in near]
+    waiting = deque(range(len(costs)))
+    while waiting:
+        node = waiting.popleft()
+        if labels[node] is not None or abs(costs[node]) <= pull[node] + TINY:
+            continue
+        labels[node] = costs[node] > 0
+        for other, weight in near[node].items():
+            if labels[other] is None:
+                costs[other] += weight if labels[node] else -weight
+                pull[other] -= weight
+                waiting.append(other)
+    return labels
+
+
+def _max_flow(nodes: list[int], costs: list[float], near: list[dict[int, float]]) -> set[int]:
+    """Nodes that True's terminal still reaches after blocking flows by distance.
+
+    ``near`` is the room left on edges and is changed. Each round sends all flow that shortest paths can
+    take, and drops edges that are of no more use in it.
+    """
+    source = {node: costs[node] for node in nodes if costs[node] > TINY}
+    sink = {node: -costs[node] for node in nodes if costs[node] < -TINY}
     while True:
-        before = [-2] * size
-        ahead = deque(node for node in range(size) if source[node] > tiny)
-        for node in ahead:
-            before[node] = -1
-        last = -1
+        level = dict.fromkeys((node for node, free in source.items() if free > TINY), 0)
+        ahead, ends = deque(level), False
         while ahead:
             node = ahead.popleft()
-            if sink[node] > tiny:
-                last = node
-                break
-            for other, free in room[node].items():
-                if free > tiny and before[other] == -2:
-                    before[other] = node
+            ends = ends or sink.get(node, 0.0) > TINY
+            for other, free in near[node].items():
+                if free > TINY and other not in level:
+                    level[other] = level[node] + 1
                     ahead.append(other)
-        if last < 0:
-            return [found != -2 for found in before]
-        path = [last]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        steps = list(zip(path[1:], path[:-1]))
-        flow = min([sink[last], source[path[-1]], *(room[a][b] for a, b in steps)])
-        sink[last] -= flow
-        source[path[-1]] -= flow
-        for a, b in steps:
-            room[a][b] -= flow
-            room[b][a] += flow
+        if not ends:
+            return set(level)
+        arcs = {node: list(near[node]) for node in level}
+        for start in [node for node, distance in level.items() if distance == 0]:
+            path = [start]
+            while path and source[start] > TINY:
+                node = path[-1]
+                if sink.get(node, 0.0) > TINY:
+                    steps = list(zip(path, path[1:]))
+                    flow = min([source[start], sink[node], *(near[a][b] for a, b in steps)])
+                    source[start] -= flow
+                    sink[node] -= flow
+                    for a, b in steps:
+                        near[a][b] -= flow
+                        near[b][a] += flow
+                    # Go back to before the first edge that is full.
+                    full = next((k for k, (a, b) in enumerate(steps) if near[a][b] <= TINY), len(steps))
+                    del path[full + 1 :]
+                    continue
+                while arcs[node]:
+                    other = arcs[node][-1]
+                    if level.get(other) == level[node] + 1 and near[node][other] > TINY:
+                        path.append(other)
+                        break
+                    arcs[node].pop()
+                else:
+                    path.pop()
+                    if path:
+                        arcs[path[-1]].pop()
+
+
+def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Labels of least cost: positive costs pull to True, edges charge unequal labels.
+
+    Blocks that no flow through their edges could turn are settled first. What is left falls
+    apart into connected runs, and each is cut by itself.
+    """
+    costs = list(costs)
+    near: list[dict[int, float]] = [{} for _ in costs]
+    for a, b, weight in edges:
+        near[a][b] = near[a].get(b, 0.0) + weight
+        near[b][a] = near[b].get(a, 0.0) + weight
+    labels = _settled(costs, near)
+    for node in range(len(costs)):
+        near[node] = {} if labels[node] is not None else {o: w for o, w in near[node].items() if labels[o] is None}
+    seen: set[int] = set()
+    for first in range(len(costs)):
+        if labels[first] is not None or first in seen:
+            continue
+        run = [first]
+        seen.add(first)
+        for node in run:
+            for other in near[node]:
+                if other not in seen:
+                    seen.add(other)
+                    run.append(other)
+        reached = _max_flow(run, costs, near)
+        for node in run:
+            labels[node] = node in reached
+    return [bool(label) for label in labels]
 
 
 def block_edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
