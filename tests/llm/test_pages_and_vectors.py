@@ -50,6 +50,19 @@ def test_reputation_blocks_bad_hosts_and_shrinks_small_ones(spark):
     assert judged == {1: "block", 2: "allow"}
 
 
+def test_hosts_without_outcomes_take_their_domain_or_suffix(spark):
+    rows = [(f"h{k}.bad.com", True) for k in range(30) for _ in range(20)]
+    rows += [(f"h{k}.good{k}.com", False) for k in range(40) for _ in range(20)]
+    rows += [(f"h.{k}.zz", True) for k in range(30) for _ in range(20)]
+    outcomes = spark.createDataFrame(rows, "host string, bad boolean")
+    urls = ["http://new.bad.com/", "http://bad.com/x", "http://new.good1.com/", "http://other.com/", "http://a.new.zz/", "http://a.b.unknown/", "/none"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    judged = {row["page_id"]: row["verdict"] for row in url_filter.judge_urls(pages, outcomes, rules=()).collect()}
+    assert judged == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "block", 5: "allow", 6: "allow"}
+    none = url_filter.judge_urls(pages, outcomes.limit(0), rules=()).collect()
+    assert {row["verdict"] for row in none} == {"allow"} and len(none) == len(urls)
+
+
 def test_registered_domains(spark):
     hosts = ["a.b.co.uk", "b.com", "x.y.b.com", "localhost", ""]
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
@@ -155,6 +168,37 @@ def test_min_cut_against_all_labellings():
         assert abs(total(html_extract.min_cut(costs, edges)) - best) < 1e-6
 
 
+def test_min_cut_of_many_undecided_blocks():
+    import time
+
+    rng = np.random.default_rng(5)
+    size = 20_000
+    for scale in (0.2, 1.0, 3.0):
+        costs = rng.normal(0, scale, size).tolist()
+        edges = [(k - 1, k, 0.3) for k in range(1, size)] + [(k - 7, k, 0.4 / 7) for k in range(7, size)]
+        start = time.perf_counter()
+        labels = html_extract.min_cut(costs, edges)
+        assert time.perf_counter() - start < 10
+        # No single block or run between two borders is better the other way round.
+        gain = [(-c if label else c) for c, label in zip(costs, labels)]
+        for a, b, weight in edges:
+            change = -weight if labels[a] != labels[b] else weight
+            gain[a] -= change
+            gain[b] -= change
+        assert max(gain) <= 1e-6
+
+
+def test_html_long_page_that_says_nothing():
+    import time
+
+    rng = np.random.default_rng(7)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon."]
+    blocks = [f"<div>{' '.join(rng.choice(words, int(rng.integers(1, 12))))}</div>" for _ in range(20_000)]
+    start = time.perf_counter()
+    text = html_extract.main_text("<body>" + "".join(blocks) + "</body>", html_extract.PRIOR)
+    assert time.perf_counter() - start < 10 and text
+
+
 def test_html_query_takes_every_article(spark, data):
     import html
     import re

@@ -103,10 +103,13 @@ def test_packing_is_whole_gapless_and_without_padding(spark, data):
         assert len({piece["length"] for piece in sequence}) == 1
 
 
-def test_packing_special_tokens_are_plain_text_and_capacity_is_checked(spark):
+def test_packing_special_tokens_are_those_of_the_vocabulary_and_capacity_is_checked(spark):
     docs = spark.createDataFrame([(1, "<|endoftext|> a  b \n c"), (2, None)], "doc_id long, text string")
     sizes = {row["doc_id"]: row["doc_tokens"] for row in packing.pack(docs).collect()}
-    assert sizes[1] > 8 and sizes[2] == 1
+    assert sizes == {1: 8, 2: 1}
+    # Ranks alone have no special tokens.
+    plain = packing.pack(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    assert {row["doc_id"]: row["doc_tokens"] for row in plain}[1] > 8
     with pytest.raises(ValueError):
         packing.pack(docs, capacity=1000)
 

@@ -3,12 +3,14 @@
 Labelled outcomes are counted per host. Beta-binomial priors shrink them from suffix to
 registered domain to host: each level's concentration is estimated by moments from the spread
 of its groups around their parents. A url is blocked where the lower posterior bound of its
-host's share of bad outcomes exceeds a threshold.
+host's share of bad outcomes exceeds a threshold. Hosts without outcomes take the bound that
+follows from their domain, and domains without any that of their suffix.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,11 +72,30 @@ def _concentration(groups: DataFrame, prior: str) -> Column:
     return groups.agg((1 / F.coalesce(rho, F.lit(SMALLEST_RHO)) - 1).alias("s")).scalar()
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad_mean, bad_low) from rows (host, bad boolean).
+class Reputation(NamedTuple):
+    """Lower posterior bounds of the share of bad outcomes, for hosts as far as they are known.
+
+    ``hosts`` has (host, n, bad_mean, bad_low) of labelled hosts, ``domains`` (domain, bad_low) for
+    other hosts of their domains, ``suffixes`` (suffix, bad_low) for other domains, and ``bad_low`` is
+    for all else.
+    """
+
+    hosts: DataFrame
+    domains: DataFrame
+    suffixes: DataFrame
+    bad_low: Column
+
+
+def _low(mean: Column, strength: Column) -> Column:
+    return mean - Z * F.sqrt(mean * (1 - mean) / (strength + 1))
+
+
+def reputation(outcomes: DataFrame) -> Reputation:
+    """Posteriors from rows (host, bad boolean).
 
     One row per host; outcomes without a host or verdict are left out. Copies are counted where
-    they lie, so a host with a third of all rows sends one row per task.
+    they lie, so a host with a third of all rows sends one row per task. A host without
+    outcomes is judged by what is known of its domain, else of its suffix, as a draw from there.
     """
     known = outcomes.filter(F.col("host").isNotNull() & F.col("bad").isNotNull())
     hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
@@ -85,21 +106,44 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # Half a bad and half a good outcome keep the overall share inside (0, 1).
     overall = hosts.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("m")).scalar()
-    suffixes = suffixes.withColumn("m0", overall)
-    suffixes = pin(suffixes)
-    suffixes = suffixes.withColumn("s", _concentration(suffixes, "m0")).select(
-        "suffix", ((F.col("bad") + F.col("s") * F.col("m0")) / (F.col("n") + F.col("s"))).alias("m1")
-    )
-    domains = pin(domains.join(suffixes, "suffix"))
-    domains = domains.withColumn("s", _concentration(domains, "m1")).select(
-        "domain", ((F.col("bad") + F.col("s") * F.col("m1")) / (F.col("n") + F.col("s"))).alias("m2")
+
+    def posterior(level: DataFrame, prior: str) -> tuple[DataFrame, Column]:
+        """``level`` with ``mean`` and ``s``, the concentration around ``prior``, also by itself."""
+        level = pin(level)
+        s = _concentration(level, prior)
+        mean = (F.col("bad") + F.col("s") * F.col(prior)) / (F.col("n") + F.col("s"))
+        return pin(level.withColumn("s", s).withColumn("mean", mean)), s
+
+    suffixes, s1 = posterior(suffixes.withColumn("m0", overall), "m0")
+    domains, s2 = posterior(domains.join(suffixes.select("suffix", F.col("mean").alias("m1")), "suffix"), "m1")
+    hosts, s3 = posterior(hosts.join(domains.select("domain", F.col("mean").alias("m2")), "domain"), "m2")
+    return Reputation(
+        hosts.select(
+            "host", "n", F.col("mean").alias("bad_mean"), _low(F.col("mean"), F.col("n") + F.col("s")).alias("bad_low")
+        ),
+        domains.select("domain", _low(F.col("mean"), s3).alias("bad_low")),
+        suffixes.select("suffix", _low(F.col("mean"), s2).alias("bad_low")),
+        _low(overall, s1),
     )
-    hosts = pin(hosts.join(domains, "domain"))
-    hosts = hosts.withColumn("s", _concentration(hosts, "m2"))
-    mean = (F.col("bad") + F.col("s") * F.col("m2")) / (F.col("n") + F.col("s"))
-    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("s") + 1))
-    return hosts.withColumn("mean", mean).select(
-        "host", "n", F.col("mean").alias("bad_mean"), (F.col("mean") - Z * spread).alias("bad_low")
+
+
+def host_reputation(outcomes: DataFrame) -> DataFrame:
+    """(host, n, bad_mean, bad_low) of the labelled hosts; see :func:`reputation`."""
+    return reputation(outcomes).hosts
+
+
+def bad_hosts(hosts: DataFrame, outcomes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Those of the distinct ``hosts`` (host) whose bound is above the threshold, labelled or not."""
+    found = reputation(outcomes)
+    domain, suffix = registered_domain(F.col("host"))
+    bound = F.coalesce("_host_low", "_domain_low", "_suffix_low", found.bad_low)
+    return (
+        hosts.withColumns({"domain": domain, "suffix": suffix})
+        .join(found.hosts.select("host", F.col("bad_low").alias("_host_low")), "host", "left")
+        .join(found.domains.select("domain", F.col("bad_low").alias("_domain_low")), "domain", "left")
+        .join(found.suffixes.select("suffix", F.col("bad_low").alias("_suffix_low")), "suffix", "left")
+        .filter(bound > threshold)
+        .select("host")
     )
 
 
@@ -113,14 +157,16 @@ def judge_urls(
 ) -> DataFrame:
     """Every page with host, path, rule, verdict and the posterior bound of its host.
 
-    Rules are a short list and become one expression. A url without host or path, or of a host
-    nobody labelled, is allowed unless a rule blocks it. Rows with equal urls or ids are judged
+    Rules are a short list and become one expression. A url without a host is allowed unless a rule
+    blocks it; one of a host nobody labelled is judged by its domain, or by its suffix. Rows with equal urls or ids are judged
     each for itself; an empty table gives no rows. ``outcomes`` are rows (host, bad).
     """
     host, path = url_parts(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, decision = fitting_rule(F.col("host"), F.col("path"), rules)
-    bad = host_reputation(outcomes).filter(F.col("bad_low") > threshold).select("host", F.lit(True).alias("_bad"))
+    # Hosts are judged once each, however many pages they have.
+    hosts = parts.filter(F.col("host") != "").select("host").distinct()
+    bad = bad_hosts(hosts, outcomes, threshold).select("host", F.lit(True).alias("_bad"))
     judged = parts.withColumns({"rule": rule, "_decision": decision}).join(bad, "host", "left")
     method = F.when(F.col("_bad"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("_decision", method).alias("verdict"))
@@ -176,17 +222,35 @@ WITH parts AS (
     SELECT 1 / coalesce(CASE WHEN sum(n * (n - 1) * m1 * (1 - m1)) > 0 THEN greatest(0.001, least(0.9,
            (sum((bad - n * m1) * (bad - n * m1)) - sum(n * m1 * (1 - m1))) / sum(n * (n - 1) * m1 * (1 - m1)))) END,
            0.001) - 1 AS s FROM domains
+), domain_means AS (
+    SELECT d.domain, (d.bad + s2.s * d.m1) / (d.n + s2.s) AS m2 FROM domains d, s2
 ), shrunk AS (
-    SELECT h.host, h.n, h.bad, (d.bad + s2.s * d.m1) / (d.n + s2.s) AS m2
-    FROM hosts h JOIN domains d USING (domain), s2
+    SELECT h.host, h.n, h.bad, d.m2 FROM hosts h JOIN domain_means d USING (domain)
 ), s3 AS (
     SELECT 1 / coalesce(CASE WHEN sum(n * (n - 1) * m2 * (1 - m2)) > 0 THEN greatest(0.001, least(0.9,
            (sum((bad - n * m2) * (bad - n * m2)) - sum(n * m2 * (1 - m2))) / sum(n * (n - 1) * m2 * (1 - m2)))) END,
            0.001) - 1 AS s FROM shrunk
 ), means AS (
     SELECT host, n, s, (bad + s * m2) / (n + s) AS mean FROM shrunk, s3
+), host_lows AS (
+    SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + s + 1)) AS low FROM means
+), domain_lows AS (
+    SELECT domain, m2 - 1.645 * sqrt(m2 * (1 - m2) / (s3.s + 1)) AS low FROM domain_means, s3
+), suffix_means AS (
+    SELECT x.suffix, (x.bad + s1.s * x.m0) / (x.n + s1.s) AS m1 FROM suffixes x, s1
+), suffix_lows AS (
+    SELECT suffix, m1 - 1.645 * sqrt(m1 * (1 - m1) / (s2.s + 1)) AS low FROM suffix_means, s2
+), all_low AS (
+    SELECT m0 - 1.645 * sqrt(m0 * (1 - m0) / (s1.s + 1)) AS low FROM overall, s1
+), every_host AS (
+    SELECT DISTINCT host, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain,
+           list_extract(string_split(host, '.'), -1) AS suffix
+    FROM parts WHERE host <> ''
 ), bad_hosts AS (
-    SELECT host FROM means WHERE mean - 1.645 * sqrt(mean * (1 - mean) / (n + s + 1)) > 0.5
+    SELECT e.host
+    FROM every_host e LEFT JOIN host_lows h ON h.host = e.host LEFT JOIN domain_lows d ON d.domain = e.domain
+    LEFT JOIN suffix_lows x ON x.suffix = e.suffix LEFT JOIN all_low a ON TRUE
+    WHERE coalesce(h.low, d.low, x.low, a.low) > 0.5
 ), ruled AS (
     SELECT page_id, host, path,
            CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/')
