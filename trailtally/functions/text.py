@@ -109,7 +109,7 @@ def mime_type(path: Column) -> Column:
     """Content type by extension, from the standard table of types."""
     extension = F.lower(file_extension(path))
     types = MimeTypes(filenames=()).types_map[True]
-    known = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
+    known = F.str_to_map(F.lit(",".join(f"{end}:{kind}" for end, kind in types.items())), F.lit(","), F.lit(":"))
     return F.coalesce(F.try_element_at(known, extension), F.lit(DEFAULT_MIME_TYPE))
 
 
