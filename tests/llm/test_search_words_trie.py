@@ -255,3 +255,36 @@ def test_trie_general_interface(spark):
     frame = spark.createDataFrame(rows, "a long, b long, c string, d string")
     found = [tuple(r) for r in prefix_trie.prefix_trie(frame, "a", "b", "c", "d").collect()]
     assert sum(r[1] == 0 for r in found) == 1 and sum(r[3] for r in found if r[1] == 1) <= 2
+
+
+# blocks of one bucket, as near-dedup compares them
+
+
+def test_blocks_of_a_bucket_lose_no_link(spark, monkeypatch):
+    from trailtally.llm import near_dedup
+    from trailtally.llm.components import components
+
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 3000)
+    rng = random.Random(4)
+    texts = {}
+    for group in range(25):
+        words = [f"w{rng.randrange(300)}" for _ in range(60)]
+        for k in range(rng.choice((1, 2, 3))):
+            copy = list(words)
+            if k:
+                copy[rng.randrange(60)] = "changed"
+            texts[len(texts)] = " ".join(copy)
+    spelled = near_dedup._shingle_table(spark.createDataFrame(list(texts.items()), "node long, text string"), 5, "one")
+    apart = spark.createDataFrame([(bucket, node, node) for bucket in (7, 8) for node in texts], "bucket long, node long, component long")
+    links = near_dedup._remaining_links(apart, spelled, 0.8)
+    found = {r["node"]: r["component"] for r in components(links, "a", "b").collect()}
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    sets = {node: shingles(text) for node, text in texts.items()}
+    expected = {}
+    for node in texts:
+        expected[node] = min(m for m in texts if len(sets[m] & sets[node]) >= 0.8 * len(sets[m] | sets[node]))
+    assert {n: found.get(n, n) for n in texts} == expected

@@ -268,10 +268,21 @@ def _remaining_links(apart: DataFrame, spelled: DataFrame, similarity: float) ->
     The largest component is not compared with itself. A pair of blocks gives no more links
     than connect what its links connect.
     """
-    blocks = _blocks(apart, spelled)
-    left = blocks.filter(~F.col("main")).select("bucket", F.col("block").alias("_i"), F.col("members").alias("_a"))
-    right = blocks.select("bucket", "main", F.col("block").alias("_j"), F.col("members").alias("_b"))
-    meet = left.join(right, "bucket").filter(F.col("main") | (F.col("_i") <= F.col("_j"))).select("_a", "_b")
+    blocks = keep(_blocks(apart, spelled))
+    numbers = blocks.select("bucket", "main", "block")
+    left, right = numbers.filter(~F.col("main")), numbers
+    # Numbers of a bucket meet under its key. Each block is then fetched where it is wanted, so the
+    # blocks of one bucket are compared in as many tasks as it has blocks.
+    pairs = (
+        left.select("bucket", F.col("block").alias("_i"))
+        .join(right.select("bucket", F.col("main").alias("_main"), F.col("block").alias("_j")), "bucket")
+        .filter(F.col("_main") | (F.col("_i") <= F.col("_j")))
+    )
+    own = blocks.filter(~F.col("main")).select("bucket", F.col("block").alias("_i"), F.col("members").alias("_a"))
+    other = blocks.select(
+        "bucket", F.col("main").alias("_main"), F.col("block").alias("_j"), F.col("members").alias("_b")
+    )
+    meet = pairs.join(own, ["bucket", "_i"]).join(other, ["bucket", "_main", "_j"]).select("_a", "_b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
