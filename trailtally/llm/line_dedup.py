@@ -75,7 +75,8 @@ def keep_bitmaps(
     is a document of its own, smaller than all others. Empty tables give no rows.
     """
     occurrences = keep(line_occurrences(docs, id_col, text_col, min_chars))
-    repeated = repeated_lines(occurrences, min_docs)
+    # Stored, so that a line of very many documents is split among tasks where the two are joined.
+    repeated = keep(repeated_lines(occurrences, min_docs))
     dropped = occurrences.join(repeated, ["_h1", "_h2"]).filter(~F.col("_id").eqNullSafe(F.col("_keeper")))
     word = F.floor(F.col("pos") / 64).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("pos") % 64)
