@@ -162,9 +162,11 @@ def link_embeddings(
     sharded = nodes.join(sizes, ["label", "dims"]).withColumn(
         "shard", F.pmod(F.xxhash64("vector"), F.col("_shards")).cast("int")
     )
+    # Few bytes are much work here, so the tasks are counted out rather than merged by size.
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = keep(
         sharded.select("label", "dims", "shard", "node", "copies", "vector")
-        .repartition("label", "dims", "shard")
+        .repartition(parts, "label", "dims", "shard")
         .groupBy("label", "dims", "shard")
         .applyInPandas(lambda frame: _index(frame, cosine), _SHARD)
     )
