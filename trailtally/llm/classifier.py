@@ -205,7 +205,11 @@ def quality_scores(spark, folder: str) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the classifier passes, with their own columns."""
+    """Documents that the classifier passes, with their own columns, whatever they are called.
+
+    A null text counts as an empty one. Rows of equal texts stay or go together, a null id has no
+    label, and without labels or documents the model is the one that knows nothing.
+    """
     model = fit(docs.select("doc_id", "text"), quality_labels(labels))
     scored = score(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), model)
     return scored.filter(passes(F.col("score"))).select("_doc.*")

@@ -227,7 +227,11 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str | None = None) -
 
 
 def document_pieces(spark, folder: str) -> DataFrame:
-    """Each document's ids, how many, and whether they decode to its text."""
+    """Each document's ids, how many, and whether they decode to its text.
+
+    A null text counts as empty and has no ids; repeated rows and ids are encoded each for itself, and
+    an empty table gives no rows.
+    """
     docs = table(spark, folder, "documents").select("doc_id", "text")
     path = _path(None)
 
