@@ -18,7 +18,7 @@ from trailtally.llm.packing import pack
 from trailtally.llm.prefix_trie import PREFIX_TRIE_SQL, conversation_trie
 from trailtally.llm.quality_rules import quality_verdicts
 from trailtally.llm.sentencepiece_codec import document_pieces
-from trailtally.llm.spelling import spelling_variants
+from trailtally.llm.spelling import SPELLING_SQL, spelling_variants
 from trailtally.llm.url_filter import URL_FILTER_SQL, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,5 +99,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": URL_FILTER_SQL,
     "op8_line_dedup": LINE_DEDUP_SQL,
     "op11_nearest_neighbours": NEAREST_SQL,
+    "op12_spelling_variants": SPELLING_SQL,
     "op13_prefix_trie": PREFIX_TRIE_SQL,
 }

@@ -204,3 +204,50 @@ def variant_groups(
 
 def spelling_variants(spark, folder: str) -> DataFrame:
     return variant_groups(table(spark, folder, "documents"))
+
+
+# Fixed values stand in the text: 6 code points, 5 occurrences, one slip in 199, and a form 5 times as frequent.
+SPELLING_SQL = r"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents
+), counted AS (
+    SELECT doc_id, run, count(*) AS times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS spelled
+    FROM runs GROUP BY ALL
+), hashed AS (
+    SELECT run, times,
+           xor(list_reduce(
+               list_prepend(4294967295::BIGINT, list_transform(range(1, len(spelled), 2),
+                   lambda i: 16 * (instr('0123456789ABCDEF', spelled[i]) - 1) + instr('0123456789ABCDEF', spelled[i + 1]) - 1)),
+               lambda crc, byte: list_reduce(
+                   list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                   lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1)))
+           ), 4294967295::BIGINT) AS h
+    FROM counted
+), slipped AS (
+    SELECT CASE WHEN h % 199 = 0 THEN run[:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, times FROM hashed
+), words AS (
+    SELECT word, sum(times)::BIGINT AS n FROM slipped WHERE len(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), gaps AS (
+    SELECT word, n, unnest(range(0, len(word))) AS place FROM words
+), cuts AS (
+    SELECT word, n, place, word[:place] || ' ' || word[place + 2:] AS hole, word[:place] || word[place + 2:] AS cut FROM gaps
+), links AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.hole = b.hole AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+    UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n
+    FROM links GROUP BY word
+), formed AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+           CASE WHEN b.other_n >= 5 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 5 * w.n THEN b.other_n END AS form_n
+    FROM words w LEFT JOIN best b USING (word)
+), steps AS (
+    SELECT word, word AS root, form AS ahead FROM formed
+    UNION ALL
+    SELECT s.word, f.word, f.form FROM steps s JOIN formed f ON f.word = s.ahead
+)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM formed f JOIN steps s ON s.word = f.word AND s.ahead IS NULL
+"""
