@@ -199,6 +199,48 @@ def test_quality_rules_give_rare_languages_a_band(spark):
     assert {row["doc_id"] for row in quality_rules.keep_by_rules(few).collect()} == set(range(100, 108))
 
 
+def test_quality_rules_see_the_order_of_words(spark):
+    rng = random.Random(5)
+    follows = {"the": ["old", "tall"], "old": ["stone", "river"], "tall": ["house", "stone"], "stone": ["fell", "lay"],
+               "river": ["ran", "lay"], "house": ["fell", "lay"], "ran": ["under"], "fell": ["over"], "lay": ["over", "under"],
+               "under": ["a"], "over": ["a", "the"], "a": ["hill", "bridge"], "hill": ["and"], "bridge": ["and"], "and": ["the"]}
+    texts = []
+    for _ in range(60):
+        words = ["the"]
+        while len(words) < 100:
+            words.append(rng.choice(follows[words[-1]]))
+        texts.append(words)
+    rows = [(k, " ".join(words), "en") for k, words in enumerate(texts)]
+    mixed = [(k, " ".join(rng.sample(words, len(words))), "en") for k, words in enumerate(texts)]
+    models = quality_rules.fit(spark.createDataFrame(rows, DOCS))
+    bits = [
+        {r["doc_id"]: r["bits"] for r in quality_rules.measure(spark.createDataFrame(found, DOCS), models).collect()}
+        for found in (rows, mixed)
+    ]
+    assert all(bits[1][k] > bits[0][k] + 0.5 for k in range(60))
+
+
+def test_quality_rules_measure_the_running_text(spark):
+    texts = ["a bc  def\na g", "x", "", None, "  one\ttwo  three ", "\u00e9t\u00e9 A1 a", "of the of the of a the"]
+    rows = [(k, text, lang) for k, text in enumerate(texts) for lang in ("en", "de", None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    counted = collections.Counter()
+    for _, text, lang in rows:
+        codes, _ = quality_rules.word_codes((text or "").encode().split())
+        counted.update((lang or "", int(code)) for code in codes)
+    found = {(r["lang"], r["code"]): r["n"] for r in quality_rules.count_ngrams(docs).collect()}
+    assert found == counted
+    models = quality_rules.fit(docs)
+    for row in quality_rules.measure(docs, models).collect():
+        words = (row["text"] or "").encode().split()
+        if not words:
+            assert row["bits"] is None
+            continue
+        codes, _ = quality_rules.word_codes(words)
+        bits = -np.log2(quality_rules.chances(models[row["lang"] or ""], codes)).sum() / len(words)
+        assert math.isclose(row["bits"], bits, rel_tol=1e-5)
+
+
 def test_kneser_ney_chances_sum_to_one():
     words = [b"the", b"then", b"that", b"on", b"of", b"Of", b"a1", b"***"] * 3 + [b"rare"]
     codes, counts = np.unique(quality_rules.word_codes(words)[0], return_counts=True)
