@@ -185,5 +185,15 @@ def test_early_pages_rank_narrow_rows(spark, data):
     assert "raw_metadata" not in ranked and "cdn_url" not in ranked
 
 
+def test_buckets_and_parts_follow_the_number_of_links(spark, data, monkeypatch):
+    images, links = b.order_images(spark, data), b.image_links(spark, data)
+    monkeypatch.setattr(tagging, "LINKS_PER_TASK", links.count() // 30)
+    parts = tagging.link_parts(images, links)
+    assert 30 <= parts <= 31
+    for name in ("images_with_tags",):
+        dealt = [line for line in executed(QUERIES[name](spark, data)).splitlines() if "REPARTITION_BY_NUM" in line]
+        assert any("hashpartitioning(image_id" in line and f", {parts})" in line for line in dealt)
+
+
 def test_retagging_does_not_sort(spark, data):
     assert "rangepartitioning" not in plan(QUERIES["retag_images"](spark, data))

@@ -14,6 +14,13 @@ from trailtally.functions.tags import json_field
 
 # Names whose bits fit into one number.
 NAMES_PER_COLUMN = 62
+# Links whose counts and texts one task holds at once.
+LINKS_PER_TASK = 1 << 18
+
+
+def link_parts(*tables: DataFrame) -> int:
+    """So many parts that one has about ``LINKS_PER_TASK`` rows of the largest table. Counts rows."""
+    return max(1, *[-(-table.count() // LINKS_PER_TASK) for table in tables])
 
 
 def tag_fields(tags: DataFrame, strict: bool = False) -> DataFrame:
@@ -31,35 +38,47 @@ def tag_rows(links: DataFrame, tags: DataFrame) -> DataFrame:
     return links.join(tags.select("tag_id", "name"), "tag_id").select("image_id", "tag_id", "name")
 
 
-def tag_copies(links: DataFrame, tags: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def tag_copies(
+    links: DataFrame, tags: DataFrame, ids: DataFrame | None = None, parts: int | None = None
+) -> DataFrame:
     """One row (image_id, tag, copies) per tagged image and tag text.
 
     ``copies`` tells how often the image has the text. Links are counted by id before they are
     turned into texts, with partial counts before the shuffle, so neither an image with many
-    links nor a common tag gathers them. With ``ids`` (image_id) only for those images.
+    links nor a common tag gathers them. With ``ids`` (image_id) only for those images. With
+    ``parts`` the named counts are dealt by image to so many tasks, which adaptive execution does
+    not merge: it goes by compressed sizes, and equal texts are small until they are read.
     """
     if ids is not None:
         links = links.join(ids, "image_id", "left_semi")
     counted = links.groupBy("image_id", "tag_id").agg(F.count("*").alias("copies"))
     named = counted.join(tags.select("tag_id", F.col("name").alias("tag")), "tag_id")
+    if parts is not None:
+        named = named.repartition(parts, "image_id")
     return named.groupBy("image_id", "tag").agg(F.sum("copies").alias("copies"))
 
 
 def images_with_tags(
-    images: DataFrame, links: DataFrame, tags: DataFrame, ids: DataFrame | None = None
+    images: DataFrame, links: DataFrame, tags: DataFrame, ids: DataFrame | None = None, parts: int | None = None
 ) -> DataFrame:
     """One row per image and tag text with ``tag`` and ``copies``.
 
     An untagged image has one row, without a tag and with 0 copies. With ``ids`` (image_id),
-    which must have tags, only those images.
+    which must have tags, only those images. ``parts`` is that of :func:`tag_copies`; bucketed
+    tables need none.
     """
-    found = tag_copies(links, tags, ids).withColumnRenamed("image_id", "id")
+    found = tag_copies(links, tags, ids, parts).withColumnRenamed("image_id", "id")
     joined = images.join(found, "id", "left" if ids is None else "inner")
     return joined.withColumn("copies", F.coalesce("copies", F.lit(0).cast("bigint")))
 
 
 def tags_masked_outside_range(
-    images: DataFrame, links: DataFrame, tags: DataFrame, in_range: Column, ids: DataFrame | None = None
+    images: DataFrame,
+    links: DataFrame,
+    tags: DataFrame,
+    in_range: Column,
+    ids: DataFrame | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """As :func:`images_with_tags`, but images outside the range stay without tags.
 
@@ -67,7 +86,7 @@ def tags_masked_outside_range(
     """
     if ids is not None:
         images = images.join(ids.withColumnRenamed("image_id", "id"), "id", "left_semi")
-    found = tag_copies(links, tags, ids)
+    found = tag_copies(links, tags, ids, parts)
     joined = images.join(found, (F.col("id") == F.col("image_id")) & in_range, "left")
     return joined.drop("image_id").withColumn("copies", F.coalesce("copies", F.lit(0).cast("bigint")))
 

@@ -282,8 +282,9 @@ def rounded_readings(spark, folder):
 
 @query
 def images_with_tags(spark, folder):
+    links = b.image_links(spark, folder)
     found = tagging.images_with_tags(
-        b.order_images(spark, folder), b.image_links(spark, folder), b.part_tags(spark, folder)
+        b.order_images(spark, folder), links, b.part_tags(spark, folder), parts=tagging.link_parts(links)
     )
     return found.select("id", "source_id", "capture_time", "tag", "copies")
 
