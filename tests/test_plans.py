@@ -195,5 +195,25 @@ def test_buckets_and_parts_follow_the_number_of_links(spark, data, monkeypatch):
         assert any("hashpartitioning(image_id" in line and f", {parts})" in line for line in dealt)
 
 
+def test_one_text_for_all_images_is_dealt_to_many_tasks(spark):
+    found = spark.range(4000).select(F.col("id").alias("image_id"), F.lit("deer").alias("name"))
+    none = spark.createDataFrame([], "image_id long, tag_id long"), spark.createDataFrame([], "tag_id long, name string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        ids = spark.createDataFrame([(1, "deer"), (2, "fox"), (3, None)], "tag_id long, name string")
+        joined = tagging.join_dealt(found.unionByName(found.limit(1)).unionByName(
+            spark.createDataFrame([(1, None), (None, "fox")], "image_id long, name string")), ids, "name", "image_id")
+        sizes = [len(part) for part in joined.rdd.glom().collect()]
+        assert sum(sizes) == 4002 and max(sizes) < 2000
+        links = mutate.link_tags(found, *none).links
+        sizes = [len(part) for part in links.rdd.glom().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 2000
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_retagging_does_not_sort(spark, data):
     assert "rangepartitioning" not in plan(QUERIES["retag_images"](spark, data))

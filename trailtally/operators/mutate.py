@@ -12,7 +12,7 @@ from trailtally.functions.tags import json_field
 from trailtally.functions.times import moment
 from trailtally.operators.answers import tag_counts_from_analysis
 from trailtally.operators.ranges import numbered_rows
-from trailtally.operators.tagging import tag_rows
+from trailtally.operators.tagging import join_dealt, tag_rows
 from trailtally.session import pin
 
 
@@ -76,12 +76,15 @@ def tag_answers(answers: DataFrame, links: DataFrame, tags: DataFrame) -> Taggin
 
 
 def link_tags(found: DataFrame, links: DataFrame, tags: DataFrame) -> Tagging:
-    """Tables after the tag texts ``found`` (image_id, name) replaced the tags of their images."""
+    """Tables after the tag texts ``found`` (image_id, name) replaced the tags of their images.
+
+    Answers may hold few texts, so a text's images are dealt to several tasks.
+    """
     names = found.select("name").distinct()
     added = _added_tags(names, tags)
     known = tags.join(names, "name", "left_semi").groupBy("name").agg(F.min("tag_id").alias("tag_id"))
     ids = known.select("tag_id", "name").unionByName(added)
-    new_links = found.join(ids, "name").select("image_id", "tag_id")
+    new_links = join_dealt(found, ids, "name", "image_id").select("image_id", "tag_id")
     return Tagging(tags.select("tag_id", "name").unionByName(added), replace_tags(links, new_links))
 
 

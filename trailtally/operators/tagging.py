@@ -16,6 +16,8 @@ from trailtally.functions.tags import json_field
 NAMES_PER_COLUMN = 62
 # Links whose counts and texts one task holds at once.
 LINKS_PER_TASK = 1 << 18
+# Tasks that the rows of one key are dealt to.
+DEALT = 64
 
 
 def link_parts(*tables: DataFrame) -> int:
@@ -33,6 +35,17 @@ def tag_fields(tags: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
+def join_dealt(rows: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of ``rows`` with ``few`` on ``key``, for keys that may have most of the rows.
+
+    The rows of a key are dealt to ``DEALT`` tasks by their column ``by``, and ``few`` follows them
+    where they go: once for each key and deal that the rows have, so never more often than rows.
+    """
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(by), F.lit(DEALT)))
+    met = dealt.select(key, "_deal").distinct().join(few, key)
+    return dealt.join(met, [key, "_deal"]).drop("_deal")
+
+
 def tag_rows(links: DataFrame, tags: DataFrame) -> DataFrame:
     """One row (image_id, tag_id, name) per link whose tag exists."""
     return links.join(tags.select("tag_id", "name"), "tag_id").select("image_id", "tag_id", "name")

@@ -472,7 +472,8 @@ def upsert_tag_ids(spark, folder):
 
 
 def _named_links(tagged: mutate.Tagging) -> DataFrame:
-    return tagging.tag_rows(tagged.links, tagged.tags).select("image_id", "name")
+    names = tagged.tags.select("tag_id", "name")
+    return tagging.join_dealt(tagged.links, names, "tag_id", "image_id").select("image_id", "name")
 
 
 @query
