@@ -190,7 +190,7 @@ def test_buckets_and_parts_follow_the_number_of_links(spark, data, monkeypatch):
     monkeypatch.setattr(tagging, "LINKS_PER_TASK", links.count() // 30)
     parts = tagging.link_parts(images, links)
     assert 30 <= parts <= 31
-    for name in ("images_with_tags",):
+    for name in ("images_with_tags", "tags_masked_outside_range"):
         dealt = [line for line in executed(QUERIES[name](spark, data)).splitlines() if "REPARTITION_BY_NUM" in line]
         assert any("hashpartitioning(image_id" in line and f", {parts})" in line for line in dealt)
 

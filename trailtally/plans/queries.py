@@ -317,9 +317,10 @@ def images_having_all_tags(spark, folder):
 
 @query
 def tags_masked_outside_range(spark, folder):
+    links = b.image_links(spark, folder)
     found = tagging.tags_masked_outside_range(
-        b.order_images(spark, folder), b.image_links(spark, folder), b.part_tags(spark, folder),
-        F.col("capture_time") >= times.moment(LINK_RANGE_START),
+        b.order_images(spark, folder), links, b.part_tags(spark, folder),
+        F.col("capture_time") >= times.moment(LINK_RANGE_START), parts=tagging.link_parts(links),
     )
     return found.select("id", "tag", "copies")
 
