@@ -193,6 +193,8 @@ def test_buckets_and_parts_follow_the_number_of_links(spark, data, monkeypatch):
     for name in ("images_with_tags", "tags_masked_outside_range"):
         dealt = [line for line in executed(QUERIES[name](spark, data)).splitlines() if "REPARTITION_BY_NUM" in line]
         assert any("hashpartitioning(image_id" in line and f", {parts})" in line for line in dealt)
+    lines = executed(QUERIES["images_with_tags_bucketed"](spark, data)).splitlines()
+    assert sum(f"out of {parts}" in line for line in lines) == 2
 
 
 def test_one_text_for_all_images_is_dealt_to_many_tasks(spark):

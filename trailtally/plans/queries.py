@@ -292,8 +292,10 @@ def images_with_tags(spark, folder):
 @query
 def images_with_tags_bucketed(spark, folder):
     name = f"stored_{uuid.uuid4().hex}"
-    images = tables.write_bucketed(b.order_images(spark, folder), f"{name}_images", "id", BUCKETS)
-    links = tables.write_bucketed(b.image_links(spark, folder), f"{name}_links", "image_id", BUCKETS)
+    images, links = b.order_images(spark, folder), b.image_links(spark, folder)
+    buckets = max(BUCKETS, tagging.link_parts(images, links))
+    images = tables.write_bucketed(images, f"{name}_images", "id", buckets)
+    links = tables.write_bucketed(links, f"{name}_links", "image_id", buckets)
     found = tagging.images_with_tags(images, links, b.part_tags(spark, folder))
     return found.select("id", "source_id", "capture_time", "tag", "copies")
 
