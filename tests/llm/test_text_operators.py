@@ -13,7 +13,7 @@ import pytest
 
 from trailtally.llm import classifier, line_dedup, lm_scoring, near_dedup, packing, quality_rules
 from trailtally.llm import sentencepiece_codec as spc
-from trailtally.llm.words import WordRows, hash64, word_groups
+from trailtally.llm.words import WordRows, coded_word_groups, hash64, word_groups
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -389,6 +389,92 @@ def test_lm_model_has_its_whole_size(spark):
     assert lm_scoring.BATCH <= 4096
 
 
+def lm_batch(size, tokens=lm_scoring.BATCH):
+    """Rows of a batch, one of them used by a third of all tokens and one by all, and classes."""
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 1 << lm_scoring.FEATURE_BITS, (lm_scoring.FEATURES, tokens)) >> rng.integers(0, 14, (1, tokens))
+    rows[0, rng.random(tokens) < 0.3] = 7
+    rows[1] = 3
+    return rows, rng.integers(0, size, tokens)
+
+
+@pytest.mark.parametrize("scale", [0.0, 1.0, 100.0])
+@pytest.mark.parametrize("tokens", [1, 50, lm_scoring.BATCH])
+def test_lm_step_against_plain_gradients(scale, tokens):
+    size, (rows, classes) = 9, lm_batch(9, tokens)
+    start = np.random.default_rng(2).normal(0, scale, ((1 << lm_scoring.FEATURE_BITS) + 1, size)).astype(np.float32)
+    model = lm_scoring.Weights(size, start)
+    values, moved = start.astype(np.float64), np.full(len(start), 1e-3)
+    for _ in range(2):
+        logits = values[-1] + values[rows].sum(axis=0)
+        chances = np.exp(logits - logits.max(axis=1, keepdims=True))
+        chances /= chances.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            expected = np.log(chances[np.arange(tokens), classes])
+        found = model.log_chances(rows, classes)
+        seen = expected > -80
+        assert np.allclose(found[seen], expected[seen], rtol=1e-4, atol=1e-3)
+        assert (found[~seen] < -70).all()
+        error = chances
+        error[np.arange(tokens), classes] -= 1
+        for used in (np.full(tokens, len(start) - 1), *rows):
+            gradient = np.zeros_like(values)
+            np.add.at(gradient, used, error)
+            moved += (gradient**2).sum(axis=1)
+            values -= gradient * (lm_scoring.RATE / np.sqrt(moved))[:, None]
+        model.step(rows, classes)
+        assert np.allclose(model.values, values, rtol=1e-4, atol=1e-3)
+        assert np.allclose(model.moved, moved, rtol=1e-3, atol=1e-3)
+        # The second turn starts from the same weights, so that rounding does not add up.
+        model.values[:], model.moved[:] = values, moved
+        values, moved = model.values.astype(np.float64), model.moved.astype(np.float64)
+
+
+@pytest.mark.parametrize("lower", [False, True])
+@pytest.mark.parametrize("split", [1, 9, 1 << 22])
+def test_words_split_by_arrow_are_those_split_by_python(monkeypatch, lower, split):
+    monkeypatch.setattr("trailtally.llm.words.SPLIT", split)
+    texts = ["x", "\x1cA", " \u2003axyA日 É é\x85B\u00a0", None, "", " \t\n\x0b\x0c\r", "a A\x00 a\na ", "b" * 50, *map(chr, range(1, 300))]
+    made = []
+    for groups in (word_groups, coded_word_groups):
+        known = WordRows(lambda words: (np.array([hash64(w) for w in words], np.uint64),), limit=40)
+        columns = [pa.array(texts, pa.string()), pa.array(texts).slice(1), pa.array([], pa.string()), pa.array([None, ""], pa.string())]
+        made.append([
+            (part, words.tolist(), borders.tolist(), known.columns[0][words].tolist())
+            for column in columns for part, words, borders in groups(column, known, lower=lower, most=5)
+        ])
+    assert made[0] == made[1]
+
+
+def test_lm_errors_are_summed_by_row_to_the_last_bit():
+    rows, _ = lm_batch(64)
+    model, error = lm_scoring.Weights(64), np.random.default_rng(3).normal(size=(rows.shape[1], 64)).astype(np.float32)
+    for used in rows:
+        order = np.argsort(used, kind="stable")
+        distinct, starts = np.unique(used[order], return_index=True)
+        expected = np.add.reduceat(error[order], starts, axis=0)
+        found, total = model._gathered(used, error)
+        back = np.argsort(found)
+        assert (found[back] == distinct).all() and (total[back] == expected).all()
+
+
+def test_lm_step_works_in_the_memory_of_the_last_one():
+    import tracemalloc
+
+    rows, classes = lm_batch(64)
+    model = lm_scoring.Weights(64)
+    model.step(rows, classes)
+    tracemalloc.start()
+    try:
+        model.step(rows, classes)
+        model.log_chances(rows, classes)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # One array of logits has a megabyte.
+    assert peak < 4 * 64 * lm_scoring.BATCH
+
+
 # SentencePiece
 
 
