@@ -241,6 +241,50 @@ def test_quality_rules_measure_the_running_text(spark):
         assert math.isclose(row["bits"], bits, rel_tol=1e-5)
 
 
+def test_quality_rules_hold_no_model_on_the_driver(spark, monkeypatch):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, " ".join("".join(rng.choices(letters, k=6)) for _ in range(200)), "en") for k in range(30)]
+    docs = spark.createDataFrame(rows, DOCS)
+    collected = []
+    to_pandas = type(docs).toPandas
+
+    def counted(df):
+        found = to_pandas(df)
+        collected.append(len(found))
+        return found
+
+    monkeypatch.setattr(type(docs), "toPandas", counted)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("the model is sent to all tasks"))
+    assert len(quality_rules.keep_by_rules(docs).collect()) == 30
+    assert max(collected) < 100
+    assert quality_rules.count_ngrams(docs).count() > 10_000
+
+
+def test_quality_rules_give_the_same_for_any_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [b"ab", b"the", b"x", "\u00e9t\u00e9".encode(), b"A1", b"river", b"Of", b"a"]
+    rows = [(k // 2, b" ".join(rng.choices(words, k=30 + k)).decode(), rng.choice(["en", "de", None])) for k in range(60)]
+    rows += [(7, "", "en"), (None, None, None), (61, "\u20ac#$%" * 40 + " x" * 19, "en")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+
+    def found():
+        measured = quality_rules.measure(docs, quality_rules.fit(docs)).collect()
+        bits = [None if r["bits"] is None else round(r["bits"], 4) for r in measured]
+        key = [(r["doc_id"], r["text"], r["lang"], *(r[c] for c in quality_rules.MEASURES)) for r in measured]
+        kept = [tuple(r) for r in quality_rules.keep_by_rules(docs).collect()]
+        return collections.Counter(zip(key, bits)), collections.Counter(kept)
+
+    large = found()
+    assert sum(large[0].values()) == len(rows) and 0 < sum(large[1].values()) < len(rows)
+    monkeypatch.setattr(quality_rules, "MOST_WORDS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        assert found() == large
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_kneser_ney_chances_sum_to_one():
     words = [b"the", b"then", b"that", b"on", b"of", b"Of", b"a1", b"***"] * 3 + [b"rare"]
     codes, counts = np.unique(quality_rules.word_codes(words)[0], return_counts=True)
