@@ -285,6 +285,19 @@ def test_quality_rules_give_the_same_for_any_blocks(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_quality_rules_tell_all_bytes_apart(spark):
+    words = [bytes([byte]) for byte in range(256) if not bytes([byte]).isspace()]
+    assert len({tuple(quality_rules.word_codes([word])[0].tolist()) for word in words}) == len(words)
+    # Also as contexts: what follows is the same, what stands before is not.
+    assert len({tuple(quality_rules.word_codes([word + b"abc"])[0][-2:].tolist()) for word in words}) == len(words)
+    # A model of some letters and digits takes others for rare.
+    known, other = ["Q7", "\u0416\u0438", "#=", "XY"], ["Z3", "\u0427\u0458", "4]", "YX"]
+    models = quality_rules.fit(spark.createDataFrame([(k, " ".join(known * 20), "en") for k in range(5)], DOCS))
+    rows = [(k, f"{word} " * 30, "en") for k, word in enumerate(known + other)]
+    bits = {r["doc_id"]: r["bits"] for r in quality_rules.measure(spark.createDataFrame(rows, DOCS), models).collect()}
+    assert all(bits[k + len(known)] > bits[k] + 1 for k in range(len(known)))
+
+
 def test_kneser_ney_chances_sum_to_one():
     words = [b"the", b"then", b"that", b"on", b"of", b"Of", b"a1", b"***"] * 3 + [b"rare"]
     codes, counts = np.unique(quality_rules.word_codes(words)[0], return_counts=True)
