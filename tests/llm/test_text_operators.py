@@ -285,6 +285,20 @@ def test_quality_rules_give_the_same_for_any_blocks(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_quality_rules_judge_documents_without_words(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["the", "river", "stone", "old", "house", "ran", "under", "green", "hill"]
+    rows = [(k, " ".join(rng.choices(words, k=80)), "en") for k in range(40)]
+    rows += [(40, None, "en"), (41, "", "en"), (42, " \n\t", "en"), (43, None, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {row["doc_id"]: row for row in quality_rules.quality_verdicts(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows) and all(found[k]["kept"] for k in range(40))
+    for k in range(40, 44):
+        assert found[k]["n_words"] == 0 and found[k]["bits"] is None and found[k]["base_failed"] and not found[k]["kept"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {row["doc_id"] for row in quality_rules.keep_by_rules(docs).collect()} == set(range(40))
+
+
 def test_quality_rules_tell_all_bytes_apart(spark):
     words = [bytes([byte]) for byte in range(256) if not bytes([byte]).isspace()]
     assert len({tuple(quality_rules.word_codes([word])[0].tolist()) for word in words}) == len(words)
